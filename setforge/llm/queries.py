@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe
+from setforge.llm import bpe, langid, simhash
 from setforge.llm.common import table
 
 
@@ -20,12 +20,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(own or "/opt/tokenizers", name)
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_simhash_near_duplicates": op7_simhash_near_duplicates,
+        "op8_language_id": op8_language_id,
         "op10_bpe_encode": op10_bpe_encode,
     }
 
