@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, langid, simhash
+from setforge.llm import bpe, decontaminate, langid, secrets, simhash
 from setforge.llm.common import table
 
 
@@ -20,6 +20,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(own or "/opt/tokenizers", name)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,8 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_secret_scan": op4_secret_scan,
+        "op5_benchmark_leaks": op5_benchmark_leaks,
         "op7_simhash_near_duplicates": op7_simhash_near_duplicates,
         "op8_language_id": op8_language_id,
         "op10_bpe_encode": op10_bpe_encode,
