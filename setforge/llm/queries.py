@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, decontaminate, langid, secrets, simhash
+from setforge.llm import bpe, decontaminate, html, langid, mtree, secrets, simhash
 from setforge.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -36,19 +40,42 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.report(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(tokenizer_path()))
 
 
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+),
+s as (
+  select q.vec_id as query_id, v.vec_id,
+         cast(list_inner_product(cast(q.v as double[]), cast(v.v as double[])) as bigint) as score
+  from v q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id
+),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_secret_scan": op4_secret_scan,
         "op5_benchmark_leaks": op5_benchmark_leaks,
+        "op6_top_k": op6_top_k,
         "op7_simhash_near_duplicates": op7_simhash_near_duplicates,
         "op8_language_id": op8_language_id,
+        "op9_html_main_text": op9_html_main_text,
         "op10_bpe_encode": op10_bpe_encode,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_top_k": OP6_SQL}
