@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, decontaminate, html, langid, mtree, secrets, simhash
+from setforge.llm import bpe, decontaminate, html, langid, mtree, quality, secrets, simhash
 from setforge.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(own or "/opt/tokenizers", name)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op4_secret_scan": op4_secret_scan,
         "op5_benchmark_leaks": op5_benchmark_leaks,
         "op6_top_k": op6_top_k,
