@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, decontaminate, html, langid, mtree, quality, secrets, simhash
+from setforge.llm import bpe, decontaminate, html, langid, mtree, quality, repeats, secrets, simhash
 from setforge.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_repeated_passages": op3_repeated_passages,
         "op4_secret_scan": op4_secret_scan,
         "op5_benchmark_leaks": op5_benchmark_leaks,
         "op6_top_k": op6_top_k,
