@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, decontaminate, html, langid, mtree, quality, repeats, secrets, simhash
+from setforge.llm import bpe, chat, decontaminate, html, langid, mtree, quality, repeats, secrets, simhash
 from setforge.llm.common import table
 
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return os.path.join(own or "/opt/tokenizers", name)
 
 
+def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -75,6 +79,7 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_tool_calls": op1_chat_tool_calls,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_repeated_passages": op3_repeated_passages,
         "op4_secret_scan": op4_secret_scan,
@@ -88,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_top_k": OP6_SQL}
+    return {"op1_chat_tool_calls": chat.SQL, "op6_top_k": OP6_SQL}
