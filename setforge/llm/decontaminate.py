@@ -218,3 +218,23 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
         out = out.union(texts.mapInArrow(run, schema))
     return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, all columns as they are; decided row by row, without a join."""
+    spark = docs.sparkSession
+    columns = docs.columns
+    place = columns.index(text_col)
+    for block in _blocks(items.select(F.col("item_id").cast("long"), "text").dropna()):
+        shared = spark.sparkContext.broadcast([tuple(r) for r in block])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ready = Items(shared.value, similarity)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    hit = {h[0] for h in ready.find(batch.column(place).to_pylist())}
+                    yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -189,11 +189,11 @@ def train(labelled: DataFrame) -> Model | None:
     return fit(*sample(labelled))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``."""
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the prediction and its score under ``names``; give others where those clash."""
     keep = docs.columns if keep is None else keep
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias("__bytes"))
-    schema = kept.drop("__bytes").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.drop("__bytes").schema.add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +202,15 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 texts = batch.column(batch.num_columns - 1).to_pylist()
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+                found, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 some = [k for k, t in enumerate(texts) if t] if m else []
                 if some:
                     p = predict(m, [texts[k] for k in some])
                     for k, row in zip(some, p):
                         best = int(row.argmax())
-                        names[k], scores[k] = m.labels[best], float(min(1.0, row[best]))
-                cols = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                        found[k], scores[k] = m.labels[best], float(min(1.0, row[best]))
+                cols = [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[:-1], *names])
 
     return kept.mapInArrow(run, schema)
 

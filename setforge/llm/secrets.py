@@ -109,12 +109,15 @@ def markov_spans(text: Column, base: Column, ratios: list[float], least: float =
     return F.filter(let(base, free), lambda s: _mean_ratio(s["value"], table) > least)
 
 
-def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, ord, end, kind, value) by start and kind; ``spans`` has all."""
+def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
+    """``docs`` with two arrays of (start, ord, end, kind, value) by start and kind: base spans, and all spans.
+
+    Columns of ``docs`` that bear these names are replaced; give other names to keep them.
+    """
     ratios = train(docs, text_col) if ratios is None else ratios
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("base", base_spans(text))
-    return out.withColumn("spans", F.array_sort(F.concat("base", markov_spans(text, F.col("base"), ratios))))
+    out = docs.withColumn(names[0], base_spans(text))
+    return out.withColumn(names[1], F.array_sort(F.concat(names[0], markov_spans(text, F.col(names[0]), ratios))))
 
 
 def joined(spans: Column) -> Column:
