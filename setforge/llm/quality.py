@@ -33,7 +33,7 @@ from setforge.llm.common import stored
 
 #: Four characters of 16 bits fill a long; orders below leave the high bits empty, so one key tells the order as well.
 ORDER = 4
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 20 << 20
 QUANTILE, SLACK = 0.99, 1.25
 #: One trusted document in so many is left out of the counts and sets the thresholds instead.
 HELD_OUT = 5
@@ -68,7 +68,7 @@ def _suffix(g: np.ndarray, n: int) -> np.ndarray:
 
 def requests(unique: np.ndarray) -> np.ndarray:
     """All keys that the probabilities of the given ORDER-grams need: grams and contexts of every order."""
-    keys = [unique]
+    keys = [unique, np.zeros(1, np.uint64)]  # 0 is the empty context
     for n in range(1, ORDER):
         g = _suffix(unique, n + 1)
         keys += [g >> _ONE, _suffix(unique, n)]

@@ -9,6 +9,7 @@ from array import array
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from setforge.llm import bpe, components, decontaminate, langid, quality, repeats, secrets, simhash
 from setforge.llm.queries import tokenizer_path
@@ -149,7 +150,7 @@ def plain_spans(text):
 
 def check_secrets(df):
     n = 0
-    for r in df.join(secrets.report(df).withColumnRenamed("spans", "found").withColumnRenamed("doc_id", "i"), __import__("pyspark").sql.functions.col("doc_id").eqNullSafe(__import__("pyspark").sql.functions.col("i"))).collect():
+    for r in df.join(secrets.report(df).withColumnRenamed("spans", "found").withColumnRenamed("doc_id", "i"), F.col("doc_id").eqNullSafe(F.col("i"))).collect():
         if r.doc_id is None:
             continue
         base = plain_spans(r.text or "")
@@ -179,11 +180,9 @@ def test_markov_model_tells_random_from_ordinary(spark, small):
 
 
 def test_redaction(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(PLANTED, "doc_id long, text string")
     out = {r.doc_id: r.x for r in secrets.scan(df).select("doc_id", secrets.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
-    assert out[1] == "token: secret:abcdefghijklmn x [SECRET] 🎉 [SECRET] AKIAABC  [SECRET]".replace("token: secret:abcdefghijklmn", "token: secret:abcdefghijklmn") and out[3] is None and out[4] == ""
+    assert out[1] == "token: secret:abcdefghijklmn x [SECRET]' 🎉 [SECRET] AKIAABC  [SECRET]" and out[3] is None and out[4] == ""
 
 
 # --- language --------------------------------------------------------------------------------------------------------
@@ -260,7 +259,8 @@ def plain_model(texts):
 def test_perplexity_against_brute_force(spark, small):
     rows = [(r.doc_id, r.text[:600]) for r in small.orderBy("doc_id").limit(60).collect()]
     p = plain_model([t for i, t in rows if i % 2])
-    assert sum(p(int(quality.grams("ab" + chr(c))[-1])) for c in range(3, 0xD7FF)) <= 1 + 1e-9
+    known = {c for i, t in rows if i % 2 for c in t} | {"\ue8ff"}  # and one for all unknown characters
+    assert sum(p(int(quality.grams("the" + c)[-1])) for c in known) == pytest.approx(1, abs=1e-6)
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
     got = {r.doc_id: r.perplexity for r in quality.perplexities(docs, *quality.train(docs.filter("doc_id % 2 = 1"))).collect()}
     for i, t in rows:
