@@ -22,7 +22,7 @@ ROM_FILES = _of(
     id=_L, parent_path=_S, parent_game_name=_S, path=_S, name=_S, crc=_BIN, sha1=_BIN, md5=_BIN, xxhash3=_BIN, in_archive=_B, kind=_S, entry_seq=_I, rom_id=_L
 )
 #: What a scan of a tree yields before ids are given.
-SCANNED = _of(parent_path=_S, path=_S, name=_S, sha1=_BIN, xxhash3=_BIN, in_archive=_B, kind=_S, entry_seq=_I)
+SCANNED = _of(parent_path=_S, path=_S, name=_S, sha1=_BIN, xxhash3=_BIN, md5=_BIN, size=_L, in_archive=_B, kind=_S, entry_seq=_I)
 DAT_ROMS = _of(dat_name=_S, game_name=_S, parent_name=_S, rom_name=_S, sha1=_BIN)
 SOURCE_FILES = _of(source_root=_S, canonical_path=_S, entry_name=_S, kind=_S, sha1=_BIN, seq=_L)
 SAMPLES = _of(comm=_S, tid=_L, time=T.DoubleType(), stack=T.ArrayType(_S))

@@ -58,13 +58,14 @@ def walk(folder: str) -> Iterator[str]:
         yield from walk(f)
 
 
-def digests(stream) -> tuple[bytes, bytes]:
-    """SHA-1 and XXH3-64 in one pass."""
-    sha1, xxh3 = hashlib.sha1(), xxhash.xxh3_64()
+def digests(stream) -> tuple[bytes, bytes, bytes, int]:
+    """SHA-1, XXH3-64, MD5 and the size, in one pass."""
+    sha1, xxh3, md5, size = hashlib.sha1(), xxhash.xxh3_64(), hashlib.md5(usedforsecurity=False), 0
     while chunk := stream.read(archives.CHUNK):
-        sha1.update(chunk)
-        xxh3.update(chunk)
-    return sha1.digest(), xxh3.digest()
+        for h in (sha1, xxh3, md5):
+            h.update(chunk)
+        size += len(chunk)
+    return sha1.digest(), xxh3.digest(), md5.digest(), size
 
 
 def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
@@ -115,7 +116,7 @@ class _Reader(DataSourceReader):
         names = schemas.SCANNED.names
 
         def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.string(), pa.int32())
+            types = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for path in (p for group in (part.files, *(walk(f) for f in part.folders)) for p in group):

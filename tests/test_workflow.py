@@ -160,3 +160,43 @@ def test_parse_from_a_string(spark):
     df = spark.createDataFrame([('<datafile><header><name>N</name></header><game name="g" cloneof=""/></datafile>',)], "x string")
     r = df.select(dat.parse_dat(F.col("x")).alias("d")).first().d
     assert r.header.name == "N" and r.game[0]["_cloneof"] == "" and r.game[0].rom is None
+
+
+def test_catalogue_from_public_sources(spark, tmp_path):
+    import json
+
+    from setforge.operators import fetch
+
+    (tmp_path / "in").mkdir()
+    for name, body in (("game.nes", b"1"), ("GAME.rom", b"22"), ("readme.txt", b"x"), ("plain", b"3"), ("tetris.nes", b"4"), ("bad.zip", b"PK\x03\x04nothing")):
+        (tmp_path / "in" / name).write_bytes(body)
+    with zipfile.ZipFile(tmp_path / "in" / "game.zip", "w") as z:
+        z.writestr("game.nes", b"in zip")
+        z.writestr("sonic.nes", b"no")
+        z.writestr("note.txt", b"no")
+    with zipfile.ZipFile(tmp_path / "pack.zip", "w") as z:
+        z.writestr("one.gb", b"one")
+    roots = [str(tmp_path / "in")]
+    if shutil.which("bsdtar"):
+        roots.append(fetch.prepare_source("archive", str(tmp_path / "pack.zip"), str(tmp_path / "prepared")))
+    sources = [{"prepared_root": r, "tier": "curated", "evidence": "says so", "allow_extensionless": 1, "exclude_disallowed": 0} for r in roots]
+    n = fetch.write_catalogue(spark, sources, str(tmp_path / "work"), {"name": "Smoke"}, {"metadata": "m"}, 0)
+    m = json.loads((tmp_path / "work" / "manifest.json").read_text())
+    got = [(r["game_name"], r["rom_name"], r["size"]) for r in m["roms"]]
+    assert got[:4] == [("GAME", "GAME.rom", 2), ("game", "game.nes", 1), ("game_2", "game.nes", 6), ("plain", "plain", 1)] and n == len(got) == 3 + len(roots)
+    store = api.open_store(spark, str(tmp_path / "store"))
+    os.remove(tmp_path / "in" / "bad.zip")  # a build's own scan is strict
+    r = api.run(store, str(tmp_path / "work" / "catalogue.dat"), roots[0], str(tmp_path / "out"))
+    assert r.matched >= 4
+
+
+def test_stream_refreshes_the_store(spark, tree, tmp_path):
+    from setforge import schemas
+    from setforge.streaming.refresh import refresh
+
+    store = api.open_store(spark, str(tmp_path / "store"))
+    filetree.read_tree(spark, str(tree)).write.parquet(str(tmp_path / "scans"))
+    for _ in range(2):
+        q = refresh(spark.readStream.schema(schemas.SCANNED).parquet(str(tmp_path / "scans")), store, str(tree), str(tmp_path / "check"))
+        q.awaitTermination(120)
+    assert store.table("rom_files").count() == 2
