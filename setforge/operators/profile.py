@@ -26,8 +26,8 @@ def with_leaf(samples: DataFrame) -> DataFrame:
 def group_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Count of each key and its percentage of all rows."""
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))  # one row
-    return counted.join(F.broadcast(total)).withColumn("pct", share(F.col("n"), F.col("total"))).drop("total")
+    total = rows.agg(F.count("*")).scalar()
+    return counted.withColumn("pct", share(F.col("n"), total))
 
 
 def thread_breakdown(samples: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def stack_edges(samples: DataFrame) -> DataFrame:
 def callee_edges(samples: DataFrame, n: int = 30) -> DataFrame:
     """The n most frequent edges; percentages are of samples, not of edges."""
     counted = stack_edges(samples).groupBy("caller", "callee").agg(F.count("*").alias("n"))
-    total = samples.agg(F.count("*").alias("total"))
-    out = counted.join(F.broadcast(total)).select("caller", "callee", "n", share(F.col("n"), F.col("total")).alias("pct"))
+    total = samples.agg(F.count("*")).scalar()
+    out = counted.select("caller", "callee", "n", share(F.col("n"), total).alias("pct"))
     return out.orderBy(F.desc("n"), "caller", "callee").limit(n)
 
 
@@ -75,11 +75,10 @@ def time_range(rows: DataFrame, time: str) -> DataFrame:
 
 def bucketed(rows: DataFrame, time: str, buckets: int = 10) -> DataFrame:
     """``rows`` with ``bucket``: equal widths between the least and the largest time, which falls into the last bucket."""
-    lo_hi = rows.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    wide = rows.join(F.broadcast(lo_hi))
-    span = F.col("hi") - F.col("lo")
-    raw = F.when(span > 0, F.floor((F.col(time) - F.col("lo")) * buckets / span)).otherwise(0)
-    return wide.withColumn("bucket", F.least(raw, F.lit(buckets - 1)).cast("int")).drop("lo", "hi")
+    ends = rows.agg(F.struct(F.min(time).alias("lo"), F.max(time).alias("hi"))).scalar()
+    lo, span = ends["lo"], ends["hi"] - ends["lo"]
+    raw = F.when(span > 0, F.floor((F.col(time) - lo) * buckets / span)).otherwise(0)
+    return rows.withColumn("bucket", F.least(raw, F.lit(buckets - 1)).cast("int"))
 
 
 def timeline(rows: DataFrame, time: str, item: str, buckets: int = 10) -> DataFrame:

@@ -1,7 +1,8 @@
 """The cache: catalogues, games, roms and scanned files as Parquet datasets in one folder.
 
 A change writes a new version beside the current one and then moves a small pointer file, so a reader sees all of a
-change or nothing, and a change that fails leaves the store as it was. Ids go on from the largest there is.
+change or nothing, and a change that fails leaves the store as it was. Catalogues are numbered on from the largest id
+there is; games, roms and files, which may be very many, get a hash of what identifies them, so no task counts them.
 """
 
 from __future__ import annotations
@@ -69,27 +70,29 @@ class Store:
             if name in old:
                 shutil.rmtree(os.path.join(self.path, old[name]), ignore_errors=True)
 
-    @staticmethod
-    def _numbered(rows: DataFrame, first: int, *order: str) -> DataFrame:
-        """Ids from ``first`` on, within one catalogue or one scan at a time."""
-        return rows.withColumn("id", F.row_number().over(W.orderBy(*order)) + F.lit(first - 1).cast("long"))
-
     def _next(self, name: str) -> int:
         return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
 
+    @staticmethod
+    def _files(scanned: DataFrame) -> DataFrame:
+        """Scanned rows as rows of rom_files."""
+        rows = scanned.withColumn("id", F.xxhash64("path", "name", "entry_seq"))
+        return rows.select(*[(F.col(c.name) if c.name in rows.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schemas.ROM_FILES])
+
     def import_catalogue(self, dat: Catalogue) -> list[int]:
         """Store catalogues, replacing those with the same header name with all their games and roms; the new ids."""
         old_files, old_games, old_roms = self.table("data_files"), self.table("games"), self.table("roms")
         header = catalogue.latest_by(dat.header, ["name"], "file_name")
-        header = self._numbered(header, self._next("data_files"), "name")
+        # one row a catalogue file of this import
+        header = header.withColumn("id", F.row_number().over(W.orderBy("name")) + F.lit(self._next("data_files") - 1).cast("long"))
         gone = old_files.join(header.select("name"), "name", "left_semi")
         gone_games = old_games.join(gone.select(F.col("id").alias("data_file_id")), "data_file_id", "left_semi")
         of_file = header.select("file_name", F.col("id").alias("data_file_id"))
         games = catalogue.latest_by(dat.games.join(of_file, "file_name").drop("source_file"), ["data_file_id", "name"], "game_seq")
-        games = self._numbered(games, self._next("games"), "data_file_id", "game_seq")
+        games = games.withColumn("id", F.xxhash64("data_file_id", "name"))
         game_ids = games.select("file_name", "game_seq", F.col("id").alias("game_id"))
         roms = catalogue.latest_by(dat.roms.join(game_ids, ["file_name", "game_seq"]), ["game_id", "name"], "rom_seq")
-        roms = self._numbered(roms, self._next("roms"), "game_id", "rom_seq").withColumn("date", F.lit(None).cast("date"))
+        roms = roms.withColumn("id", F.xxhash64("game_id", "name")).withColumn("date", F.lit(None).cast("date"))
 
         def fill(df: DataFrame, name: str) -> DataFrame:
             return df.select(*[(F.col(c.name) if c.name in df.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in TABLES[name]])
@@ -107,19 +110,14 @@ class Store:
 
     def replace_scanned(self, scanned: DataFrame, root: str) -> tuple[int, int]:
         """Replace all files under a root by the rows of a scan; numbers of files, and of those that belong to a rom."""
-        first = self._next("rom_files")
-        rows = self._numbered(scanned, first, "path", "entry_seq")
-        rows = rows.select(*[(F.col(c.name) if c.name in rows.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schemas.ROM_FILES])
-        kept = catalogue.replace_under_root(self.table("rom_files"), rows, root)
+        kept = catalogue.replace_under_root(self.table("rom_files"), self._files(scanned), root)
         self.replace(rom_files=catalogue.associate(kept, self.table("roms")))
-        new = self.table("rom_files").filter(F.col("id") >= first).agg(F.count("*"), F.count("rom_id")).first()
-        return new[0], new[1]
+        found = self.table("rom_files").filter(paths.under(F.col("path"), root)).agg(F.count("*"), F.count("rom_id")).first()
+        return found[0], found[1]
 
     def append_scanned(self, scanned: DataFrame) -> None:
         """Add rows of a scan without replacing any."""
-        rows = self._numbered(scanned, self._next("rom_files"), "path", "entry_seq")
-        rows = rows.select(*[(F.col(c.name) if c.name in rows.columns else F.lit(None)).cast(c.dataType).alias(c.name) for c in schemas.ROM_FILES])
-        self.replace(rom_files=catalogue.associate(self.table("rom_files").unionByName(rows), self.table("roms")))
+        self.replace(rom_files=catalogue.associate(self.table("rom_files").unionByName(self._files(scanned)), self.table("roms")))
 
     def find_catalogue(self, selector: str) -> tuple[int, str]:
         """(id, name) of the catalogue with this file name, else with this header name; the newest of several."""
@@ -139,4 +137,4 @@ class Store:
         """The planner's sources: all scanned files, each digest checked before any filter."""
         rows = self.table("rom_files")
         kind = F.coalesce("kind", paths.source_kind(F.col("in_archive"), F.col("path")))
-        return rows.select(F.col("parent_path").alias("source_root"), F.col("path").alias("canonical_path"), F.when(F.col("in_archive"), F.col("name")).alias("entry_name"), kind.alias("kind"), text.checked_sha1(F.col("sha1"), F.col("path")).alias("sha1"), F.col("id").alias("seq"))
+        return rows.select(F.col("parent_path").alias("source_root"), F.col("path").alias("canonical_path"), F.when(F.col("in_archive"), F.col("name")).alias("entry_name"), kind.alias("kind"), text.checked_sha1(F.col("sha1"), F.col("path")).alias("sha1"), F.col("entry_seq").cast("long").alias("seq"))

@@ -118,5 +118,6 @@ def write_bundles(entries: DataFrame, destination: str, compression: str = "defl
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = entries.repartition(n, "zip").sortWithinPartitions("zip", *[c for c in order if c in entries.columns])
     out = dealt.select("zip", "rom_name", "canonical_path", "entry_name", "kind").mapInPandas(write, schema)
-    written = out.collect()  # the action: one row a file
-    return spark.createDataFrame(sorted(map(tuple, written)), schema)
+    written = out.persist()  # a row a file; lost rows are made again by writing the same files
+    written.count()  # the action
+    return written.orderBy("path")
