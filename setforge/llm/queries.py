@@ -110,4 +110,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op6_top_k": OP6_SQL}
+    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op4_secret_scan": secrets.SQL, "op6_top_k": OP6_SQL}

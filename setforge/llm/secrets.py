@@ -144,3 +144,59 @@ def report(docs: DataFrame) -> DataFrame:
     found = scan(docs).select("doc_id", "base", "spans")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(b[0]) for b in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+_ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_HEX, _ACCESS, _RUN = "[0-9a-f]{16,}", "AKIA[A-Z0-9]+", f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: The same rows for tables of up to SAMPLE_ROWS documents, all of which train the models.
+SQL = f"""
+with docs as (select doc_id, coalesce(text, '') as text from documents),
+m as (
+  select doc_id, 0 as ord, 'assign' as kind, 12 as least, regexp_extract_all(text, '{_ASSIGN}') as ms, regexp_extract_all(text, '{_ASSIGN}', 1) as vs, string_split_regex(text, '{_ASSIGN}') as gs from docs
+  union all select doc_id, 1, 'access', 18, regexp_extract_all(text, '{_ACCESS}'), regexp_extract_all(text, '{_ACCESS}'), string_split_regex(text, '{_ACCESS}') from docs
+  union all select doc_id, 2, 'hex', 16, regexp_extract_all(text, '{_HEX}'), regexp_extract_all(text, '{_HEX}'), string_split_regex(text, '{_HEX}') from docs
+  union all select doc_id, 3, '{KIND}', {LEAST}, regexp_extract_all(text, '{_RUN}'), regexp_extract_all(text, '{_RUN}'), string_split_regex(text, '{_RUN}') from docs
+),
+u as (select doc_id, ord, kind, least, unnest(range(1, len(ms) + 1)) as i, ms, vs, gs from m where len(ms) > 0),
+s as (
+  select doc_id, ord, kind, vs[i] as v, length(ms[i]) as n, least,
+    cast(list_sum(list_transform(gs[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) as bigint) as b
+  from u
+),
+spans as (select doc_id, ord, kind, v, b, b + n as e from s where length(v) >= least),
+base as (select * from spans where ord < 3),
+tokens as (
+  select 1 as random, regexp_replace(v, '[^A-Za-z0-9+/_=-]', '', 'g') as v from base
+  union all
+  select 0, x from (select unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+')) as x from docs) where regexp_full_match(x, '[A-Za-z_]{{8,}}')
+),
+pairs as (select random, v, unnest(range(1, length(v))) as i from tokens where length(v) > 1),
+counts as (select random, substr(v, i, 1) as a, substr(v, i + 1, 1) as z, count(*) as n from pairs group by 1, 2, 3),
+sums as (select random, a, sum(n) as n from counts group by 1, 2),
+runs as (
+  select * from spans r where ord = 3 and (select count(*) from base) > 0
+    and not exists (select 1 from base x where x.doc_id = r.doc_id and x.b < r.e and r.b < x.e)
+),
+steps as (select doc_id, b, v, unnest(range(1, length(v))) as i from runs),
+scored as (
+  select t.doc_id, t.b, sum(round(ln(((coalesce(c1.n, 0) + 1.0) / (coalesce(s1.n, 0) + {LETTERS})) / ((coalesce(c0.n, 0) + 1.0) / (coalesce(s0.n, 0) + {LETTERS}))), 6)) / count(*) as mean
+  from steps t
+  left join counts c1 on c1.random = 1 and c1.a = substr(v, i, 1) and c1.z = substr(v, i + 1, 1)
+  left join counts c0 on c0.random = 0 and c0.a = substr(v, i, 1) and c0.z = substr(v, i + 1, 1)
+  left join sums s1 on s1.random = 1 and s1.a = substr(v, i, 1)
+  left join sums s0 on s0.random = 0 and s0.a = substr(v, i, 1)
+  group by 1, 2
+),
+every as (
+  select * from base
+  union all
+  select r.* from runs r join scored using (doc_id, b) where mean > {MEAN_RATIO}
+),
+agg as (
+  select doc_id, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex,
+    string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) filter (ord < 3) as base, string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) as spans
+  from every group by 1
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join agg using (doc_id)
+"""
