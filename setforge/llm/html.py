@@ -40,12 +40,17 @@ MARKS = frozenset(
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the attributes of an element say that it is boilerplate or hidden."""
+#: Words that turn a name about a part of the page into one about the page: has-sidebar, content-with-nav.
+ABOUT = frozenset("has no non with without open closed".split())
+
+
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the attributes of an element say that it is boilerplate or hidden. Articles must say it with a whole name."""
     for name, value in attrs:
         if name in ("class", "id"):
-            for word in (value or "").lower().replace("-", " ").replace("_", " ").split():
-                if word in MARKS:
+            for token in (value or "").lower().split():
+                parts = [token] if tag == "article" else token.replace("_", "-").split("-")
+                if not MARKS.isdisjoint(parts) and ABOUT.isdisjoint(parts):
                     return True
         elif name == "role":
             if (value or "").strip().lower() in ROLES:
@@ -108,7 +113,7 @@ class Lines(HTMLParser):
                 while len(self._open) > at:
                     self._pop()
         self._open.append(tag)
-        if tag in DROPPED or attrs and tag not in ("html", "body", "article", "main") and _marked(attrs) or attrs and tag == "article" and _marked(attrs):
+        if tag in DROPPED or attrs and tag not in ("html", "body", "main") and _marked(tag, attrs):
             if tag not in BLOCKS:
                 self._text.append(" ")
             self._dropped = len(self._open)

@@ -57,6 +57,7 @@ def test_html_without_article():
     long = "Some real words of the story go on here. " * 12
     page = f"<body><div class='sidebar'><p>{long}</p></div><div><a href=a>x</a> <a href=b>y</a></div><div id=story><p>{long}</p><p>End.</p></div></body>"
     assert html.extract(page) == f"{long.strip()}\n\nEnd."
+    assert html.extract("<div class='content-with-sidebar'><article class='post comments-open'><p>kept</article><div class='site-header'>no</div></div>") == "kept"
     assert html.extract("plain &amp; text") == "plain & text" and html.extract("<p>a</p><p>b</p>") == "a\n\nb"
 
 
