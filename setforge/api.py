@@ -45,7 +45,10 @@ def import_dat(store: Store, path: str) -> int:
 def scan_source(store: Store, path: str) -> tuple[int, int]:
     """(files, files that belong to a known rom) of a tree, which replace all stored rows under it."""
     root = canonical(path)
-    return store.replace_scanned(read_tree(store.spark, root, exclude=[store.path]), root)
+    files, known = store.replace_scanned(read_tree(store.spark, root, exclude=[store.path]), root)
+    if files and not known:
+        reports.log.warning("%d files scanned under %s, none of them belongs to a known catalogue", files, root)
+    return files, known
 
 
 def build(store: Store, selector: str, source: str, destination: str, layout: str = planner.PARENT_BUNDLES, compression: str = "deflate", strict: bool = False, dry_run: bool = False) -> BuildReport:
