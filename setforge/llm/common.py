@@ -25,9 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: lineage ends there and every later use reads the files."""
+    """``df`` written once to the shared folder and read back: lineage ends there and every later use reads the files.
+
+    The files go when the application ends, or earlier by :func:`drop_stored`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/setforge-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._setforge_path = path

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from setforge.llm.common import stored
 
 K, EVERY, SCALE = 10, 100, 1024
-ROUTES, PAGE, QUERIES = 64, 4096, 1024
+ROUTES, PAGE, QUERIES = 1024, 4096, 1024
 LEAF, FANOUT, SEED = 48, 10, 5
 
 
@@ -172,14 +172,22 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
         routes[j, : len(r["v"])] = r["v"]
     points = np.c_[routes, np.sqrt(np.maximum(longest_sq - (routes**2).sum(axis=1), 0))]
 
+    points_sq = (points**2).sum(axis=1)
+    margin = 4e-6 * math.sqrt(longest_sq) + 1e-6  # of distances by products, where large squares cancel out
+
+    def far(p: np.ndarray) -> np.ndarray:
+        """Distances (rows, routes)."""
+        return np.sqrt(np.maximum((p * p).sum(axis=1)[:, None] + points_sq - 2 * (p @ points.T), 0))
+
     def assign(batches):
-        for pdf in batches:
-            m = _matrix(pdf["v"]).astype(np.float64)
-            m = np.c_[m, np.zeros((len(m), width - m.shape[1]))]
-            p = np.c_[m, np.sqrt(np.maximum(longest_sq - (m * m).sum(axis=1), 0))]
-            d = np.sqrt(np.maximum(((p[:, None, :] - points[None]) ** 2).sum(axis=2), 0)) if len(p) else np.zeros((0, len(points)))
-            route = d.argmin(axis=1) if len(p) else np.zeros(0, int)
-            yield pdf.assign(route=route.astype("int32"), apart=d[np.arange(len(p)), route])
+        for whole in batches:
+            for at in range(0, len(whole), 2048):
+                pdf = whole.iloc[at : at + 2048]
+                m = _matrix(pdf["v"]).astype(np.float64)
+                m = np.c_[m, np.zeros((len(m), width - m.shape[1]))]
+                d = far(np.c_[m, np.sqrt(np.maximum(longest_sq - (m * m).sum(axis=1), 0))])
+                route = d.argmin(axis=1)
+                yield pdf.assign(route=route.astype("int32"), apart=d[np.arange(len(m)), route])
 
     dealt = stored(rows.mapInPandas(assign, "id long, v array<long>, route int, apart double"))
     sizes = {r["route"]: (r["n"], r["radius"]) for r in dealt.groupBy("route").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # ROUTES rows at most
@@ -194,8 +202,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec
     def bounds(v: np.ndarray) -> np.ndarray:
         """(queries, routes): the highest score that a route's covering radius allows."""
         q = np.c_[v, np.zeros((len(v), width + 1 - v.shape[1]))]
-        d = np.sqrt(((q[:, None, :] - points[None]) ** 2).sum(axis=2))
-        low = np.maximum(d - radius - 1e-6 * (1 + d), 0)
+        low = np.maximum(far(q) - radius - margin, 0)
         top = ((q * q).sum(axis=1)[:, None] + longest_sq - low**2) / 2
         return np.where(radius < 0, -np.inf, top + 1e-6 * abs(top) + 1)
 
