@@ -9,7 +9,8 @@ sharded by gram, and the replies return to the block, where the probabilities ar
 document. So the shuffled requests follow the number of blocks and not that of characters, and the text is shuffled
 once: the exchange serves both the requests and the scoring.
 
-A document is kept if its perplexity is at most the ``QUANTILE`` of its language's trusted documents, times ``SLACK``.
+A document is kept if its perplexity is at most the ``QUANTILE`` of its language's trusted documents, times ``SLACK``
+and an allowance for short texts, whose mean varies more: exp(``SPREAD`` / sqrt(characters)).
 One trusted document in ``HELD_OUT``, chosen by a hash of its id, is not counted by the model and sets the quantiles,
 as the perplexity of counted text would be too low. Languages without such documents take the quantile of all of them. A null or empty text has a null perplexity
 and isn't kept. Without any trusted text there is no model: perplexity and threshold are null and every text with a
@@ -34,7 +35,9 @@ from setforge.llm.common import stored
 #: Four characters of 16 bits fill a long; orders below leave the high bits empty, so one key tells the order as well.
 ORDER = 4
 BLOCK_BYTES = 20 << 20
-QUANTILE, SLACK = 0.99, 1.25
+QUANTILE, SLACK = 0.99, 1.15
+#: Allowance for the mean of few characters, as a factor exp(SPREAD / sqrt(n)) on the threshold of a text of n.
+SPREAD = 4.0
 #: One trusted document in so many is left out of the counts and sets the thresholds instead.
 HELD_OUT = 5
 #: Labels up to this number are broadcast (16 MB of ids); more are joined by shuffling both sides.
@@ -216,5 +219,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     every = all_languages["threshold"] if all_languages else float("inf")
     own = bars.filter("not every").select(F.col("lang").alias("bar_lang"), "threshold")
     out = scores.join(own, F.col("lang").eqNullSafe(F.col("bar_lang")), "left")
-    bar = F.round(F.coalesce("threshold", F.lit(every)) * slack, 4)
+    bar = F.round(F.coalesce("threshold", F.lit(every)) * slack * F.exp(F.lit(SPREAD) / F.sqrt(F.greatest("n", F.lit(1)))), 4)
     return out.select("doc_id", "lang", "n", "perplexity", bar.alias("threshold"), F.coalesce(F.col("perplexity") <= bar, F.lit(False)).alias("keep"))
