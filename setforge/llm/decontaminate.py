@@ -105,7 +105,7 @@ class Items:
     def _signs(self, windows: np.ndarray, n: int) -> np.ndarray:
         """(windows, R, SAMPLED): the words that each repetition's walk reads at its sampled steps."""
         m = len(windows)
-        out = np.zeros((m, self.rounds, self.sampled), np.int64)
+        out = np.zeros((m, self.rounds, self.sampled), np.int32)
         padded = np.concatenate([windows, np.zeros((m, 1), np.int64)], axis=1)
         rows = np.arange(m)[:, None]
         at = np.zeros((m, self.rounds), np.int64)
@@ -202,10 +202,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     out = spark.createDataFrame([], schema)
     for block in _blocks(items.select(F.col("item_id").cast("long"), "text").dropna()):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block])
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block], similarity))  # built once, its size bound by BLOCK_WORDS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ready = Items(shared.value, similarity)
+            ready = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     batch = whole.slice(at, 256)
@@ -226,10 +226,10 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", sim
     columns = docs.columns
     place = columns.index(text_col)
     for block in _blocks(items.select(F.col("item_id").cast("long"), "text").dropna()):
-        shared = spark.sparkContext.broadcast([tuple(r) for r in block])
+        shared = spark.sparkContext.broadcast(Items([tuple(r) for r in block], similarity))  # built once, its size bound by BLOCK_WORDS
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ready = Items(shared.value, similarity)
+            ready = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
                     batch = whole.slice(at, 256)
