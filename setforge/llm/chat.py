@@ -35,16 +35,23 @@ from setforge.llm.common import drop_stored, stored
 BROADCAST_FIELDS = 10_000
 
 
+def _print(*columns: str):
+    """A hash that tells apart rows of other values, nulls included."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def _one_call_each(calls: DataFrame) -> DataFrame:
-    """(call_id, name, arguments, after, repeated): one row an id, summed up before it is shuffled."""
+    """(call_id, name, arguments, after, repeated): one row an id, summed up before it is shuffled; of the other rows only a hash moves."""
     row = F.struct("name", "arguments", "after")
-    least = calls.dropna(subset=["call_id"]).groupBy("call_id").agg(F.min(row).alias("x"), F.max(row).alias("y"))
-    return least.select("call_id", "x.name", "x.arguments", "x.after", (~F.col("x").eqNullSafe(F.col("y"))).alias("repeated"))
+    own = calls.dropna(subset=["call_id"]).select("call_id", row.alias("row"), _print("name", "arguments", "after").alias("print"))
+    least = own.groupBy("call_id").agg(F.min("row").alias("x"), F.min("print").alias("p"), F.max("print").alias("q"))
+    return least.select("call_id", "x.name", "x.arguments", "x.after", (F.col("p") != F.col("q")).alias("repeated"))
 
 
 def _one_result_each(results: DataFrame) -> DataFrame:
-    least = results.dropna(subset=["call_id"]).groupBy("call_id").agg(F.min("content").alias("result"), F.max("content").alias("y"), F.count("*").alias("n_results"))
-    return least.select("call_id", "result", "n_results", (~F.col("result").eqNullSafe(F.col("y"))).alias("several"))
+    own = results.dropna(subset=["call_id"]).select("call_id", "content", _print("content").alias("print"))
+    least = own.groupBy("call_id").agg(F.min("content").alias("result"), F.min("print").alias("p"), F.max("print").alias("q"), F.count("*").alias("n_results"))
+    return least.select("call_id", "result", "n_results", (F.col("p") != F.col("q")).alias("several"))
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -80,9 +87,8 @@ def depths(calls: DataFrame) -> DataFrame:
     return state.select("call_id", F.when(~cyclic, F.col("thread")).alias("thread"), F.when(~cyclic, F.col("depth")).alias("depth"), "dangling")
 
 
-def _json_type(value) -> F.Column:
-    """The JSON type of a variant."""
-    kind = F.schema_of_variant(value)
+def _json_type(kind):
+    """The JSON type of a variant, from the beginning of its schema."""
     return (
         F.when(kind == "STRING", "string")
         .when(kind == "BOOLEAN", "boolean")
@@ -94,8 +100,16 @@ def _json_type(value) -> F.Column:
     )
 
 
-def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(call_id, argument_problems): what the arguments lack against the schema of the call's name, sorted and comma-joined.
+def outlines(calls: DataFrame) -> DataFrame:
+    """(call_id, after, name, kinds): of the arguments only each field's name and type, null where they are no JSON object."""
+    v = F.try_parse_json("arguments")
+    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    kinds = F.transform_values(F.expr("cast(v as map<string, variant>)"), lambda _, x: F.substring(F.schema_of_variant(x), 1, 7))
+    return calls.select("call_id", "after", "name", v.alias("v")).select("call_id", "after", "name", F.when(is_object, kinds).alias("kinds"))
+
+
+def problems(outlined: DataFrame, schemas: DataFrame) -> DataFrame:
+    """(call_id, argument_problems): what the :func:`outlines` of calls lack against the schema of the call's name, sorted and comma-joined.
 
     Given and expected fields meet in a full outer join on (call_id, field).
     """
@@ -103,11 +117,9 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     small = fields.count() <= BROADCAST_FIELDS
     deal = F.broadcast if small else (lambda df: df)
     names = fields.select(F.col("name").alias("schema_name")).distinct()
-    parsed = calls.select("call_id", "name", F.try_parse_json("arguments").alias("v"))
-    is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
-    parsed = parsed.withColumn("readable", is_object)
-    given = parsed.filter("readable").select("call_id", F.explode(F.expr("cast(v as map<string, variant>)")).alias("field", "value"))
-    given = given.select("call_id", "field", _json_type("value").alias("given"))
+    parsed = outlined.select("call_id", "name", "kinds", F.col("kinds").isNotNull().alias("readable"))
+    given = parsed.filter("readable").select("call_id", F.explode("kinds").alias("field", "kind"))
+    given = given.select("call_id", "field", _json_type(F.col("kind")).alias("given"))
     wanted = parsed.filter("readable").select("call_id", "name").join(deal(fields), "name").select("call_id", "field", "type", F.coalesce("required", F.lit(False)).alias("required"))
     met = given.join(wanted, ["call_id", "field"], "full_outer")
     wrong = (
@@ -126,8 +138,10 @@ def problems(calls: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row a call: call_id, thread, place (of the call; its result has the next one), name, n_results, problems, canonical."""
-    each = stored(_one_call_each(calls))
-    linked = each.join(_one_result_each(results), "call_id", "left").join(depths(each), "call_id", "left").join(problems(each, schemas), "call_id", "left")
+    each = _one_call_each(calls)
+    outlined = stored(outlines(each))  # without the long texts, which move once more for the result alone
+    whole = each.drop("after").join(_one_result_each(results), "call_id", "left")
+    linked = whole.join(depths(outlined), "call_id", "left").join(problems(outlined, schemas), "call_id", "left")
     found = F.array_compact(
         F.array(
             F.col("argument_problems"),
