@@ -7,7 +7,10 @@ CGK embeds a window: a walk reads the window's current word at every step and mo
 random bit of the step and the word says. Edit distance thus becomes a Hamming distance between walks. Each of R
 repetitions has a walk of its own and compares the words read at ``SAMPLED`` steps; a window whose words agree with the
 item's at all of them is a candidate. R is set from ``RECALL`` (see :func:`repetitions`). Candidates are verified by
-dynamic programming.
+dynamic programming. Walks pass over words of no item as they do over others, so that a passage may be edited with them.
+
+The longer an item, the less its walks agree: the measured R holds up to ``WALKED`` words. All windows of longer items
+are verified. One dynamic program verifies all starts beside a candidate.
 
 Only windows that can match are embedded: an item cut into one piece more than its edits has a piece that every match
 holds unchanged, so window starts are taken around exact occurrences of pieces, shifted by at most the edits. That
@@ -32,8 +35,12 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 SIMILARITY, SAMPLED, RECALL, SEED = 0.8, 2, 0.999, 11
-#: Share of steps at which the walks of an item and of a passage at the full number of edits agree, from random edits.
+#: Share of steps at which walks agree, so set that AGREE ** SAMPLED, 0.0196, is below the mean share of repetitions that met
+#: at the full number of edits at WALKED words, 0.035 at least: substitutions, insertions and deletions, by words of no item or
+#: of the same one, evenly spread, random or at the beginning. Evenly spread deletions are the worst.
 AGREE = 0.14
+#: Words of the longest items that are found by walks.
+WALKED = 200
 BLOCK_WORDS = 500_000
 #: Walk steps per window word.
 STRETCH = 3
@@ -58,7 +65,7 @@ class Item:
     item_id: int
     ids: np.ndarray  # word numbers, 1 and up
     edits: int
-    signs: np.ndarray  # (R, SAMPLED)
+    signs: np.ndarray | None  # (R, SAMPLED); none for items over WALKED
 
 
 class Items:
@@ -71,13 +78,14 @@ class Items:
         for _, w in split:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
-        self.codes = np.zeros(len(self.vocab) + 1, np.uint64)  # 0: a word of no item, and what follows the end
+        self.codes = np.full(len(self.vocab) + 1, _code(""), np.uint64)  # 0: a word of no item, and what follows the end
         for x, k in self.vocab.items():
             self.codes[k] = _code(x)
         self.rounds, self.sampled = repetitions(sampled, recall), sampled
         self.longest = max((len(w) for _, w in split), default=1)
         rng = np.random.default_rng(SEED)
-        self.odd = rng.integers(0, 1 << 63, (self.rounds, STRETCH * self.longest), np.uint64) * np.uint64(2) + np.uint64(1)
+        walked = max((len(w) for _, w in split if len(w) <= WALKED), default=1)
+        self.odd = rng.integers(0, 1 << 63, (self.rounds, STRETCH * walked), np.uint64) * np.uint64(2) + np.uint64(1)
         self.steps = rng.random((self.rounds, sampled))
         self.items: list[Item] = []
         #: Of each piece length: hash of a piece to the (item, place in the item) that it stands at.
@@ -87,7 +95,7 @@ class Items:
             n, edits = len(ids), int((1 - similarity) * len(ids) + 1e-9)
             size = n // (edits + 1)
             k = len(self.items)
-            self.items.append(Item(item_id, ids, edits, self._signs(ids[None, :], n)[0]))
+            self.items.append(Item(item_id, ids, edits, self._signs(ids[None, :], n)[0] if n <= WALKED else None))
             for p in range(edits + 1):
                 key = self._hashes(ids[p * size : (p + 1) * size], size)[0]
                 self.pieces.setdefault(size, {}).setdefault(int(key), []).append((k, p * size))
@@ -131,6 +139,36 @@ class Items:
         end = int(row.argmin())
         return int(row[end]), end
 
+    def _starts(self, item: np.ndarray, text: np.ndarray, most: int) -> np.ndarray:
+        """At each place of ``text``, the least edit distance of the item and any stretch that starts there, from the ends backwards; more than ``most`` everywhere if no start has less."""
+        back = text[::-1]
+        row, steps = np.zeros(len(text) + 1, np.int64), np.arange(len(text) + 1)
+        for k, x in enumerate(item[::-1], 1):
+            new = np.minimum(row + 1, np.r_[k, row[:-1] + (back != x)])
+            row = np.minimum.accumulate(new - steps) + steps
+            if row.min() > most:
+                break
+        return row[::-1]
+
+    def _near(self, item: Item, places: np.ndarray, padded: np.ndarray) -> Iterator[int]:
+        """The first of the best starts in every stretch of ``places`` that holds a match and, up to WALKED words, a window whose walk meets the item's.
+
+        The window that meets need not be the one that matches, its start may be an edit or two aside.
+        """
+        n = len(item.ids)
+        met = np.ones(len(places), bool)
+        if item.signs is not None:
+            for lo in range(0, len(places), 512):
+                signs = self._signs(padded[places[lo : lo + 512, None] + np.arange(n)], n)
+                met[lo : lo + 512] = (signs == item.signs).all(axis=2).any(axis=1)
+        cuts = np.flatnonzero(np.diff(places) > 1) + 1
+        for part, hit in zip(np.split(places, cuts), np.split(met, cuts)):
+            for lo in range(0, len(part) if hit.any() else 0, 2 * n):
+                some = part[lo : lo + 2 * n]
+                least = self._starts(item.ids, padded[some[0] : some[-1] + n + item.edits], item.edits)[: len(some)]
+                if least.min() <= item.edits:
+                    yield int(some[least.argmin()])
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(text number, item id, first word, end word, edits): the best place of each item in each text."""
         get = self.vocab.get
@@ -166,17 +204,13 @@ class Items:
         for k, at in by.items():
             item = self.items[k]
             n = len(item.ids)
-            places = np.array(sorted(at))
-            for lo in range(0, len(places), 512):
-                part = places[lo : lo + 512]
-                signs = self._signs(padded[part[:, None] + np.arange(n)], n)
-                for s in part[(signs == item.signs).all(axis=2).any(axis=1)].tolist():
-                    d = int(np.searchsorted(begin, s, "right")) - 1
-                    end = min(s + n + item.edits, starts[d] + len(found[d]))
-                    edits, length = self._distance(item.ids, padded[s:end], item.edits)
-                    if edits <= item.edits:
-                        new = (edits, s - starts[d], s - starts[d] + length)
-                        best[d, k] = min(best.get((d, k), new), new)
+            for s in self._near(item, np.array(sorted(at)), padded):
+                d = int(np.searchsorted(begin, s, "right")) - 1
+                end = min(s + n + item.edits, starts[d] + len(found[d]))
+                edits, length = self._distance(item.ids, padded[s:end], item.edits)
+                if edits <= item.edits:
+                    new = (edits, s - starts[d], s - starts[d] + length)
+                    best[d, k] = min(best.get((d, k), new), new)
         return sorted((d, self.items[k].item_id, s, e, edits) for (d, k), (edits, s, e) in best.items())
 
 

@@ -313,6 +313,42 @@ def test_leaks_with_edits(spark):
     assert all(r.edits <= 0.2 * 60 and r.end_word > r.first_word for r in got.collect())
 
 
+def test_leaks_edited_with_words_of_no_item():
+    """At the full number of edits, evenly spread, by item length."""
+    rng = np.random.default_rng(6)
+    new = lambda n: [f"v{x}" for x in rng.integers(0, 3000, n)]
+    foreign = lambda n: [f"z{x}" for x in rng.integers(0, 10**6, n)]
+    for n, many in ((30, 20), (59, 20), (150, 12), (200, 8), (420, 2)):
+        items = [new(n) for _ in range(many)]
+        ready = decontaminate.Items([(k, " ".join(w)) for k, w in enumerate(items)])
+        texts, over = [], []
+        for w in items:
+            e = int(0.2 * n + 1e-9)
+            at = (np.arange(e) * n / e + n / e / 2).astype(int)
+            swapped, longer = list(w), list(w)
+            for x, f in zip(at[::-1].tolist(), foreign(e)):
+                swapped[x] = f
+                longer.insert(x, f)
+            texts += [" ".join(foreign(40) + v + foreign(40)) for v in (swapped, longer)]
+            more = [x for k, x in enumerate(swapped) if k % (n // 3)]  # three or four edits more
+            over.append(" ".join(foreign(40) + more + foreign(40)))
+        got = ready.find(texts)
+        assert {h[:2] for h in got} == {(k, k // 2) for k in range(2 * many)}
+        assert all(h[4] <= e for h in got)
+        assert ready.find(over) == []
+
+
+def test_long_items_are_found_at_their_best_place(monkeypatch):
+    rng = np.random.default_rng(7)
+    new = lambda n: [f"v{x}" for x in rng.integers(0, 300, n)]
+    items = [new(int(n)) for n in rng.integers(20, 60, 12)]
+    texts = [" ".join(new(20) + [x for x in w if rng.random() > 0.1] + new(20) + w + new(9)) for w in items] + ["", None, " ".join(items[0][:15])]
+    rows = [(k, " ".join(w)) for k, w in enumerate(items)]
+    walks = decontaminate.Items(rows).find(texts)
+    monkeypatch.setattr(decontaminate, "WALKED", 0)
+    assert decontaminate.Items(rows).find(texts) == walks and len(walks) == 12
+
+
 def test_leaks_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "a short text", "x"), (None, "a short text", "x")], "item_id long, text string, doc_id string")
     assert sorted(r.doc_id for r in decontaminate.leaks(odd, items).collect()) == [5, 5, 6]
