@@ -30,25 +30,30 @@ from setforge.llm.components import components
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: First bit of each segment, and the end of the last.
 CUTS = (0, 21, 42, 64)
+#: With one bit blanked in each segment, the most bits at which one of them must still agree.
+MOST_BITS = 2 * (len(CUTS) - 1) - 1
 #: Fingerprints of one variant that are compared in one piece.
 BLOCK = 4096
 #: Variants over BLOCK that may be broadcast; with more, a plain join deals them.
 BROADCAST_ROWS = 50_000
 
 
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> list[int]:
+    """The hash of every shingle of a UTF-8 text, in order; of all words where there are fewer, none where there is none."""
+    words = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
+    if len(words) <= shingle:
+        return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
+    joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
+    starts = [0, *ends]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """SimHash of a UTF-8 text as a signed 64-bit integer: a bit is 1 if it is set in over half the shingles' hashes."""
-    words = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    n = len(words)
-    if not n:
+    hashes = shingles(text, shingle)
+    if not hashes:
         return 0
-    if n <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]).tolist()
-        starts = [0, *ends]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s : e - 1], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over).view(">i8")[0])
@@ -188,6 +193,8 @@ def _linked(rows: DataFrame, max_bits: int) -> DataFrame:
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(a, b) with a < b: links at ``max_bits`` bits or fewer that connect what all links connect. ``fps`` holds distinct fingerprints."""
+    if max_bits > MOST_BITS:
+        raise ValueError(f"the segments find all links up to {MOST_BITS} bits, not {max_bits}")
     spark = fps.sparkSession
     full = stored(_full_variants(fps).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     rows = _variants(fps)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from setforge.llm import bpe, components, decontaminate, langid, quality, repeats, secrets, simhash
+from setforge.llm import bpe, components, decontaminate, langid, quality, repeats, secrets, similar, simhash
 from setforge.llm.queries import tokenizer_path
 
 
@@ -84,6 +84,62 @@ def test_full_variants_are_dealt_in_blocks(spark, monkeypatch):
     assert classes([tuple(r) for r in found], prints) == classes(every, prints)
 
 
+def test_more_bits_than_the_segments_cover(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), simhash.MOST_BITS + 1)
+
+
+def plain_near_copies(rows, least=0.8):
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    pairs = [(j, k) for k in range(len(rows)) for j in range(k) if len(sets[j] & sets[k]) >= least * len(sets[j] | sets[k])]
+    cls = classes(pairs, range(len(rows)))
+    out = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            out[cls[k]] = min(i, out.get(cls[k], i))
+    return sorted(((i, out.get(cls[k])) for k, (i, _) in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_copies_against_all_pairs(spark, small, odd, none, monkeypatch, block):
+    """Copies with edits, most of them well above 0.8, a chain of copies of copies, and odd rows."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = [new(200) for _ in range(20)]
+    for w in texts[:10]:
+        for e in (1, 2, 4):
+            v = list(w)
+            for at in rng.choice(200, e, replace=False):
+                v[at] = "edited"
+            texts.append(v)
+    for _ in range(60):  # each a copy of the last with one word changed
+        texts.append(list(texts[-1]))
+        texts[-1][int(rng.integers(200))] = new(1)[0]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rows += [tuple(r) for r in odd.select("doc_id", "text").collect()]
+    got = similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain_near_copies(rows)
+    assert similar.near_copies(none).count() == 0
+    if block == 2048:
+        rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
+        assert sorted(map(tuple, similar.near_copies(small).collect()), key=repr) == plain_near_copies(rows)
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    edited = ["edited" if k in (50, 120, 190, 260) else w for k, w in enumerate(words)]  # shares 276 of 316 shingles
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(reversed(words))), (None, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0 for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())) == [0, 1, 3]
+
+
 # --- repeated passages -----------------------------------------------------------------------------------------------
 
 
