@@ -3,9 +3,10 @@
 The standard library's parser runs once over the page. Its events are folded into lines, one for each block of text,
 with the characters of the block, the tags met since the line before, and the container that it stands in. The
 text-to-tag ratio of the lines is smoothed by a Gaussian and lines above a threshold (the mean less half of the
-standard deviation) form clusters of content. The region that holds most of the clusters' text, an ``article`` or
+standard deviation, or half of the mean if that is less) form clusters of content. The region that holds most of the clusters' text, an ``article`` or
 ``main`` where there is one, is the content, with all its lines: a short paragraph or a heading inside it is content
-as well. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments
+as well. An ``article`` or ``main`` with less than half of that text is none that counts; otherwise the region is the deepest
+that holds nearly all of it, and then the parts beside it that have text of the clusters. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments
 are dropped wherever they stand.
 
 References are decoded, white space inside a block (a line break too) becomes one space, blocks are trimmed and joined
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
+#: Share of the dense text that the region of a page without a weighty article or main has at least.
+NEARLY_ALL = 0.9
 # Element names and the words that mark boilerplate in classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset(
@@ -159,22 +162,37 @@ def content(lines: list[tuple[str, int, tuple[int, ...]]], kind: list[str]) -> l
     if not lines:
         return []
     ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
-    dense = ratio >= ratio.mean() - 0.5 * ratio.std()
-    weight: dict[int, int] = {}
+    dense = ratio >= ratio.mean() - max(0.5 * ratio.std(), 0.5 * ratio.mean())  # where lines are much alike, all of them
+    weight: dict[int, int] = {}  # characters of dense lines
+    size: dict[int, int] = {}
     for (text, _, regions), d in zip(lines, dense):
         for r in regions:
             weight[r] = weight.get(r, 0) + (len(text) if d else 0)
-    named = {r for _, _, regions in lines for r in regions if kind[r] == "article"} or {r for _, _, regions in lines for r in regions if kind[r] == "main"}
-    if named:  # the heaviest, and all others of its kind side by side with it that hold dense lines
-        best = max(named, key=lambda r: (weight[r], -r))
-        chosen = {r for r in named if weight[r] or r == best}
-    elif weight:
-        total = sum(len(t) for (t, _, _), d in zip(lines, dense) if d)
-        deepest = max(weight, key=lambda r: (weight[r] * 2 > total, r if weight[r] * 2 > total else 0, weight[r]))
-        chosen = {deepest}
-    else:  # no container at all: one region
-        return [t for t, _, _ in lines]
-    return [t for t, _, regions in lines if not chosen.isdisjoint(regions)]
+            size[r] = size.get(r, 0) + len(text)
+    total = sum(len(t) for (t, _, _), d in zip(lines, dense) if d)
+    for name in ("article", "main"):  # all of the kind that hold dense lines, if most of the page's dense text is theirs
+        named = {r for r in weight if kind[r] == name and weight[r]}
+        if 2 * sum(len(t) for (t, _, regions), d in zip(lines, dense) if d and not named.isdisjoint(regions)) > total:
+            return [t for t, _, regions in lines if not named.isdisjoint(regions)]
+    whole = max((r for r in weight if weight[r] >= NEARLY_ALL * total), default=None)  # they are nested, the last one is the deepest
+    if whole is None:
+        return [t for t, _, regions in lines if not regions or weight[regions[0]]]
+    path = next(regions for _, _, regions in lines if whole in regions)
+    at = deepest = path.index(whole)
+    for k in range(deepest - 1, -1, -1):  # what is missing may stand beside it
+        if kind[path[k]] in ("body", "html"):
+            break
+        if weight[path[k]] > weight[path[at]]:
+            at = k
+
+    def held(regions: tuple[int, ...]) -> bool:
+        """In the region climbed to, but not in parts beside the way there most of whose text is not dense."""
+        if len(regions) <= at or regions[at] != path[at]:
+            return False
+        same = next((k for k in range(at, min(len(regions), deepest + 1)) if regions[k] != path[k]), None)
+        return same is None or 2 * weight[regions[same]] > size[regions[same]]
+
+    return [t for t, _, regions in lines if held(regions)]
 
 
 def extract(html: str | None) -> str:

@@ -61,6 +61,22 @@ def test_html_without_article():
     assert html.extract("plain &amp; text") == "plain & text" and html.extract("<p>a</p><p>b</p>") == "a\n\nb"
 
 
+def test_html_region_holds_the_whole_article():
+    part = lambda c, n=12: " ".join([f"A {c} sentence that is long enough to be content."] * n)
+    both = f"{part('first')}\n\n{part('second', 8)}"
+    p = lambda *texts: "".join(f"<div><p>{t}</p></div>" for t in texts)
+    links = "<div><ul>" + "<li><a href='#'>x</a></li>" * 12 + "</ul></div>"
+    assert html.extract(f"<body>{links}<div id='content'>{p(part('first'), part('second', 8))}</div></body>") == both
+    assert html.extract(f"<body><section><p>{part('first')}</p></section><section><p>{part('second', 8)}</p></section></body>") == both
+    many = [part(str(k), 2) for k in range(9)]
+    assert html.extract(f"<div><div>{p(*many)}</div></div>") == "\n\n".join(many)
+    aside = f"<body><div>{links}<div><p>{part('intro', 1)}</p></div><div><p>{part('first', 40)}</p><p>End.</p></div></div></body>"
+    assert html.extract(aside) == f"{part('intro', 1)}\n\n{part('first', 40)}\n\nEnd."
+    for tag in ("main", "div"):  # a teaser is not the article
+        page = f"<body><{tag}><h1>Title</h1><p>{part('first')}</p><p>{part('second', 8)}</p><article class='teaser'>Read this too</article></{tag}></body>"
+        assert html.extract(page).startswith(f"Title\n\n{both}")
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", "<p>x", "t"), (3, "u", "<" * 2000, "t"), (4, "u", "<div>" * 3000 + "deep", "t"), (4, "u", "<div>" * 3000 + "deep", "t"), (5, "u", "<p>" + "long " * 50_000, "t"), (6, "u", "<script>only</script>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
