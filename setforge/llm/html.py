@@ -37,6 +37,10 @@ BLOCKS = frozenset(
 )
 REGIONS = frozenset("article main section div body html".split())
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
+#: Beyond those of CLOSED_BY, what ends a dropped paragraph; elements in which a start tag's search for what it ends stops; elements of a head.
+ENDS_DROPPED_P = frozenset("aside dialog footer form header menu nav td th".split())
+STOPS = BLOCKS | DROPPED | {"td", "th"}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -93,11 +97,28 @@ class Lines(HTMLParser):
         elif not self._dropped and tag in REGIONS:
             self._regions.pop()
 
+    def _imply(self, tag: str) -> None:
+        """End the elements whose end tags a start tag implies, inline elements in them too; in dropped parts as well."""
+        while self._open:
+            at = len(self._open) - 1
+            while at and self._open[at] not in STOPS:
+                at -= 1
+            top = self._open[at]
+            dropped_p = self._dropped and top == "p" and tag in ENDS_DROPPED_P
+            if tag not in CLOSED_BY.get(top, ()) and not dropped_p and not (top == "head" and tag not in IN_HEAD):
+                return
+            while len(self._open) > at:
+                self._pop()
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self._dropped:
-            if tag not in VOID:
-                self._open.append(tag)
-            return
+            if tag in VOID and tag != "hr":
+                return
+            self._imply(tag)
+            if self._dropped:
+                if tag not in VOID:
+                    self._open.append(tag)
+                return
         self._tags += 1
         if tag == "br":
             self._text.append(" ")
@@ -106,15 +127,11 @@ class Lines(HTMLParser):
             self._flush()
         elif tag in ("td", "th"):
             self._text.append(" ")
+        if tag in VOID and tag != "hr":
+            return
+        self._imply(tag)
         if tag in VOID:
             return
-        while self._open and tag in CLOSED_BY.get(self._open[-1], ()):
-            self._pop()
-        if tag in BLOCKS and "p" in self._open and self._open[-1] != "p":  # a block ends an open paragraph, inline elements in it too
-            at = len(self._open) - 1 - self._open[::-1].index("p")
-            if not any(t in BLOCKS for t in self._open[at + 1 :]):
-                while len(self._open) > at:
-                    self._pop()
         self._open.append(tag)
         if tag in DROPPED or attrs and tag not in ("html", "body", "main") and _marked(tag, attrs):
             if tag not in BLOCKS:
@@ -141,6 +158,8 @@ class Lines(HTMLParser):
         self._pop()
 
     def handle_data(self, data: str) -> None:
+        if self._dropped and self._open[-1] == "head" and data.strip():  # text ends a head without an end tag
+            self._pop()
         if not self._dropped:
             self._text.append(data)
 

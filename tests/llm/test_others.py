@@ -77,6 +77,20 @@ def test_html_region_holds_the_whole_article():
         assert html.extract(page).startswith(f"Title\n\n{both}")
 
 
+def test_html_dropped_parts_end_where_their_end_tag_is_implied():
+    x = html.extract
+    assert x('<article><p class="ad">Buy<p>one</p><p>two</p></article>') == "one\n\ntwo"
+    assert x('<article><p class="ad"><b>Buy<div>one</div><p>two</p></article>') == "one\n\ntwo"
+    assert x('<article><p class="ad">Buy<nav><a>x</a></nav><p>two</p></article>') == "two"
+    assert x('<article><ul><li class="share">Tell<li>one<li>two</ul><p>three</article>') == "one\n\ntwo\n\nthree"
+    assert x('<article><ul><li class="share"><a>Tell<ul><li>no<li>no</ul><p>no<li>one</ul></article>') == "one"
+    assert x('<article><dl><dt class="ad">no<dd>one<dd class="ad">no<dt>two</dl></article>') == "one\n\ntwo"
+    assert x('<article><table><tr><td class="ad">no<td>one<tr class="ad"><td>no<tr><td><p class="ad">no<td>two</table></article>') == "one\n\ntwo"
+    assert x('<article><div class="ad"><p>no<p>no<ul><li>no<li>no</ul></div><p>one</article>') == "one"
+    assert x("<html><head><title>no</title><meta charset=x><script>no</script><body><p>one") == "one"
+    assert x("<html><head><title>no</title>one") == "one"
+
+
 def test_html_odd_rows(spark):
     rows = [(1, "u", None, "t"), (2, None, "", "t"), (None, "u", "<p>x", "t"), (3, "u", "<" * 2000, "t"), (4, "u", "<div>" * 3000 + "deep", "t"), (4, "u", "<div>" * 3000 + "deep", "t"), (5, "u", "<p>" + "long " * 50_000, "t"), (6, "u", "<script>only</script>", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
