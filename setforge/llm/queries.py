@@ -62,17 +62,17 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+  select row_number() over () as nr, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
 ),
 s as (
-  select q.vec_id as query_id, v.vec_id,
+  select q.nr, q.vec_id as query_id, v.vec_id,
          cast(list_inner_product(cast(q.v as double[]), cast(v.v as double[])) as bigint) as score
   from v q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id
 ),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+r as (select *, row_number() over (partition by nr order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
 

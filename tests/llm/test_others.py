@@ -2,16 +2,17 @@
 
 import random
 
+import duckdb
 import numpy as np
 
 import corpus_pipeline
-from setforge.llm import html, mtree
+from setforge.llm import html, mtree, queries
 
 
 def plain_top(rows, k=10):
     ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, a in ok:
+    for q, a in ok:  # a query row asks for itself, also where its id repeats
         if q % 100 == 0:
             best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
@@ -35,6 +36,30 @@ def test_top_k(spark, monkeypatch):
     check_top(spark, rows)
 
 
+def test_top_k_repeated_ids(spark, monkeypatch):
+    """Each query row has a list of its own, as in the SQL; repeated candidates are rows of their own."""
+    monkeypatch.setattr(mtree, "PAGE", 6)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 1, 4).tolist()) for i in [0, 0, *range(1, 14), 13, 13, 100, 100]] + [(100, [1.0] * 4)] * 3
+    check_top(spark, rows)
+    embeddings = spark.createDataFrame(rows, "vec_id long, embedding array<float>").toPandas()  # noqa: F841
+    rel = duckdb.sql(queries.OP6_SQL.replace("from embeddings", "from (select vec_id, embedding::float[] as embedding from embeddings)"))
+    assert sorted((q, int(r), i, s) for q, r, i, s in rel.fetchall()) == plain_top([(i, np.float32(v).tolist()) for i, v in rows])
+
+
+def test_top_k_sends_pages_once_for_many_queries(spark, monkeypatch):
+    """Copies of one vector: rows built into pages are those of the table, whatever the number of query blocks."""
+    monkeypatch.setattr(mtree, "PAGE", 50)
+    monkeypatch.setattr(mtree, "QUERIES", 4)
+    built = []
+    monkeypatch.setattr(mtree, "stored", lambda df, f=mtree.stored: built.append(f(df)) or built[-1])
+    rng = np.random.default_rng(2)
+    rows = [(k if k % 3 else 100 * k, rng.normal(0, 1, 4).tolist()) for k in range(600)]  # 200 queries
+    check_top(spark, rows)
+    pages = next(df for df in built if "apart" in df.columns and "ids" in df.columns)
+    assert pages.selectExpr("sum(size(ids))").first()[0] == 600 and pages.selectExpr("max(size(ids))").first()[0] < 600
+
+
 def test_top_k_few_and_none(spark):
     check_top(spark, [(0, [1.0, 2.0]), (100, [1.0, 2.0]), (7, [-1.0, 0.5])])
     check_top(spark, [(5, [1.0])])
