@@ -1,13 +1,23 @@
 """Main text of web pages from a stream of parser events.
 
 The standard library's parser runs once over the page. Its events are folded into lines, one for each block of text,
-with the characters of the block, the tags met since the line before, and the container that it stands in. The
-text-to-tag ratio of the lines is smoothed by a Gaussian and lines above a threshold (the mean less half of the
-standard deviation, or half of the mean if that is less) form clusters of content. The region that holds most of the clusters' text, an ``article`` or
-``main`` where there is one, is the content, with all its lines: a short paragraph or a heading inside it is content
-as well. An ``article`` or ``main`` with less than half of that text is none that counts; otherwise the region is the deepest
-that holds nearly all of it, and then the parts beside it that have text of the clusters. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments
-are dropped wherever they stand.
+with the characters of the block, those of them in links, the tags met since the line before, and the container that
+the line stands in. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
+reader comments that an element, a role or a name says are such are dropped wherever they stand.
+
+The text-to-tag ratio of the lines is smoothed by a Gaussian, and lines above a threshold (the standard deviation, or
+the mean if that is less) form clusters. The clusters select the regions of content:
+
+* Where there is a ``main`` with text, only its lines are looked at, and the clusters are theirs.
+* Articles count that hold an ``h1``, or else are clusters for the most part, if the clusters' text is mostly theirs; a
+  heading of the page before them in ``main`` goes with them. Teasers (by their names) only count where there is no
+  other article and no other text has as much.
+* Otherwise the region is the deepest container with nearly all of the clusters' text. Of the containers beside it,
+  and beside those around it, those go with it that are clusters for the most part, that hold the ``h1``, or that stand
+  between clusters; of the others, and of what is mostly links outside of clusters, nothing is kept.
+
+In regions so selected all lines are content, short paragraphs and headings too, except for teasers and for containers
+without any cluster that are mostly links. Time grows in proportion to the page, however deeply it is nested.
 
 References are decoded, white space inside a block (a line break too) becomes one space, blocks are trimmed and joined
 by an empty line. Null and empty pages, and pages without content, give an empty text. Whole pages are read. Repeated
@@ -16,6 +26,8 @@ rows give repeated results and other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -25,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
-#: Share of the dense text that the region of a page without a weighty article or main has at least.
+#: Share of the clusters' text that the region of a page without articles has at least.
 NEARLY_ALL = 0.9
 # Element names and the words that mark boilerplate in classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,24 +53,35 @@ CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")
 ENDS_DROPPED_P = frozenset("aside dialog footer form header menu nav td th".split())
 STOPS = BLOCKS | DROPPED | {"td", "th"}
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+#: A name is one of boilerplate if it has such a word, with words of place before it and words of structure behind it at most:
+#: site-header and comment-body are, share-price, has-sidebar and entry-header are not.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related reply replies respond reviews share sharing sidebar social sponsor sponsored subscribe testimonials toolbar widget".split()
 )
+PLACES = frozenset("blog bottom copyright desktop email first floating gdpr global google inline last left legal main mobile page primary privacy reader readers right second secondary side site sticky sub third top user users".split())
+STRUCTURE = frozenset(
+    "area article articles author avatar bar block body bottom box btn button buttons card cards col column container content count date entry form group head heading icon icons image img inner item items label left link links list logo main message meta module more note outer overlay panel placeholder post posts right row section signup slot space stories story text thread title toggle tools top unit units view wide wrap wrapper".split()
+)
+CARDS = frozenset("card excerpt preview promo teaser tile".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+_parts = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+(?:x\d+)?").findall
 
 
-#: Words that turn a name about a part of the page into one about the page: has-sidebar, content-with-nav.
-ABOUT = frozenset("has no non with without open closed".split())
+def _boilerplate(name: str) -> bool:
+    parts = [p.lower() for p in _parts(name)]
+    at = [k for k, p in enumerate(parts) if p in MARKS]
+    if not at:
+        return False
+    between = [p for p in parts[at[0] : at[-1]] if p not in MARKS and p not in STRUCTURE]
+    return not between and all(p in PLACES for p in parts[: at[0]]) and all(p in STRUCTURE or p in PLACES or p[0].isdigit() for p in parts[at[-1] + 1 :])
 
 
-def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-    """Whether the attributes of an element say that it is boilerplate or hidden. Articles must say it with a whole name."""
+def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    """Whether the attributes of an element say that it is boilerplate or hidden."""
     for name, value in attrs:
         if name in ("class", "id"):
-            for token in (value or "").lower().split():
-                parts = [token] if tag == "article" else token.replace("_", "-").split("-")
-                if not MARKS.isdisjoint(parts) and ABOUT.isdisjoint(parts):
-                    return True
+            if any(map(_boilerplate, (value or "").split())):
+                return True
         elif name == "role":
             if (value or "").strip().lower() in ROLES:
                 return True
@@ -69,29 +92,53 @@ def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _teaser(attrs: list[tuple[str, str | None]]) -> bool:
+    return any(not CARDS.isdisjoint(p.lower() for p in _parts(t)) for name, value in attrs if name == "class" for t in (value or "").split())
+
+
 class Lines(HTMLParser):
-    """Events to lines: (text, tags, regions), regions being the numbers of the open containers from the outermost."""
+    """Events to lines, and the containers they stand in; containers are numbered in the order of their start tags."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.kind: list[str] = []  # element name of each region
+        self.text: list[str] = []  # of each line
+        self.tags: list[int] = []
+        self.links: list[int] = []  # characters in links
+        self.heading: list[bool] = []  # an h1
+        self.region: list[int] = []  # the innermost container, -1 for none
+        self.kind: list[str] = []  # of each container: element name, teaser for an article that is one
+        self.parent: list[int] = []
         self._open: list[str] = []
-        self._regions: list[int] = []
+        self._stops: list[int] = []  # places in _open of elements in STOPS
+        self._count: Counter[str] = Counter()  # of the names in _open
+        self._regions = [-1]
         self._dropped = 0  # depth at which the dropped part began
-        self._text: list[str] = []
-        self._tags = 0
+        self._parts: list[str] = []
+        self._met = self._linked = 0
 
     def _flush(self) -> None:
-        if self._text:
-            text = " ".join("".join(self._text).split())
-            self._text = []
+        if self._parts:
+            text = " ".join("".join(self._parts).split())
+            self._parts = []
             if text:
-                self.lines.append((text, self._tags, tuple(self._regions)))
-                self._tags = 0
+                self.text.append(text)
+                self.tags.append(self._met)
+                self.links.append(min(self._linked, len(text)))
+                self.heading.append(self._count["h1"] > 0)
+                self.region.append(self._regions[-1])
+                self._met = self._linked = 0
+
+    def _push(self, tag: str) -> None:
+        if tag in STOPS:
+            self._stops.append(len(self._open))
+        self._open.append(tag)
+        self._count[tag] += 1
 
     def _pop(self) -> None:
         tag = self._open.pop()
+        self._count[tag] -= 1
+        if tag in STOPS:
+            self._stops.pop()
         if self._dropped > len(self._open):
             self._dropped = 0
         elif not self._dropped and tag in REGIONS:
@@ -99,10 +146,8 @@ class Lines(HTMLParser):
 
     def _imply(self, tag: str) -> None:
         """End the elements whose end tags a start tag implies, inline elements in them too; in dropped parts as well."""
-        while self._open:
-            at = len(self._open) - 1
-            while at and self._open[at] not in STOPS:
-                at -= 1
+        while self._stops:
+            at = self._stops[-1]
             top = self._open[at]
             dropped_p = self._dropped and top == "p" and tag in ENDS_DROPPED_P
             if tag not in CLOSED_BY.get(top, ()) and not dropped_p and not (top == "head" and tag not in IN_HEAD):
@@ -117,29 +162,32 @@ class Lines(HTMLParser):
             self._imply(tag)
             if self._dropped:
                 if tag not in VOID:
-                    self._open.append(tag)
+                    self._push(tag)
                 return
-        self._tags += 1
+        self._met += 1
         if tag == "br":
-            self._text.append(" ")
+            self._parts.append(" ")
             return
         if tag in BLOCKS:
             self._flush()
         elif tag in ("td", "th"):
-            self._text.append(" ")
+            self._parts.append(" ")
         if tag in VOID and tag != "hr":
             return
         self._imply(tag)
         if tag in VOID:
             return
-        self._open.append(tag)
-        if tag in DROPPED or attrs and tag not in ("html", "body", "main") and _marked(tag, attrs):
+        self._push(tag)
+        if tag in DROPPED or attrs and tag not in ("html", "body", "main") and _marked(attrs):
             if tag not in BLOCKS:
-                self._text.append(" ")
+                self._parts.append(" ")
             self._dropped = len(self._open)
         elif tag in REGIONS:
+            main = ("role", "main") in attrs
+            kind = "main" if main else "teaser" if tag == "article" and _teaser(attrs) else tag
+            self.parent.append(self._regions[-1])
             self._regions.append(len(self.kind))
-            self.kind.append(tag)
+            self.kind.append(kind)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -148,10 +196,10 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if not self._dropped:
-            self._tags += 1
+            self._met += 1
             if tag in BLOCKS:
                 self._flush()
-        if tag in VOID or tag not in self._open:
+        if tag in VOID or not self._count[tag]:
             return
         while self._open[-1] != tag:
             self._pop()
@@ -161,7 +209,9 @@ class Lines(HTMLParser):
         if self._dropped and self._open[-1] == "head" and data.strip():  # text ends a head without an end tag
             self._pop()
         if not self._dropped:
-            self._text.append(data)
+            self._parts.append(data)
+            if self._count["a"]:
+                self._linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -176,42 +226,112 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
 
 
-def content(lines: list[tuple[str, int, tuple[int, ...]]], kind: list[str]) -> list[str]:
-    """The texts of the lines in the region that the clusters of high text-to-tag ratio select."""
-    if not lines:
-        return []
-    ratio = smoothed(np.array([len(t) / max(1, n) for t, n, _ in lines], float))
-    dense = ratio >= ratio.mean() - max(0.5 * ratio.std(), 0.5 * ratio.mean())  # where lines are much alike, all of them
-    weight: dict[int, int] = {}  # characters of dense lines
-    size: dict[int, int] = {}
-    for (text, _, regions), d in zip(lines, dense):
-        for r in regions:
-            weight[r] = weight.get(r, 0) + (len(text) if d else 0)
-            size[r] = size.get(r, 0) + len(text)
-    total = sum(len(t) for (t, _, _), d in zip(lines, dense) if d)
-    for name in ("article", "main"):  # all of the kind that hold dense lines, if most of the page's dense text is theirs
-        named = {r for r in weight if kind[r] == name and weight[r]}
-        if 2 * sum(len(t) for (t, _, regions), d in zip(lines, dense) if d and not named.isdisjoint(regions)) > total:
-            return [t for t, _, regions in lines if not named.isdisjoint(regions)]
-    whole = max((r for r in weight if weight[r] >= NEARLY_ALL * total), default=None)  # they are nested, the last one is the deepest
-    if whole is None:
-        return [t for t, _, regions in lines if not regions or weight[regions[0]]]
-    path = next(regions for _, _, regions in lines if whole in regions)
-    at = deepest = path.index(whole)
-    for k in range(deepest - 1, -1, -1):  # what is missing may stand beside it
-        if kind[path[k]] in ("body", "html"):
-            break
-        if weight[path[k]] > weight[path[at]]:
-            at = k
-
-    def held(regions: tuple[int, ...]) -> bool:
-        """In the region climbed to, but not in parts beside the way there most of whose text is not dense."""
-        if len(regions) <= at or regions[at] != path[at]:
-            return False
-        same = next((k for k in range(at, min(len(regions), deepest + 1)) if regions[k] != path[k]), None)
-        return same is None or 2 * weight[regions[same]] > size[regions[same]]
-
-    return [t for t, _, regions in lines if held(regions)]
+def clusters(chars: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines stand in clusters of a high text-to-tag ratio."""
+    ratio = smoothed(chars / np.maximum(tags, 1))
+    return ratio >= min(ratio.std(), ratio.mean())  # where lines are much alike, all of them
+
+
+class Page:
+    """Lines and containers of one page in arrays. Sums over containers hold what is inside them; containers come after those around them."""
+
+    def __init__(self, p: Lines):
+        self.chars = np.array([len(t) for t in p.text])
+        self.tags, self.links, self.heading, self.region = np.array(p.tags), np.array(p.links), np.array(p.heading), np.array(p.region)
+        self.kind, self.parent = p.kind, p.parent
+
+    def inside(self, of: set[int]) -> np.ndarray:
+        """Which lines stand in the given containers."""
+        held = np.zeros(len(self.kind) + 1, bool)  # the last one: no container
+        for r, above in enumerate(self.parent):
+            held[r] = r in of or held[above]
+        return held[self.region]
+
+    def sums(self, values: np.ndarray) -> list[int]:
+        """Of the values of the lines in each container; the last one is the whole page's sum."""
+        out = np.bincount(self.region % (len(self.kind) + 1), values, len(self.kind) + 1).astype(int).tolist()
+        for r in range(len(self.kind) - 1, -1, -1):
+            out[self.parent[r]] += out[r]
+        return out
+
+    def outermost(self, kind: str, lines: np.ndarray) -> list[int]:
+        """The containers of a kind with some of the lines, without those inside others of that kind."""
+        some = self.sums(lines)
+        under = [False] * (len(self.kind) + 1)
+        out = []
+        for r, above in enumerate(self.parent):
+            under[r] = under[above] or self.kind[r] == kind
+            if under[r] and not under[above] and some[r]:
+                out.append(r)
+        return out
+
+    def chosen(self) -> np.ndarray:
+        """Which lines are content."""
+        everything = np.ones(len(self.chars), bool)
+        mains = self.outermost("main", everything)
+        scope = self.inside(set(mains)) if mains else everything
+        dense = np.zeros(len(scope), bool)
+        dense[scope] = clusters(self.chars[scope], self.tags[scope])
+        teasers = self.inside(set(self.outermost("teaser", scope)))
+        weight = self.chars * dense
+        if not self.outermost("article", scope) and 2 * weight[teasers & scope].sum() > weight.sum():  # nothing else has as much
+            teasers = ~everything
+        own = scope & ~teasers
+        menus = self.menus(dense, own)
+        if (articles := self.articles(dense, own)) is not None:
+            out = articles & own & ~menus
+            if mains and not (out & self.heading).any():
+                first = int(out.argmax())
+                out[:first] |= (self.heading & own)[:first]
+            return out
+        return self.around(dense & own, own) & ~menus
+
+    def menus(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Lines in containers without any cluster that are mostly links."""
+        some, size, links = self.sums(dense & own), self.sums(self.chars * own), self.sums(self.links * own)
+        return self.inside({r for r in range(len(self.kind)) if not some[r] and 2 * links[r] > size[r]})
+
+    def articles(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray | None:
+        """The lines of the articles that are content, None if articles don't decide."""
+        found = self.outermost("article", own)
+        if not found:
+            found = self.outermost("teaser", own)
+        headed = self.sums(self.heading & own)
+        weight, size = self.sums(self.chars * dense * own), self.sums(self.chars * own)
+        with_h1 = {r for r in found if headed[r]}
+        of = with_h1 or {r for r in found if 2 * weight[r] > size[r]} or {r for r in found if weight[r]}
+        most = 2 * sum(weight[r] for r in of) > weight[-1]
+        return self.inside(of) if of and (most or with_h1 and sum(headed[r] for r in with_h1) == headed[-1]) else None
+
+    def around(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The region that holds nearly all text of the clusters, and what goes with it beside it."""
+        if not dense.any():
+            return own
+        weight, size, links, headed = self.sums(self.chars * dense), self.sums(self.chars * own), self.sums(self.links * own), self.sums(self.heading & own)
+        deepest = max((r for r in range(len(self.kind)) if weight[r] >= NEARLY_ALL * weight[-1]), default=-1)  # they are nested
+        path = {-1}
+        while deepest >= 0:
+            path.add(deepest)
+            deepest = self.parent[deepest]
+        inner = max(path)
+        at = np.flatnonzero(dense)
+        between = (np.arange(len(own)) > at[0]) & (np.arange(len(own)) < at[-1])
+        amid, lines = self.sums(between & own), self.sums(own)
+        held = [False] * (len(self.kind) + 1)
+        for r, above in enumerate(self.parent):
+            if r in path:
+                held[r] = r == inner
+            elif above in path and (above != inner or above == -1):  # beside the region, or beside what is around it
+                held[r] = 2 * links[r] <= size[r] and (2 * weight[r] > size[r] or headed[r] > 0 or amid[r] == lines[r])
+            else:
+                held[r] = above == inner or held[above]
+        own_lines = np.isin(self.region, list(path if inner == -1 else path - {inner}))  # of the containers around the region
+        return own & (np.array(held)[self.region] | own_lines & (dense | (2 * self.links <= self.chars)))
+
+
+def content(p: Lines) -> list[str]:
+    """The texts of the lines in the regions that the clusters of high text-to-tag ratio select."""
+    return [p.text[k] for k in np.flatnonzero(Page(p).chosen())] if p.text else []
 
 
 def extract(html: str | None) -> str:
@@ -221,7 +341,7 @@ def extract(html: str | None) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    return "\n\n".join(content(parser.lines, parser.kind))
+    return "\n\n".join(content(parser))
 
 
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:

@@ -1,6 +1,8 @@
 """Top-k search, HTML extraction, and the pipeline."""
 
+import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -102,6 +104,54 @@ def test_html_region_holds_the_whole_article():
         assert html.extract(page).startswith(f"Title\n\n{both}")
 
 
+def test_html_teasers_reviews_and_comments_are_not_the_article():
+    x = html.extract
+    story = "".join(f"<p>A <b>short</b> <i>part</i> {k}.</p>" for k in range(6))
+    told = "\n\n".join(f"A short part {k}." for k in range(6))
+    teaser = f"<article class=card>{'Another story is told at length elsewhere. ' * 8}</article>"
+    assert x(f"<main><article>{story}</article></main>{teaser}") == told
+    assert x(f"<main><article>{story}</article>{teaser}</main>") == told
+    assert x(f"<article><h1>Head</h1>{story}</article>{teaser}") == f"Head\n\n{told}"
+    assert x(f"<main><h1>Head</h1><article>{story}</article>{teaser}</main>") == f"Head\n\n{told}"
+    assert x(f"<article>{story}</article><article class='comment-body'><p>{'I read that with joy. ' * 30}</p></article>") == told
+    assert x("<div><h1>Title</h1><p>intro</p></div><div>" + "body of the story " * 20 + "</div>") == "Title\n\nintro\n\n" + ("body of the story " * 20).strip()
+    review = f"<section class='{{}}'><p>{'A reader found it good and says so at length. ' * 20}</p></section>"
+    assert x(f"<body><article><h1>Head</h1>{story}</article>{review.format('reader-reviews')}") == f"Head\n\n{told}"
+    assert x(f"<body><article><h1>Head</h1>{story}</article>{review.format('x')}") == f"Head\n\n{told}"
+    assert x("<article><p>It cost</p><p class='share-price'>12</p><p class='modal-verb'>must</p><div class='siteNav'>no</div><div class='ad-300x250'>no</div><div class='entry-header'>yes</div></article>") == "It cost\n\n12\n\nmust\n\nyes"
+
+
+def test_html_the_ratio_decides(monkeypatch):
+    """Without names and semantic elements the clusters alone tell a menu and a list of teasers from the text; a constant ratio doesn't."""
+    text = [f"Sentence {k} of the text goes on for a while, as sentences of texts do. " * 3 for k in range(8)]
+    menu = "<div>" + "".join(f"<div><a href=/{k}>Entry {k}</a></div>" for k in range(20)) + "</div>"
+    dates = "<div>" + "".join(f"<div><b>{k}</b><i>May</i><u>x</u></div>" for k in range(20)) + "</div>"
+    page = f"<body>{menu}{dates}<div>{''.join(f'<p>{t}</p>' for t in text)}<p>Short.</p></div>{dates}</body>"
+    exp = "\n\n".join([t.strip() for t in text] + ["Short."])
+    assert html.extract(page) == exp
+    two = f"<article>{menu}{dates}</article><article>{''.join(f'<p>{t}</p>' for t in text)}</article>"
+    assert html.extract(two) == exp.removesuffix("\n\nShort.")
+    monkeypatch.setattr(html, "smoothed", lambda r: np.ones(len(r)))
+    assert html.extract(page) != exp and html.extract(two) != exp
+
+
+def test_html_smoothing_and_clusters():
+    r = np.array([0.0, 0, 10, 0, 0, 3])
+    k = [[math.exp(-0.5 * ((i - j) / 1.5) ** 2) if abs(i - j) <= 5 else 0 for j in range(6)] for i in range(6)]
+    assert np.allclose(html.smoothed(r), [sum(w * x for w, x in zip(row, r)) / sum(row) for row in k])
+    chars = np.array([5] * 20 + [400] * 5 + [5] * 20)
+    got = np.flatnonzero(html.clusters(chars, np.ones(45)))
+    assert {20, 21, 22, 23, 24} <= set(got) <= set(range(18, 27))
+
+
+def test_html_deep_pages_take_linear_time():
+    began = time.process_time()
+    assert html.extract("<div>x" * 20_000).count("x") == 20_000
+    assert html.extract("<b>y" * 20_000 + "</b>" * 20_000) == "y" * 20_000
+    assert html.extract("<article>" + "<i><p>z" * 20_000).count("z") == 20_000
+    assert time.process_time() - began < 10
+
+
 def test_html_dropped_parts_end_where_their_end_tag_is_implied():
     x = html.extract
     assert x('<article><p class="ad">Buy<p>one</p><p>two</p></article>') == "one\n\ntwo"
