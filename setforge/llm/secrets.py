@@ -5,17 +5,20 @@ by two first-order Markov models, one of random strings and one of ordinary iden
 of its transitions. Runs above ``MEAN_RATIO`` that no base span overlaps become spans of kind ``markov``.
 
 The models are counted from labelled samples of the corpus itself: what the base patterns caught is random, runs of
-letters are ordinary. Counting reads at most about ``SAMPLE_ROWS`` texts chosen by a hash, a documented bound; the
-table of ratios has one entry for each pair of token characters and thus a fixed size. Scanning reads every whole text.
+letters are ordinary. Counting reads the share of about ``SAMPLE_ROWS`` rows, a documented bound, chosen by a hash of
+the text, each different text once; the table of ratios has one entry for each pair of token characters and thus a
+fixed size. Scanning reads every whole text.
 
-A match's place is the length of what stands before it, from the gaps that a split at the same pattern leaves. Null
-texts count as empty and have no spans. Without any random sample the ratios are those of the empty counts, zero, and
+A match's place is the length of what stands before it, from the gaps that a split at the same pattern leaves. Sums and
+extremes along the matches of a text are scans of log2(n) rounds over its array (:func:`scanned`), so a text with very
+many matches takes time n log n. Null texts count as empty and have no spans. Without any random sample the ratios are those of the empty counts, zero, and
 no ``markov`` span appears. Repeated rows are scanned like others; columns besides the text are kept or ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +35,8 @@ RUN = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}(?![A-Za-z0-9+/_=-])"
 MEAN_RATIO = 0.7
 SAMPLE_ROWS = 20_000
+#: Characters of a piece in redaction.
+CUT = 1024
 #: Token characters lie between "+" and "z".
 FIRST, SIZE, LETTERS = 43, 80, 67
 
@@ -41,24 +46,27 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def scanned(values: Column, op, back: bool = False) -> Column:
+    """At each place ``op`` over all values up to it, or from it on (``back``); each round reaches twice as far as the last one."""
+    steps = F.array(*[F.lit(1 << k) for k in range(31)])
+    rounds = F.when(F.size(values) > 1, F.ceil(F.log2(F.size(values)))).otherwise(0).cast("int")
+    return F.aggregate(F.slice(steps, F.lit(1), rounds), values, lambda a, step: F.transform(a, lambda x, i: F.coalesce(op(x, F.get(a, i + step if back else i - step)), x)))
+
+
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, order, end, kind, value) of the pattern's non-overlapping matches in code points, end exclusive."""
+    """Array of (start, ord, end, kind, value) of the pattern's non-overlapping matches in code points, end exclusive."""
     if kind == "hex":  # a run fails or passes as a whole; the engine may skip short ones itself
         pattern = rf"[0-9a-f]{{{least},}}"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,value:string>>)").alias("out"))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        value = F.regexp_extract(x["m"], pattern, group) if group else x["m"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+    def placed(ms: Column) -> Column:
+        ends = scanned(F.zip_with(gaps, ms, lambda g, m: F.length(g) + F.length(m)), lambda x, y: x + y)
+        value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
+        return F.zip_with(ends, ms, lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(order).alias("ord"), e.alias("end"), F.lit(kind).alias("kind"), value(m).alias("value")))
 
-    spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(start["out"])
+    none = F.expr("cast(array() as array<struct<start:int,ord:int,end:int,kind:string,value:string>>)")
+    return F.when(text.rlike(pattern), F.filter(let(found, placed), lambda s: F.length(s["value"]) >= least)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -68,11 +76,10 @@ def base_spans(text: Column) -> Column:
 
 def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[float]:
     """Log-likelihood ratios of all pairs of token characters, random over ordinary, with one added to every count."""
-    total = docs.count()
+    total = max(1, docs.count())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    few = docs.select(text.alias("text"))
-    if total > rows:
-        few = few.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 24)) < int((1 << 24) * rows / total))
+    place = F.conv(F.substring(F.md5("text"), 1, 8), 16, 10).cast("long")
+    few = docs.select(text.alias("text")).filter(place < int((1 << 32) * min(1.0, rows / total))).distinct()
     samples = few.select(
         F.explode(
             F.concat(
@@ -84,8 +91,6 @@ def train(docs: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS) -> l
     pairs = samples.select("random", F.explode(F.expr("transform(sequence(0, greatest(size(c) - 2, 0)), i -> struct(get(c, i) as a, get(c, i + 1) as b))")).alias("p"))
     counts = pairs.select("random", F.ascii("p.a").alias("a"), F.ascii("p.b").alias("b")).filter("a >= 43 and b >= 43").groupBy("random", "a", "b").count()
     found = {(r["random"], r["a"], r["b"]): r["count"] for r in counts.collect()}  # two rows a pair of characters at most
-    import math
-
     sums = {(k, a): sum(n for (kk, aa, _), n in found.items() if (kk, aa) == (k, a)) for k in (0, 1) for a in range(FIRST, FIRST + SIZE)}
     if not any(k for k, _, _ in found):
         return [0.0] * (SIZE * SIZE)
@@ -105,8 +110,16 @@ def markov_spans(text: Column, base: Column, ratios: list[float], least: float =
     """Runs of token characters that look random and that no base span overlaps."""
     table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     runs = _spans(text, KIND, len(BASE), RUN, 0, LEAST)
-    free = lambda b: F.filter(runs, lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
-    return F.filter(let(base, free), lambda s: _mean_ratio(s["value"], table) > least)
+    is_base = lambda s: s["ord"] < len(BASE)
+
+    def free(both: Column) -> Column:
+        """The runs among all spans, in order, that no base span before them reaches into and none begins in."""
+        reached = scanned(F.transform(both, lambda s: F.when(is_base(s), s["end"]).otherwise(-1)), F.greatest)
+        following = scanned(F.transform(both, lambda s: F.when(is_base(s), s["start"]).otherwise((1 << 31) - 1)), F.least, back=True)
+        marked = F.zip_with(both, F.arrays_zip(reached.alias("reached"), following.alias("following")), lambda s, x: F.struct(s.alias("s"), (~is_base(s) & (x["reached"] <= s["start"]) & (x["following"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: x["s"])
+
+    return F.when(F.size(runs) > 0, F.filter(let(F.array_sort(F.concat(base, runs)), free), lambda s: _mean_ratio(s["value"], table) > least)).otherwise(runs)
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
@@ -126,17 +139,26 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every stretch that spans cover replaced by the mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every stretch that spans (in order) cover replaced by the mark.
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        joint = (s["start"] == acc["at"]) & (acc["at"] > 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh & ~joint, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    What stays is taken out of pieces of CUT characters, as a substring counts from the beginning of its text.
+    """
+
+    def between(cuts: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / CUT).cast("int")
+        some = F.slice(cuts, first + 1, F.floor(b / CUT).cast("int") - first + 1)
+        return F.substring(F.array_join(some, ""), a - first * CUT + 1, b - a)
+
+    def done(x: Column) -> Column:
+        cuts, at = x["cuts"], x["at"]
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(at, i - 1))
+        new = lambda s, i: (i == 0) | (s["start"] > before(i))
+        parts = F.transform(spans, lambda s, i: F.when(new(s, i), F.concat(between(cuts, before(i), s["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(cuts, F.element_at(at, -1), F.length(text)))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    ends = scanned(F.transform(spans, lambda s: s["end"]), F.greatest)
+    return F.when(F.size(spans) > 0, let(F.struct(cuts.alias("cuts"), ends.alias("at")), done)).otherwise(text)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -145,40 +167,45 @@ def report(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(b[0]) for b in BASE], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
+
 _ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _HEX, _ACCESS, _RUN = "[0-9a-f]{16,}", "AKIA[A-Z0-9]+", f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
-#: The same rows for tables of up to SAMPLE_ROWS documents, all of which train the models.
 SQL = f"""
-with docs as (select doc_id, coalesce(text, '') as text from documents),
+with texts as (select row_number() over () as nr, doc_id, coalesce(text, '') as text from documents),
+docs as (
+  select nr, text, row_number() over (partition by text order by nr) = 1
+    and cast('0x' || substr(md5(text), 1, 8) as bigint) < floor(4294967296.0 * least(1, {SAMPLE_ROWS} / (select count(*) from texts))) as few
+  from texts
+),
 m as (
-  select doc_id, 0 as ord, 'assign' as kind, 12 as least, regexp_extract_all(text, '{_ASSIGN}') as ms, regexp_extract_all(text, '{_ASSIGN}', 1) as vs, string_split_regex(text, '{_ASSIGN}') as gs from docs
-  union all select doc_id, 1, 'access', 18, regexp_extract_all(text, '{_ACCESS}'), regexp_extract_all(text, '{_ACCESS}'), string_split_regex(text, '{_ACCESS}') from docs
-  union all select doc_id, 2, 'hex', 16, regexp_extract_all(text, '{_HEX}'), regexp_extract_all(text, '{_HEX}'), string_split_regex(text, '{_HEX}') from docs
-  union all select doc_id, 3, '{KIND}', {LEAST}, regexp_extract_all(text, '{_RUN}'), regexp_extract_all(text, '{_RUN}'), string_split_regex(text, '{_RUN}') from docs
+  select nr, few, 0 as ord, 'assign' as kind, 12 as least, regexp_extract_all(text, '{_ASSIGN}') as ms, regexp_extract_all(text, '{_ASSIGN}', 1) as vs, string_split_regex(text, '{_ASSIGN}') as gs from docs
+  union all select nr, few, 1, 'access', 18, regexp_extract_all(text, '{_ACCESS}'), regexp_extract_all(text, '{_ACCESS}'), string_split_regex(text, '{_ACCESS}') from docs
+  union all select nr, few, 2, 'hex', 16, regexp_extract_all(text, '{_HEX}'), regexp_extract_all(text, '{_HEX}'), string_split_regex(text, '{_HEX}') from docs
+  union all select nr, few, 3, '{KIND}', {LEAST}, regexp_extract_all(text, '{_RUN}'), regexp_extract_all(text, '{_RUN}'), string_split_regex(text, '{_RUN}') from docs
 ),
-u as (select doc_id, ord, kind, least, unnest(range(1, len(ms) + 1)) as i, ms, vs, gs from m where len(ms) > 0),
+u as (select nr, few, ord, kind, least, unnest(range(1, len(ms) + 1)) as i, ms, vs, gs from m where len(ms) > 0),
 s as (
-  select doc_id, ord, kind, vs[i] as v, length(ms[i]) as n, least,
+  select nr, few, ord, kind, vs[i] as v, length(ms[i]) as n, least,
     cast(list_sum(list_transform(gs[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) as bigint) as b
   from u
 ),
-spans as (select doc_id, ord, kind, v, b, b + n as e from s where length(v) >= least),
+spans as (select nr, few, ord, kind, v, b, b + n as e from s where length(v) >= least),
 base as (select * from spans where ord < 3),
 tokens as (
-  select 1 as random, regexp_replace(v, '[^A-Za-z0-9+/_=-]', '', 'g') as v from base
+  select 1 as random, regexp_replace(v, '[^A-Za-z0-9+/_=-]', '', 'g') as v from base where few
   union all
-  select 0, x from (select unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+')) as x from docs) where regexp_full_match(x, '[A-Za-z_]{{8,}}')
+  select 0, x from (select unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+')) as x from docs where few) where regexp_full_match(x, '[A-Za-z_]{{8,}}')
 ),
 pairs as (select random, v, unnest(range(1, length(v))) as i from tokens where length(v) > 1),
 counts as (select random, substr(v, i, 1) as a, substr(v, i + 1, 1) as z, count(*) as n from pairs group by 1, 2, 3),
 sums as (select random, a, sum(n) as n from counts group by 1, 2),
 runs as (
-  select * from spans r where ord = 3 and (select count(*) from base) > 0
-    and not exists (select 1 from base x where x.doc_id = r.doc_id and x.b < r.e and r.b < x.e)
+  select * from spans r where ord = 3 and (select count(*) from base where few) > 0
+    and not exists (select 1 from base x where x.nr = r.nr and x.b < r.e and r.b < x.e)
 ),
-steps as (select doc_id, b, v, unnest(range(1, length(v))) as i from runs),
+steps as (select nr, b, v, unnest(range(1, length(v))) as i from runs),
 scored as (
-  select t.doc_id, t.b, sum(round(ln(((coalesce(c1.n, 0) + 1.0) / (coalesce(s1.n, 0) + {LETTERS})) / ((coalesce(c0.n, 0) + 1.0) / (coalesce(s0.n, 0) + {LETTERS}))), 6)) / count(*) as mean
+  select t.nr, t.b, sum(round(ln(((coalesce(c1.n, 0) + 1.0) / (coalesce(s1.n, 0) + {LETTERS})) / ((coalesce(c0.n, 0) + 1.0) / (coalesce(s0.n, 0) + {LETTERS}))), 6)) / count(*) as mean
   from steps t
   left join counts c1 on c1.random = 1 and c1.a = substr(v, i, 1) and c1.z = substr(v, i + 1, 1)
   left join counts c0 on c0.random = 0 and c0.a = substr(v, i, 1) and c0.z = substr(v, i + 1, 1)
@@ -189,14 +216,14 @@ scored as (
 every as (
   select * from base
   union all
-  select r.* from runs r join scored using (doc_id, b) where mean > {MEAN_RATIO}
+  select r.* from runs r join scored using (nr, b) where mean > {MEAN_RATIO}
 ),
 agg as (
-  select doc_id, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex,
+  select nr, count(*) filter (ord = 0) as n_assign, count(*) filter (ord = 1) as n_access, count(*) filter (ord = 2) as n_hex,
     string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) filter (ord < 3) as base, string_agg(kind || ':' || b || ':' || e, ',' order by b, ord) as spans
   from every group by 1
 )
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
-from documents left join agg using (doc_id)
+from texts left join agg using (nr)
 """

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 from array import array
 
 import numpy as np
@@ -241,6 +242,54 @@ def test_redaction(spark):
     assert out[1] == "token: secret:abcdefghijklmn x [SECRET]' 🎉 [SECRET] AKIAABC  [SECRET]" and out[3] is None and out[4] == ""
 
 
+def test_many_secrets_in_one_text(spark):
+    """Time grows with the number of matches, and places stay right; runs that touch base spans are none of their own."""
+    hexes = [hashlib.md5(str(k).encode()).hexdigest()[:16] for k in range(16_000)]
+    texts = [" ".join(hexes), " ".join(f"token={h}{'é' * (k % 3)}" for k, h in enumerate(hexes[:4000]))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in secrets.scan(df, [1.0] * 6400).select("doc_id", "base", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("x")).collect()}
+    assert time.perf_counter() - began < 30
+    for k, text in enumerate(texts):
+        assert [(s.start, s.ord, s.end, s.kind) for s in got[k].base] == plain_spans(text)
+        assert got[k].spans == got[k].base and not any(h in got[k].x for h in hexes[:4000])
+    assert got[0].x == " ".join(["[SECRET]"] * 16_000) and got[1].x == " ".join(f"[SECRET]{'é' * (k % 3)}" for k in range(4000))
+
+
+def plain_markov(text, base, ratios):
+    out = []
+    for m in re.finditer(secrets.RUN, text):
+        c = [ord(x) - secrets.FIRST for x in m[0]]
+        mean = sum(ratios[a * secrets.SIZE + b] for a, b in zip(c, c[1:])) / (len(c) - 1)
+        if mean > secrets.MEAN_RATIO and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_spans_and_redaction_against_plain_versions(spark, small):
+    rng = np.random.default_rng(3)
+    letters = "abcABCxyz019+/_=- .:é🎉"
+    texts = ["".join(rng.choice(list(letters), 400)) for _ in range(20)] + [t for _, t in PLANTED if t]
+    bits = ["0123456789abcdef0", "token=" + "Q" * 13, "AKIA" + "Z" * 15, "kjhKJH876kjhKJH876", "-", " ", "ordinary_words_here", "é"]
+    texts += ["".join(rng.choice(bits, 60)) for _ in range(60)]
+    ratios = [1.0 if (k * 7) % 3 else -1.0 for k in range(6400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df, ratios).select("doc_id", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("x")).collect():
+        text = texts[r.doc_id]
+        base = plain_spans(text)
+        assert [(s.start, s.end) for s in r.spans if s.kind == "markov"] == plain_markov(text, base, ratios)
+        covered = sorted((s.start, s.end) for s in r.spans)
+        mask = np.zeros(len(text), bool)
+        for a, b in covered:
+            mask[a:b] = True
+        assert r.x == "".join("[SECRET]" if m and not (k and mask[k - 1]) else "" if m else text[k] for k, m in enumerate(mask))
+
+
+def test_markov_sample_is_bounded_and_takes_texts_once(spark, small):
+    all_of = secrets.train(small)
+    assert secrets.train(small.union(small).union(small)) == all_of and secrets.train(small, rows=10) != all_of
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 

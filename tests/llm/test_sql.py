@@ -23,3 +23,15 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_secret_scan_sql_of_a_sample(spark):
+    """Beyond SAMPLE_ROWS the SQL counts the same sample."""
+    from setforge.llm import secrets
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = secrets.scan(docs, secrets.train(docs, rows=60)).select("doc_id", secrets.joined("spans"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    sql = secrets.SQL.replace(f"{secrets.SAMPLE_ROWS} /", "60 /")
+    assert sorted(map(tuple, got.collect())) == con.sql(f"select doc_id, spans from ({sql}) order by 1").fetchall()
