@@ -2,19 +2,24 @@
 
 A suffix of a text is retained where the hash of its first ``HEAD`` words is the least of all that a stretch of
 ``LEAST`` words holds (a minimiser): equal stretches retain the same place, whatever surrounds them. Each retained
-suffix answers for the stretches that chose it, a range of starts around it.
+suffix answers for the stretches that chose it, a range of starts around it; its context goes from the first word of
+the first of them to the last word of the last one.
 
-Suffixes are sorted and met by their heads in Spark's shuffles. Neighbours are compared by fingerprints, in two steps.
-The whole context of a suffix, from the first word of its first stretch to the last of its last one, is one
-fingerprint: contexts found in several documents are repeated throughout, in all their copies at once. The others
-that share a head with another context are extended left and right word by word: the fingerprint of each of their
-stretches is looked up among those of the suffixes with the same head. Two stretches are taken as equal if their
-heads and their own fingerprints agree, 128 bits. Copies of a context stand for one another there, two of them at
-most taking part, so a passage in very many documents brings no more comparisons than one in two.
+Suffixes with equal contexts are one entry of the array, and an entry found in several documents is repeated throughout.
+The entries that share their head with others are sorted, by head and then by the words that follow: a run. Neighbours
+in a run are compared word by word. Where their common beginnings are long enough, matches are extended to the left:
+the entries between which every common beginning reaches the end of a stretch, and whose words before the suffix agree
+back to the stretch's start, hold the same stretch. So each entry is compared with its neighbours only, once for each
+of the at most 31 splits of a stretch by the suffix, and no pairs are formed.
+
+A task holds one run of up to ``RUN`` entries. Longer ones (a passage that very many documents share, each with text of
+its own around it) are not sorted: the fingerprints of their stretches are grouped instead, which Spark can spread and
+sum up. Elsewhere 128 bits of fingerprints tell heads and contexts apart.
 
 The result covers exactly the words in stretches of LEAST words or more that also stand in another document. Words are
 what white space separates, in lower case (A-Z). Null, empty and shorter texts have none; rows that repeat a document
-id count as the same document; rows without an id are left out; other columns are ignored.
+id count as the same document, and if their texts differ the spans of all are given; rows without an id are left out;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setforge.llm.common import stored
+from setforge.llm.common import scanned, stored
 
 LEAST, HEAD = 50, 20
 #: Heads a stretch holds.
 SPAN = LEAST - HEAD + 1
+#: Entries of a run that one task sorts.
+RUN = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -92,7 +99,7 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 
 def _retained(docs: DataFrame) -> DataFrame:
-    """(doc_id, head, context, place, a, b): stretches that start from place - a to place - b chose the suffix."""
+    """(doc_id, t, head, context, spot): t is a hash of the text; a spot holds place, a and b, where stretches that start from place - a to place - b chose the suffix."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,66 +107,152 @@ def _retained(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows, parts = [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
+                for k, text in enumerate(batch.column(2).to_pylist()):
                     if text and len(text) >= 2 * LEAST - 1:
                         p = Prints(text)
                         if p.n >= LEAST:
                             head, place, first, last = suffixes(p)
                             rows.append(np.full(len(head), k))
-                            parts.append((head, p.of(first, last + LEAST), place, place - first, place - last))
+                            parts.append((head, p.of(first, last + LEAST), (place << 16 | (place - first) << 8 | (place - last)).astype(np.uint64)))
                 if rows:
-                    head, context, place, a, b = (np.concatenate(x) for x in zip(*parts))
-                    ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                    cols = [ids, _signed(head), _signed(context), *(pa.array(x.astype(np.int32)) for x in (place, a, b))]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "head", "context", "place", "a", "b"])
+                    take = pa.array(np.concatenate(rows))
+                    cols = [batch.column(0).take(take), batch.column(1).take(take), *(_signed(np.concatenate(x)) for x in zip(*parts))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "t", "head", "context", "spot"])
+
+    return docs.select("doc_id", "t", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {id_type}, t long, head long, context long, spot long")
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {id_type}, head long, context long, place int, a int, b int")
 
+ENTRY = "head long, context long, n long, lo {id}, hi {id}, before binary, after binary"
 
-def _extended(texts: DataFrame) -> DataFrame:
-    """(head, stretch, doc_id, start) of every stretch that the listed suffixes answer for; texts: doc_id, text, places(place, a, b)."""
+
+def _entries(texts: DataFrame) -> DataFrame:
+    """The words before and after the suffix of each listed place; texts: doc_id, text, places(head, context, n, hi, spot)."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(whole.num_rows):
-                p = Prints(whole.column(1)[k].as_py())
-                listed = whole.column(2).slice(k, 1).flatten()
-                place, a, b = (listed.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(3))
-                n = a - b + 1
-                of = np.repeat(np.arange(len(n)), n)
-                start = (place - a)[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-                ids = whole.column(0).slice(k, 1).take(pa.array(np.zeros(len(start), np.int64)))
-                head = p.of(place, place + HEAD)[of]
-                yield pa.RecordBatch.from_arrays([_signed(head), _signed(p.of(start, start + LEAST)), ids, pa.array(start.astype(np.int32))], names=["head", "stretch", "doc_id", "start"])
+                w = whole.column(1)[k].as_py().lower().split()
+                every = whole.column(2).slice(k, 1).flatten()
+                for at in range(0, len(every), 2048):
+                    listed = every.slice(at, 2048)
+                    head, context, n, hi, spot = (listed.field(x) for x in range(5))
+                    lo = whole.column(0).slice(k, 1).take(pa.array(np.zeros(len(listed), np.int64)))
+                    spots = [(s >> 16, s >> 8 & 255, s & 255) for s in spot.to_pylist()]
+                    before = [b" ".join(w[p - a : p]) for p, a, _ in spots]
+                    after = [b" ".join(w[p : p + LEAST - b]) + b" " for p, _, b in spots]  # so every word ends with a space
+                    yield pa.RecordBatch.from_arrays([head, context, n, lo, hi, pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["head", "context", "n", "lo", "hi", "before", "after"])
+
+    return texts.select("doc_id", F.col("text").cast("binary"), "places").mapInArrow(run, ENTRY.format(id=id_type))
+
+
+def repeated_in_run(entries: list[tuple]) -> list[list[int]]:
+    """Of each entry (lo, hi, before, after), in the order of ``after``, the numbers of words before it at which repeated stretches start."""
+    before = [e[2].split() for e in entries]
+    after = [e[3].split() for e in entries]
+    common = []  # words that an entry shares with the one before it
+    for x, y in zip([[], *after], after):
+        n = 0
+        for p, q in zip(x, y):
+            if p != q:
+                break
+            n += 1
+        common.append(n)
+    out: list[list[int]] = [[] for _ in entries]
+    for left in range(max(LEAST - max(map(len, after)), 0), max(map(len, before)) + 1):
+        group, found = 0, {}
+        for k in range(len(entries)):
+            if common[k] < LEAST - left:
+                group += 1
+            if len(before[k]) >= left and len(after[k]) >= LEAST - left:
+                found.setdefault((group, *before[k][len(before[k]) - left :]), []).append(k)
+        for of in found.values():
+            if min(entries[k][0] for k in of) != max(entries[k][1] for k in of):
+                for k in of:
+                    out[k].append(left)
+    return out
+
+
+def _compared(entries: DataFrame) -> DataFrame:
+    """(head, context, far, near): ranges of repeated starts before the suffixes of an entry, from sorted runs."""
 
-    return texts.select("doc_id", F.col("text").cast("binary"), "places").mapInArrow(run, f"head long, stretch long, doc_id {id_type}, start int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = []
+            if len(held) > 1:
+                for e, lefts in zip(held, repeated_in_run([x[1:] for x in held])):
+                    first = None
+                    for here, following in zip(lefts, [*lefts[1:], None]):
+                        first = here if first is None else first
+                        if following != here + 1:
+                            rows.append((key, e[0], here, first))
+                            first = None
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["head", "context", "far", "near"])
+
+        for batch in batches:
+            for head, *entry in zip(*(c.to_pylist() for c in batch.columns)):
+                if head != key:
+                    yield from out()
+                    held, key = [], head
+                if not held or held[-1][0] != entry[0]:  # else a repeated row
+                    held.append(tuple(entry))
+        yield from out()
+
+    n = max(1, int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    array = entries.select("head", "context", "lo", "hi", "before", "after").repartition(n, "head").sortWithinPartitions("head", "after", "context")
+    return array.mapInArrow(run, "head long, context long, far int, near int")
+
+
+def _grouped(entries: DataFrame) -> DataFrame:
+    """The same from fingerprints of the stretches, for runs of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                rows, lefts, prints = [], [], []
+                for k, (before, after) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+                    a = len(before.split())
+                    start = np.arange(len(after.split()) + a - LEAST + 1)
+                    prints.append(Prints(before + b" " + after).of(start, start + LEAST))
+                    lefts.append(a - start)
+                    rows.append(np.full(len(start), k))
+                take = pa.array(np.concatenate(rows))
+                cols = [*(c.take(take) for c in batch.columns[:4]), _signed(np.concatenate(prints)), pa.array(np.concatenate(lefts).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["head", "context", "lo", "hi", "stretch", "far"])
+
+    id_type = entries.schema["lo"].dataType.simpleString()
+    split = entries.select("head", "context", "lo", "hi", "before", "after").mapInArrow(run, f"head long, context long, lo {id_type}, hi {id_type}, stretch long, far int")
+    shared = split.groupBy("head", "stretch").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("head", "stretch")
+    return split.filter("lo = hi").join(shared, ["head", "stretch"]).select("head", "context", "far", F.col("far").alias("near"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): spans of words (start, end), end exclusive, in order and apart, of the documents that have any."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna()
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna().withColumn("t", F.xxhash64("text"))
     kept = stored(_retained(docs))
-    contexts = kept.groupBy("head", "context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    # a head with one context in one document needs no more looking at
-    heads = contexts.groupBy("head").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("n > 1 or lo <> hi").select("head", "n")
-    classes = stored(contexts.join(heads, "head").select("head", "context", "lo", "hi", (F.col("lo") != F.col("hi")).alias("whole"), (F.col("n") > 1).alias("some")))
-    met = stored(kept.join(classes, ["head", "context"]))
+    entries = kept.groupBy("head", "context").agg(F.min(F.struct("doc_id", "t", "spot")).alias("rep"), F.max("doc_id").alias("hi"))
+    # a head with one entry in one document needs no more looking at
+    heads = entries.groupBy("head").agg(F.count("*").alias("n"), F.min("rep.doc_id").alias("lo"), F.max("hi").alias("hi")).filter("n > 1 or lo <> hi").select("head", "n")
+    entries = stored(entries.join(heads, "head").withColumn("whole", F.col("rep.doc_id") != F.col("hi")))
+    place, a, b = F.shiftright("spot", 16).cast("int"), F.shiftright("spot", 8).bitwiseAND(255).cast("int"), F.col("spot").bitwiseAND(255).cast("int")
+    met = stored(kept.join(entries.select("head", "context", "whole"), ["head", "context"]).select("doc_id", "head", "context", "whole", place.alias("place"), a.alias("a"), b.alias("b")))
     full = met.filter("whole").select("doc_id", (F.col("place") - F.col("a")).alias("start"), (F.col("place") - F.col("b") + LEAST).alias("end"))
-    partial = met.filter("some and (not whole or doc_id = lo or doc_id = hi)").select("doc_id", "place", "a", "b")
-    places = partial.groupBy("doc_id").agg(F.collect_list(F.struct("place", "a", "b")).alias("places"))
-    stretches = _extended(docs.join(places, "doc_id"))
-    shared = stretches.groupBy("head", "stretch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("head", "stretch")
-    more = stretches.join(shared, ["head", "stretch"]).select("doc_id", "start", (F.col("start") + LEAST).alias("end"))
-    begin = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def joined(acc, s):
-        last = F.get(acc, F.size(acc) - 1)
-        touch = (F.size(acc) > 0) & (s["start"] <= last["end"])
-        return F.when(touch, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(s)))
-
-    spans = full.union(more).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
-    return spans.select("doc_id", F.aggregate("all", begin, joined).alias("spans"))
+    listed = entries.filter("n > 1").groupBy("rep.doc_id", "rep.t").agg(F.collect_list(F.struct("head", "context", "n", "hi", "rep.spot")).alias("places"))
+    array = stored(_entries(docs.join(listed, ["doc_id", "t"])))
+    found = _compared(array.filter(F.col("n") <= RUN)).union(_grouped(array.filter(F.col("n") > RUN)))
+    partial = met.filter("not whole").join(found, ["head", "context"]).select("doc_id", (F.col("place") - F.col("far")).alias("start"), (F.col("place") - F.col("near") + LEAST).alias("end"))
+    spans = full.union(partial).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
+    reach = spans.select("doc_id", "all", scanned(F.transform("all", lambda s: s["end"]), F.greatest).alias("reach"))
+    # spans begin where nothing before reaches to and end where nothing goes on
+    starts = F.filter(F.transform("all", lambda s, i: F.when((i == 0) | (s["start"] > F.get("reach", i - 1)), s["start"])), lambda x: x.isNotNull())
+    ends = F.filter(F.transform("reach", lambda e, i: F.when((i == F.size("all") - 1) | (F.get("all", i + 1)["start"] > e), e)), lambda x: x.isNotNull())
+    return reach.select("doc_id", F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:

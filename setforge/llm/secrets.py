@@ -10,7 +10,7 @@ the text, each different text once; the table of ratios has one entry for each p
 fixed size. Scanning reads every whole text.
 
 A match's place is the length of what stands before it, from the gaps that a split at the same pattern leaves. Sums and
-extremes along the matches of a text are scans of log2(n) rounds over its array (:func:`scanned`), so a text with very
+extremes along the matches of a text are scans of log2(n) rounds over its array (:func:`setforge.llm.common.scanned`), so a text with very
 many matches takes time n log n. Null texts count as empty and have no spans. Without any random sample the ratios are those of the empty counts, zero, and
 no ``markov`` span appears. Repeated rows are scanned like others; columns besides the text are kept or ignored.
 """
@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from setforge.llm.common import scanned
+
 #: (kind, pattern, group whose length counts, least length). The order is that of kinds at equal starts.
 BASE = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
@@ -46,13 +48,6 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def scanned(values: Column, op, back: bool = False) -> Column:
-    """At each place ``op`` over all values up to it, or from it on (``back``); each round reaches twice as far as the last one."""
-    steps = F.array(*[F.lit(1 << k) for k in range(31)])
-    rounds = F.when(F.size(values) > 1, F.ceil(F.log2(F.size(values)))).otherwise(0).cast("int")
-    return F.aggregate(F.slice(steps, F.lit(1), rounds), values, lambda a, step: F.transform(a, lambda x, i: F.coalesce(op(x, F.get(a, i + step if back else i - step)), x)))
-
-
 def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
     """Array of (start, ord, end, kind, value) of the pattern's non-overlapping matches in code points, end exclusive."""
     if kind == "hex":  # a run fails or passes as a whole; the engine may skip short ones itself

@@ -173,16 +173,43 @@ def test_repeats_small_table(small):
     assert check_repeats(small)
 
 
-def test_repeats_with_edges_copies_and_overlaps(spark):
+@pytest.mark.parametrize("run", [1024, 3, 0])
+def test_repeats_with_edges_copies_and_overlaps(spark, monkeypatch, run):
+    """Runs that are sorted, and those long enough for fingerprints; ids with several texts."""
+    monkeypatch.setattr(repeats, "RUN", run)
     rng = np.random.default_rng(2)
     new = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
     shared = new(120)
     rows = [(k, " ".join(new(int(rng.integers(0, 80))) + shared[int(a) : int(a) + int(n)] + new(int(rng.integers(0, 80))))) for k, (a, n) in enumerate(zip(rng.integers(0, 60, 60), rng.integers(40, 90, 60)))]
     rows += [(100 + k, " ".join(shared)) for k in range(20)] + [(200, " ".join(shared[:60] * 2)), (201, " ".join(new(49))), (202, None), (None, " ".join(shared))]
+    own = new(80)
+    rows += [(300, " ".join(own)), (300, " ".join(new(30) + own)), (301, " ".join(new(5) + own[:55])), (301, " ".join(new(9) + shared)), (302, " ".join(shared)), (302, " ".join(shared))]
+    rows += [(400 + k, " ".join(["same"] * (45 + k))) for k in range(12)]
     exp = check_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(exp) > 40
 
 
+def test_runs_against_all_pairs():
+    """Entries of few words, so that beginnings agree to all lengths: every split of every pair."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        head, entries = [b"h"] * 20, []
+        for _ in range(int(rng.integers(2, 9))):
+            b = int(rng.integers(0, 20))
+            a = b + int(rng.integers(0, 31 - b))
+            word = lambda n: [b"xy"[x : x + 1] * 1 for x in (rng.random(n) < 0.03).astype(int)]
+            lo = int(rng.integers(0, 4))
+            entries.append((lo, lo + int(rng.random() < 0.1), b" ".join(word(a)), b" ".join(head + word(30 - b)) + b" "))
+        entries.sort(key=lambda e: e[3])
+        stretch = lambda e, left: (e[2].split() + e[3].split())[len(e[2].split()) - left :][:50]
+        exp = []
+        for e in entries:
+            lefts = [left for left in range(31) if left <= len(e[2].split()) and 50 - left <= len(e[3].split())]
+            fits = lambda f, left: left <= len(f[2].split()) and 50 - left <= len(f[3].split()) and stretch(f, left) == stretch(e, left)
+            exp.append([left for left in lefts if len({x for f in entries if fits(f, left) for x in f[:2]}) > 1])
+        assert repeats.repeated_in_run(entries) == exp
+
+
 def test_repeats_odd_rows(odd, none):
     check_repeats(odd)
     assert repeats.report(none).count() == 0
