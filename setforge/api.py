@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from setforge.errors import CatalogueError, InvalidPath
 from setforge.operators import reports, zip_sink
@@ -24,8 +24,9 @@ class BuildReport:
     missing: int
     duplicates: int
     exit_code: int
-    written: list[str] = field(default_factory=list)
     bundles: int = 0
+    written: int = 0
+    files: DataFrame | None = None  #: path and number of entries of each bundle written
 
 
 def open_store(spark: SparkSession, path: str) -> Store:
@@ -69,7 +70,8 @@ def build(store: Store, selector: str, source: str, destination: str, layout: st
         if out.exit_code == 0:
             out.bundles = rows.select("zip").distinct().count()
         if s["writes_files"]:
-            out.written = [r["path"] for r in zip_sink.write_bundles(rows, destination, compression).collect()]
+            out.files = zip_sink.write_bundles(rows, destination, compression)
+            out.written = out.files.count()
         return out
     finally:
         entries.unpersist()

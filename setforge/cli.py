@@ -125,7 +125,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         work = api.run if args.command == "build" else api.build
         report = work(store, args.dat, args.source, args.destination, layout=args.layout, compression=args.compression, strict=args.missing == "fail", dry_run=args.dry_run)
-        print(f"matched {report.matched}, missing {report.missing}, bundles {report.bundles}, written {len(report.written)}")
+        print(f"matched {report.matched}, missing {report.missing}, bundles {report.bundles}, written {report.written}")
         return exit_code(report.exit_code)
     except SetforgeError as e:
         print(e, file=sys.stderr)

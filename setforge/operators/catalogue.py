@@ -60,9 +60,13 @@ def numbered(rows: DataFrame, base: Column, order: list[str]) -> DataFrame:
 
 
 def unique_names(rows: DataFrame, base: Column, order: list[str], most: int = 80) -> DataFrame:
-    """``rows`` with unique_name: bases cut to ``most`` characters, the second and later ones numbered ``_2``, ``_3``, ..."""
-    out = numbered(rows, F.substring(base, 1, most), order)
-    return out.withColumn("unique_name", F.when(F.col("occurrence") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", "occurrence")))
+    """``rows`` with unique_name: bases cut to ``most`` characters, ``rom`` where empty; of those that repeat, the second and
+    later ones are numbered ``_2``, ``_3``, ..., cut so that the whole name keeps to ``most``."""
+    cut = F.substring(base, 1, most)
+    out = numbered(rows, F.when(F.coalesce(cut, F.lit("")) == "", "rom").otherwise(cut), order)
+    suffix = F.concat(F.lit("_"), F.col("occurrence"))
+    name = F.concat(F.left("base", F.lit(most) - F.length(suffix)), suffix)
+    return out.withColumn("unique_name", F.when(F.col("occurrence") == 1, F.col("base")).otherwise(name))
 
 
 def capped(rows: DataFrame, order: list[str], most: int) -> DataFrame:

@@ -61,12 +61,8 @@ def named(roms: DataFrame, most: int = MAX_ROMS) -> DataFrame:
     """The first ``most`` roms in order (0: all) with unique game names."""
     first = catalogue.capped(roms, ORDER, most)
     stem = lambda c: text.safe_name(paths.stem(F.col(c)))
-    base = F.substring(text.safe_name(text.game_name(stem("source"), stem("rom_name"))), 1, NAME_LENGTH)
-    base = F.when(base == "", "rom").otherwise(base)
-    out = catalogue.numbered(first, base, ORDER)
-    suffix = F.concat(F.lit("_"), F.col("occurrence"))
-    cut = F.concat(F.left(F.col("base"), F.lit(NAME_LENGTH) - F.length(suffix)), suffix)
-    return out.withColumn("game_name", F.when(F.col("occurrence") == 1, F.col("base")).otherwise(cut)).drop("base", "occurrence")
+    base = text.safe_name(text.game_name(stem("source"), stem("rom_name")))
+    return catalogue.unique_names(first, base, ORDER, NAME_LENGTH).withColumnRenamed("unique_name", "game_name").drop("base", "occurrence")
 
 
 def write_catalogue(spark: SparkSession, sources: list[dict], work_dir: str, header: dict[str, str], policy: dict, most: int = MAX_ROMS) -> int:

@@ -1,7 +1,10 @@
 """The cache: catalogues, games, roms and scanned files as Parquet datasets in one folder.
 
-A change writes a new version beside the current one and then moves a small pointer file, so a reader sees all of a
-change or nothing, and a change that fails leaves the store as it was. Catalogues are numbered on from the largest id
+A change writes new files beside the current ones and then a small state file with the next number, which exists wholly
+or not at all: a reader sees all of a change or nothing, a change that fails leaves the store as it was, and of two
+writers that began at one state the second fails instead of undoing what the first did. Files that are not current any
+more stay for ``RETAIN`` seconds, for readers that have planned on them, and go with a later change. The folder must be
+on a file system that all machines share. Catalogues are numbered on from the largest id
 there is; games, roms and files, which may be very many, get a hash of what identifies them, so no task counts them.
 """
 
@@ -9,7 +12,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,52 +31,65 @@ TABLES = {"data_files": schemas.DATA_FILES, "games": schemas.GAMES, "roms": sche
 VERSION = 1
 
 
+#: Seconds for which files stay that are not current any more.
+RETAIN = 86_400
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, os.path.abspath(path)
+    def __init__(self, spark: SparkSession, path: str, retain: float = RETAIN):
+        self.spark, self.path, self.retain = spark, os.path.abspath(path), retain
         os.makedirs(self.path, exist_ok=True)
-        self._pointer = os.path.join(self.path, "current.json")
-        state = self._state()
-        if state["version"] > VERSION:
+        if self._state()["version"] > VERSION:
             raise CatalogueError(f"{path}: made by a later version")
 
+    def _numbers(self) -> list[int]:
+        return sorted(int(m[1]) for n in os.listdir(self.path) if (m := re.fullmatch(r"state-(\d+)\.json", n)))
+
     def _state(self) -> dict:
-        if os.path.exists(self._pointer):
-            with open(self._pointer, encoding="utf-8") as f:
+        """The current state: its number, each table's folder, and folders that are not current any more with the time since."""
+        if numbers := self._numbers():
+            with open(os.path.join(self.path, f"state-{numbers[-1]}.json"), encoding="utf-8") as f:
                 return json.load(f)
-        return {"version": VERSION, "tables": {}}
+        return {"version": VERSION, "number": 0, "tables": {}, "retired": []}
 
-    def table(self, name: str) -> DataFrame:
-        at = self._state()["tables"].get(name)
+    def table(self, name: str, state: dict | None = None) -> DataFrame:
+        at = (state or self._state())["tables"].get(name)
         if at is None:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.path, at))
 
-    def replace(self, **tables: DataFrame) -> None:
-        """Write new versions of some tables, then make them current together."""
-        state = self._state()
-        old = dict(state["tables"])
+    def replace(self, state: dict, **tables: DataFrame) -> None:
+        """Write new versions of some tables, made from those of ``state``, then make them current together."""
         fresh = {}
+        number, now = state["number"] + 1, time.time()
+        part = os.path.join(self.path, f"{uuid.uuid4().hex}.part")
         try:
             for name, df in tables.items():
                 fresh[name] = f"{name}-{uuid.uuid4().hex}"
                 df = df.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in TABLES[name]])
                 df.write.parquet(os.path.join(self.path, fresh[name]))
-        except BaseException:
+            old = [(now, state["tables"][name]) for name in fresh if name in state["tables"]]
+            stay = [(t, at) for t, at in state["retired"] if now - t < self.retain]
+            with open(part, "w", encoding="utf-8") as f:
+                json.dump({"version": VERSION, "number": number, "tables": state["tables"] | fresh, "retired": stay + old}, f)
+            os.link(part, os.path.join(self.path, f"state-{number}.json"))  # fails if it exists
+        except BaseException as e:
             for at in fresh.values():
                 shutil.rmtree(os.path.join(self.path, at), ignore_errors=True)
+            if isinstance(e, FileExistsError):
+                raise CatalogueError(f"{self.path}: changed by another writer meanwhile") from e
             raise
-        state["tables"] |= fresh
-        part = f"{self._pointer}.{uuid.uuid4().hex}"
-        with open(part, "w", encoding="utf-8") as f:
-            json.dump(state, f)
-        os.replace(part, self._pointer)
-        for name in fresh:
-            if name in old:
-                shutil.rmtree(os.path.join(self.path, old[name]), ignore_errors=True)
-
-    def _next(self, name: str) -> int:
-        return (self.table(name).agg(F.max("id")).first()[0] or 0) + 1
+        finally:
+            if os.path.exists(part):
+                os.remove(part)
+        for t, at in state["retired"]:
+            if now - t >= self.retain:
+                shutil.rmtree(os.path.join(self.path, at), ignore_errors=True)
+        for k in self._numbers()[:-2]:
+            os.remove(os.path.join(self.path, f"state-{k}.json"))
+
+    def _next(self, name: str, state: dict) -> int:
+        return (self.table(name, state).agg(F.max("id")).first()[0] or 0) + 1
 
     @staticmethod
     def _files(scanned: DataFrame) -> DataFrame:
@@ -81,10 +99,11 @@ class Store:
 
     def import_catalogue(self, dat: Catalogue) -> list[int]:
         """Store catalogues, replacing those with the same header name with all their games and roms; the new ids."""
-        old_files, old_games, old_roms = self.table("data_files"), self.table("games"), self.table("roms")
+        state = self._state()
+        old_files, old_games, old_roms = (self.table(name, state) for name in ("data_files", "games", "roms"))
         header = catalogue.latest_by(dat.header, ["name"], "file_name")
         # one row a catalogue file of this import
-        header = header.withColumn("id", F.row_number().over(W.orderBy("name")) + F.lit(self._next("data_files") - 1).cast("long"))
+        header = header.withColumn("id", F.row_number().over(W.orderBy("name")) + F.lit(self._next("data_files", state) - 1).cast("long"))
         gone = old_files.join(header.select("name"), "name", "left_semi")
         gone_games = old_games.join(gone.select(F.col("id").alias("data_file_id")), "data_file_id", "left_semi")
         of_file = header.select("file_name", F.col("id").alias("data_file_id"))
@@ -101,23 +120,26 @@ class Store:
         new_roms = kept_roms.unionByName(fill(roms, "roms"))
         linked = catalogue.parent_links(fill(games, "games"))
         self.replace(
+            state,
             data_files=catalogue.upsert(old_files, fill(header, "data_files"), ["name"]),
             games=catalogue.without_children(old_games, gone, "data_file_id").unionByName(linked),
             roms=new_roms,
-            rom_files=catalogue.associate(self.table("rom_files"), new_roms),
+            rom_files=catalogue.associate(self.table("rom_files", state), new_roms),
         )
         return [r[0] for r in self.table("data_files").join(dat.header.select("name").distinct(), "name", "left_semi").select("id").orderBy("id").collect()]
 
     def replace_scanned(self, scanned: DataFrame, root: str) -> tuple[int, int]:
         """Replace all files under a root by the rows of a scan; numbers of files, and of those that belong to a rom."""
-        kept = catalogue.replace_under_root(self.table("rom_files"), self._files(scanned), root)
-        self.replace(rom_files=catalogue.associate(kept, self.table("roms")))
+        state = self._state()
+        kept = catalogue.replace_under_root(self.table("rom_files", state), self._files(scanned), root)
+        self.replace(state, rom_files=catalogue.associate(kept, self.table("roms", state)))
         found = self.table("rom_files").filter(paths.under(F.col("path"), root)).agg(F.count("*"), F.count("rom_id")).first()
         return found[0], found[1]
 
     def append_scanned(self, scanned: DataFrame) -> None:
         """Add rows of a scan without replacing any."""
-        self.replace(rom_files=catalogue.associate(self.table("rom_files").unionByName(self._files(scanned)), self.table("roms")))
+        state = self._state()
+        self.replace(state, rom_files=catalogue.associate(self.table("rom_files", state).unionByName(self._files(scanned)), self.table("roms", state)))
 
     def find_catalogue(self, selector: str) -> tuple[int, str]:
         """(id, name) of the catalogue with this file name, else with this header name; the newest of several."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -50,7 +51,7 @@ def _info(name: str, compression: int) -> zipfile.ZipInfo:
 def write_zip(destination: str, name: str, rows: Iterator[tuple[str, str, str | None, str]], compression: int) -> tuple[str, int]:
     """Write one bundle under a temporary name and move it into place; rows: entry name, path, entry in it, kind."""
     final = os.path.join(destination, name)
-    part = f"{final}.{os.getpid()}.part"
+    part = f"{final}.{uuid.uuid4().hex}.part"
     n = 0
     try:
         with zipfile.ZipFile(part, "w", compression) as z:
@@ -74,7 +75,7 @@ def write_zip(destination: str, name: str, rows: Iterator[tuple[str, str, str |
 
 
 def write_bundles(entries: DataFrame, destination: str, compression: str = "deflate") -> DataFrame:
-    """(path, n) of the bundles written, ordered by path; entries: zip, rom_name, canonical_path, entry_name, kind and the order.
+    """(path, n) of the bundles written; entries: zip, rom_name, canonical_path, entry_name, kind and the order.
 
     Nothing is made if the plan has no rows or a problem. One bundle is one file, written by one task that streams its
     entries; a task that is run again after a loss writes the same file anew. The destination must be a folder that all
@@ -120,4 +121,4 @@ def write_bundles(entries: DataFrame, destination: str, compression: str = "defl
     out = dealt.select("zip", "rom_name", "canonical_path", "entry_name", "kind").mapInPandas(write, schema)
     written = out.persist()  # a row a file; lost rows are made again by writing the same files
     written.count()  # the action
-    return written.orderBy("path")
+    return written

@@ -246,12 +246,15 @@ def safe_names(spark, sf):
     return t(spark, sf, "pages").select("page_id", text.safe_name(F.col("url")).alias("safe"))
 
 
-@query("""with n as (select page_id, substr(regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '[^A-Za-z0-9._-]+', '_', 'g'), 1, 80) as base from pages),
+@query("""with h as (select page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '[^A-Za-z0-9._-]+', '_', 'g') as host from pages),
+  n as (select page_id, coalesce(nullif(substr(case page_id % 4 when 0 then repeat('long-name.', 9) when 1 then '' else host end, 1, 80), ''), 'rom') as base from h),
   o as (select *, row_number() over (partition by base order by page_id) as k from n)
-  select page_id, case when k = 1 then base else base || '_' || k end as unique_name from o""")
+  select page_id, case when k = 1 then base else substr(base, 1, 80 - length('_' || k)) || '_' || k end as unique_name from o""")
 def unique_names(spark, sf):
-    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    return catalogue.unique_names(t(spark, sf, "pages"), F.regexp_replace(host, "[^A-Za-z0-9._-]+", "_"), ["page_id"]).select("page_id", "unique_name")
+    host = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1), "[^A-Za-z0-9._-]+", "_")
+    kind = F.col("page_id") % 4
+    base = F.when(kind == 0, "long-name." * 9).when(kind == 1, "").otherwise(host)  # longer than a name may be, empty, and as they come
+    return catalogue.unique_names(t(spark, sf, "pages"), base, ["page_id"]).select("page_id", "unique_name")
 
 
 @query("""select doc_id, (lang in ('en') or (source in ('src1', 'src3') and contains(lower(text), 'th'))) as admitted,

@@ -1,6 +1,7 @@
 """Reading of single archives inside a task: what format a file has, and its entries as byte streams.
 
-ZIP goes through the standard library; RAR and 7z through ``bsdtar`` where the machine has it.
+ZIP goes through the standard library; RAR and 7z through ``bsdtar`` where the machine has it, which turns the archive
+into one tar stream: each is decompressed once, and entries that repeat a name are entries of their own.
 """
 
 from __future__ import annotations
@@ -8,7 +9,10 @@ from __future__ import annotations
 import contextlib
 import shutil
 import subprocess
+import tarfile
+import tempfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -18,6 +22,9 @@ CHUNK = 1 << 16
 # The bytes that formats begin with.
 MAGIC = ((b"PK\x03\x04", "zip"), (b"PK\x05\x06", "zip"), (b"PK\x07\x08", "zip"), (b"7z\xbc\xaf\x27\x1c", "7z"), (b"Rar!\x1a\x07", "rar"))
 
+#: What the stream of an entry may raise while it is read.
+READ_ERRORS = (tarfile.TarError, zipfile.BadZipFile, zlib.error, EOFError)
+
 
 def sniff(path: str) -> str:
     """zip, 7z, rar or bare, by the first bytes."""
@@ -31,32 +38,43 @@ def safe_name(name: str) -> str:
     parts = [p for p in name.replace("\\", "/").split("/") if p != "."]
     if not parts or name.startswith("/") or "\0" in name or any(p in ("", "..") for p in parts) or (len(name) > 1 and name[1] == ":" and name[0].isalpha()):
         raise InvalidPath(f"unsafe entry name: {name!r}")
+    try:
+        name.encode()
+    except UnicodeEncodeError as e:
+        raise InvalidPath(f"entry name that is no UTF-8: {name!r}") from e
     return "/".join(parts)
 
 
-def _bsdtar(*args: str) -> subprocess.Popen:
+def _tar_entries(path: str) -> Iterator[tuple[str, BinaryIO]]:
+    """(raw name, stream) of each entry that is a file, in one pass."""
     if not (tool := shutil.which("bsdtar")):
         raise ArchiveError("bsdtar is not installed: RAR and 7z cannot be read")
-    return subprocess.Popen([tool, *args], stdout=subprocess.PIPE, stderr=subprocess.PIPE)
-
-
-def _tar_names(path: str) -> list[str]:
-    p = _bsdtar("-tf", path)
-    out, err = p.communicate()
-    if p.returncode:
-        raise ArchiveError(f"{path}: {err.decode(errors='replace').strip()}")
-    return out.decode().splitlines()
-
-
-@contextlib.contextmanager
-def _tar_entry(path: str, name: str) -> Iterator[BinaryIO]:
-    pattern = "".join("\\" + c if c in "*?[]\\" else c for c in name)
-    p = _bsdtar("-xOf", path, "--", pattern)
-    yield p.stdout
-    p.stdout.read()
-    err = p.stderr.read()
-    if p.wait():
-        raise ArchiveError(f"{path}:{name}: {err.decode(errors='replace').strip()}")
+    with tempfile.TemporaryFile() as said:
+        p = subprocess.Popen([tool, "-cf", "-", "--format", "pax", f"@{path}"], stdout=subprocess.PIPE, stderr=said)
+        done = False
+        try:
+            try:
+                with tarfile.open(fileobj=p.stdout, mode="r|", encoding="utf-8", errors="surrogateescape") as t:
+                    for info in t:
+                        if info.isfile():
+                            yield info.name, t.extractfile(info)
+                done = True
+            except tarfile.TarError as e:
+                raise ArchiveError(f"{path}: {_said(said) or e}") from e
+            while p.stdout.read(CHUNK):
+                pass
+            if p.wait():
+                raise ArchiveError(f"{path}: {_said(said)}")
+        finally:
+            if not done:
+                p.kill()
+            p.stdout.close()
+            p.wait()
+
+
+def _said(stderr: BinaryIO) -> str:
+    stderr.seek(0)
+    return stderr.read().decode(errors="replace").strip()
 
 
 def entries(path: str, kind: str) -> Iterator[tuple[str, BinaryIO]]:
@@ -72,16 +90,13 @@ def entries(path: str, kind: str) -> Iterator[tuple[str, BinaryIO]]:
         except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, RuntimeError) as e:
             raise ArchiveError(f"{path}: {e}") from e
         return
-    for raw in _tar_names(path):
-        if not raw.endswith("/"):
-            name = safe_name(raw)
-            with _tar_entry(path, raw) as f:
-                yield name, f
+    for raw, f in _tar_entries(path):
+        yield safe_name(raw), f
 
 
 @contextlib.contextmanager
 def open_entry(path: str, kind: str, name: str) -> Iterator[BinaryIO]:
-    """The stream of one entry, found by its exact name or else by its safe form."""
+    """The stream of one entry, found by its exact name or else by its safe form; of several the first, in ZIP files the last."""
     if kind == "zip":
         try:
             z = zipfile.ZipFile(path)
@@ -95,12 +110,12 @@ def open_entry(path: str, kind: str, name: str) -> Iterator[BinaryIO]:
             with z.open(found) as f:
                 yield f
         return
-    names = _tar_names(path)
-    found = name if name in names else next((n for n in names if not n.endswith("/") and _matches(n, name)), None)
-    if found is None:
-        raise ArchiveError(f"{path} has no entry {name}")
-    with _tar_entry(path, found) as f:
-        yield f
+    with contextlib.closing(_tar_entries(path)) as every:
+        for raw, f in every:
+            if _matches(raw, name):
+                yield f
+                return
+    raise ArchiveError(f"{path} has no entry {name}")
 
 
 def _matches(raw: str, wanted: str) -> bool:

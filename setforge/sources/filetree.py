@@ -1,14 +1,16 @@
-"""Spark data source ``filetree``: the files of a directory tree, archives exploded, with their digests.
+"""Files of a directory tree, archives exploded, with their digests: listed by one stage, read by the next.
 
-The driver opens as many folders as it takes to have work for ``PARTS`` tasks; each task walks the folders it was given
-down to the files and reads them, in one pass for both digests. Unlike Spark's binaryFile it has empty files and names
-with a leading underscore. Names with a leading dot are skipped below the root, links are files, not folders, and
-whatever cannot be read ends the scan.
+The Spark data source ``filetree`` lists. The driver opens folders only until there are enough for the tasks, a few for
+every core; each task lists the folders it was given and walks down from them. The paths are then dealt out anew, so
+that a folder with very many files, or the one deep folder, is read by all tasks. A file is read in one pass for all
+digests. Unlike Spark's binaryFile it has empty files and names with a leading underscore. Names with a leading dot are
+skipped below the root, links are files, not folders, and whatever cannot be read ends the scan.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -21,7 +23,8 @@ from setforge import schemas
 from setforge.errors import InvalidPath
 from setforge.sources import archives
 
-PARTS = 64
+#: Folders that the driver opens at least until it leaves the rest to tasks, and tasks for every core when files are read.
+PARTS, PER_CORE = 64, 4
 #: What a database file may have beside it.
 SIDECARS = ("", "-wal", "-shm", "-journal")
 
@@ -79,72 +82,72 @@ def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
     try:
         for k, (entry, stream) in enumerate(archives.entries(path, kind)):
             yield (parent, path, entry, *digests(stream), True, "zip" if kind == "zip" else "archive", k)
-    except archives.ArchiveError:
+    except (archives.ArchiveError, *archives.READ_ERRORS) as e:
         if not permissive:
-            raise
+            raise e if isinstance(e, archives.ArchiveError) else archives.ArchiveError(f"{path}: {e}") from e
 
 
 class _Part(InputPartition):
-    def __init__(self, folders: list[str], files: list[str]):
-        self.folders, self.files = folders, files
+    """Folders to walk, folders of which only the files are taken, and single files."""
+
+    def __init__(self, deep: list[str], flat: list[str], files: list[str]):
+        self.deep, self.flat, self.files = deep, flat, files
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = canonical(options["path"])
-        self.permissive = str(options.get("permissive", "false")).lower() == "true"
+        self.parts = max(PARTS, int(options.get("parts", PARTS)))
         own = options.get("exclude")
         self.excluded = {os.path.realpath(own) + s for own in (own.split("\n") if own else ()) for s in SIDECARS}
 
     def partitions(self) -> list[_Part]:
         if not os.path.isdir(self.root):
-            return [_Part([], [self.root])]
-        folders, files, wide = [self.root], [], True
-        while wide and len(folders) < PARTS:
-            wide, new = False, []
-            for f in folders:
-                below, here = listed(f)
-                files += here
-                new += below
-                wide |= bool(below)
-            folders = new
-        parts = [_Part(folders[k::PARTS], files[k::PARTS]) for k in range(PARTS)]
-        return [p for p in parts if p.folders or p.files]
+            return [_Part([], [], [self.root])]
+        deep, flat = [self.root], []
+        while deep and len(deep) < self.parts:
+            below = [d for folder in deep for d in listed(folder)[0]]
+            flat += deep
+            deep = below
+        parts = [_Part(deep[k :: self.parts], flat[k :: self.parts], []) for k in range(self.parts)]
+        return [p for p in parts if p.deep or p.flat]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        names = schemas.SCANNED.names
-
-        def batch() -> pa.RecordBatch:
-            types = (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-        for path in (p for group in (part.files, *(walk(f) for f in part.folders)) for p in group):
-            if path in self.excluded:
-                continue
-            for row in scan_file(path, self.permissive):
-                rows.append(row)
-                if len(rows) >= 1000:
-                    yield batch()
-                    rows = []
-        if rows:
-            yield batch()
+        found = (p for group in (part.files, *(listed(f)[1] for f in part.flat), *(walk(f) for f in part.deep)) for p in group if p not in self.excluded)
+        while rows := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["path"])
 
 
 class FileTree(DataSource):
+    """Paths of the files below ``path``, without those of ``exclude`` (line by line) and what lies beside them."""
+
     @classmethod
     def name(cls) -> str:
         return "filetree"
 
-    def schema(self):
-        return schemas.SCANNED
+    def schema(self) -> str:
+        return "path string"
 
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
 
 
+def scan(files: DataFrame, permissive: bool = False) -> DataFrame:
+    """Rows (schemas.SCANNED) of the files with the given ``path``, dealt out by it."""
+    spark = files.sparkSession
+    names, types = schemas.SCANNED.names, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for p in b.column(0).to_pylist() for r in scan_file(p, permissive))
+        while some := list(itertools.islice(rows, 1000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
+
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_CORE * spark.sparkContext.defaultParallelism)
+    return files.select("path").repartition(n, "path").mapInArrow(run, schemas.SCANNED)
+
+
 def read_tree(spark: SparkSession, path: str, exclude: list[str] = (), permissive: bool = False) -> DataFrame:
     """The scanned rows of a tree or of a single file. The tree must be on a file system that all machines share."""
     spark.dataSource.register(FileTree)
-    reader = spark.read.format("filetree").option("path", canonical(path)).option("permissive", str(permissive).lower())
-    return (reader.option("exclude", "\n".join(exclude)) if exclude else reader).load()
+    reader = spark.read.format("filetree").option("path", canonical(path)).option("parts", PER_CORE * spark.sparkContext.defaultParallelism)
+    return scan((reader.option("exclude", "\n".join(exclude)) if exclude else reader).load(), permissive)

@@ -122,6 +122,8 @@ def test_catalogue_steps(spark):
     assert {r.id: r.parent_id for r in catalogue.parent_links(g).collect()} == {1: None, 2: 1, 3: None}
     u = catalogue.unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "k int, n string"), F.col("n"), ["k"])
     assert [r.unique_name for r in u.orderBy("k").collect()] == ["a", "a_2", "b"]
+    long = catalogue.unique_names(spark.createDataFrame([(k, "n" * 80 if k < 12 else None if k == 12 else "") for k in range(14)], "k int, n string"), F.col("n"), ["k"])
+    assert [r.unique_name for r in long.orderBy("k").collect()] == ["n" * 80, *["n" * 78 + f"_{k}" for k in range(2, 10)], *["n" * 77 + f"_{k}" for k in (10, 11, 12)], "rom", "rom_2"]
 
 
 def test_admission(spark, tmp_path):

@@ -1,17 +1,20 @@
 """The file workflow end to end: catalogue, scan, plan, ZIP files, store, command line."""
 
 import hashlib
+import io
 import os
-import subprocess
 import shutil
+import subprocess
+import sys
+import tarfile
 import zipfile
 
 import pytest
 
 from setforge import api, cli
-from setforge.errors import CatalogueError, InvalidPath, PlanError
+from setforge.errors import ArchiveError, CatalogueError, InvalidPath, PlanError
 from setforge.operators import zip_sink
-from setforge.sources import dat, filetree
+from setforge.sources import archives, dat, filetree
 
 ABC = hashlib.sha1(b"abc").hexdigest()
 EMPTY = hashlib.sha1(b"").hexdigest()
@@ -83,17 +86,89 @@ def test_seven_zip(spark, tree, tmp_path):
     assert [(r.name, bytes(r.sha1)) for r in rows] == [("in.rom", hashlib.sha1(b"seven").digest())]
 
 
+@pytest.fixture
+def tar_tool(tmp_path, monkeypatch):
+    """A stand-in for bsdtar that takes the tar stream from beside the archive; a second word there makes it fail."""
+    (tmp_path / "bin").mkdir()
+    tool = tmp_path / "bin" / "bsdtar"
+    tool.write_text(f"#!{sys.executable}\nimport sys\np = sys.argv[-1][1:]\nassert sys.argv[1:5] == ['-cf', '-', '--format', 'pax']\nsys.stdout.buffer.write(open(p, 'rb').read()[8:])\nif 'bad' in p: sys.exit('it is bad')\n")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path / 'bin'}{os.pathsep}{os.environ['PATH']}")
+
+
+def tarred(*entries) -> bytes:
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as t:
+        for name, body in entries:
+            info = tarfile.TarInfo(name)
+            info.type, info.size = (tarfile.DIRTYPE, 0) if body is None else (tarfile.REGTYPE, len(body))
+            t.addfile(info, io.BytesIO(body or b""))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("magic", [b"7z\xbc\xaf\x27\x1c\0\0", b"Rar!\x1a\x07\0\0"])
+def test_rar_and_seven_zip_entries_in_one_pass(tmp_path, tar_tool, magic):
+    path = tmp_path / "a.bin"
+    path.write_bytes(magic + tarred(("dir/", None), ("dir/a", b"AAAA"), ("dir/a", b"BBBB"), ("line\u2028break", b"x"), ("./b", b"")))
+    rows = list(filetree.scan_file(str(path)))
+    assert [(r[2], r[3], r[6], r[8], r[9]) for r in rows] == [(n, hashlib.sha1(b).digest(), len(b), "archive", k) for k, (n, b) in enumerate([("dir/a", b"AAAA"), ("dir/a", b"BBBB"), ("line\u2028break", b"x"), ("b", b"")])]
+    with archives.open_entry(str(path), "7z", "b") as f:
+        assert f.read() == b""
+    with archives.open_entry(str(path), "rar", "dir/a") as f:
+        assert f.read() == b"AAAA"
+    with pytest.raises(ArchiveError), archives.open_entry(str(path), "7z", "none"):
+        pass
+    zip_sink.write_zip(str(tmp_path), "o.zip", iter([("x", str(path), "dir/a", "archive")]), zipfile.ZIP_STORED)
+    with zipfile.ZipFile(tmp_path / "o.zip") as z:
+        assert z.read("x") == b"AAAA"
+    for name, body, error in (("bad", tarred(("a", b"1")), ArchiveError), ("short", tarred(("a", b"1" * 9000))[:5000], ArchiveError), ("evil", tarred(("../a", b"1")), InvalidPath), ("odd", tarred(("a\udcff", b"1")), InvalidPath)):
+        (tmp_path / name).write_bytes(magic + body)
+        with pytest.raises(error):
+            list(filetree.scan_file(str(tmp_path / name)))
+
+
+def test_scan_of_wide_and_deep_trees(spark, tmp_path):
+    """More folders than the driver opens, a flat one, and a chain."""
+    exp = set()
+    for k in range(90):
+        d = tmp_path / f"d{k}" / "e"
+        d.mkdir(parents=True)
+        (d / "f").write_bytes(b"%d" % k)
+        (tmp_path / f"flat{k}").write_bytes(b"")
+        exp |= {str(d / "f"), str(tmp_path / f"flat{k}")}
+    deep = tmp_path.joinpath(*"abcdefgh")
+    deep.mkdir(parents=True)
+    (deep / "x").write_bytes(b"x")
+    rows = filetree.read_tree(spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in rows) == sorted(exp | {str(deep / "x")})
+
+
+def test_store_keeps_files_for_readers_and_refuses_lost_updates(spark, tree, tmp_path):
+    store = api.open_store(spark, str(tmp_path / "store"))
+    api.scan_source(store, str(tree))
+    before, stale = store.table("rom_files"), store._state()
+    api.scan_source(store, str(tree))
+    assert before.count() == 2  # planned on files that are not current any more
+    with pytest.raises(CatalogueError, match="another writer"):
+        store.replace(stale, rom_files=store.table("rom_files").limit(0))
+    assert store.table("rom_files").count() == 2
+    store.retain = 0
+    api.scan_source(store, str(tree))
+    api.scan_source(store, str(tree))
+    assert len([n for n in os.listdir(store.path) if n.startswith("rom_files-")]) == 2 and store.table("rom_files").count() == 2
+
+
 def test_build_parent_bundles_and_rerun(spark, tree, tmp_path):
     store = api.open_store(spark, str(tmp_path / "store"))
     d = write_dat(tmp_path / "set.dat", CLONES)
     r = api.run(store, d, str(tree), str(tmp_path / "out"))
-    assert (r.matched, r.missing, r.exit_code, [os.path.basename(p) for p in r.written]) == (2, 1, 0, ["parent.zip"])
-    with zipfile.ZipFile(r.written[0]) as z:
+    assert (r.matched, r.missing, r.exit_code, [os.path.basename(f.path) for f in r.files.collect()]) == (2, 1, 0, ["parent.zip"])
+    with zipfile.ZipFile(r.files.first().path) as z:
         assert {n: z.read(n) for n in z.namelist()} == {"parent.rom": b"abc", "clone2.rom": b""}
     # the second run replaces catalogue and scan; nothing is doubled
     (tree / "a.rom").write_bytes(b"changed")
     r = api.run(store, d, str(tree), str(tmp_path / "out2"), layout="per-game", compression="store")
-    assert (r.matched, [os.path.basename(p) for p in r.written]) == (1, ["clone2.zip"])
+    assert (r.matched, [os.path.basename(f.path) for f in r.files.collect()]) == (1, ["clone2.zip"])
     assert store.table("rom_files").count() == 2 and store.table("data_files").count() == 1 and store.table("games").count() == 3
 
 
@@ -102,7 +177,7 @@ def test_strict_dry_run_and_by_name(spark, tree, tmp_path):
     api.scan_source(store, str(tree))
     api.import_dat(store, write_dat(tmp_path / "set.dat", CLONES))
     r = api.build(store, "Test Set", str(tree), str(tmp_path / "o1"), strict=True)
-    assert (r.exit_code, r.written, r.matched) == (2, [], 2) and not (tmp_path / "o1").exists()
+    assert (r.exit_code, r.written, r.matched) == (2, 0, 2) and not (tmp_path / "o1").exists()
     r = api.build(store, "Test Set", str(tree), str(tmp_path / "o2"), dry_run=True)
     assert (r.exit_code, r.bundles) == (0, 1) and not (tmp_path / "o2").exists()
     games = {g.name: g for g in store.table("games").collect()}
