@@ -15,7 +15,8 @@ parts of equal length: of the parts of a matching passage one has its share of t
 measurements for a recall of 0.99 at the full number of edits (see README; the tests measure it against exact search).
 
 Windows are embedded where a match of an indexed length can be at all: each edit breaks two pairs of neighbouring words
-at most, so a window must hold as many pairs known from items of that length as are left then. Such windows are all
+at most, so a window must hold as many pairs known from items of that length as are left then. (Where one word is
+repeated on and on, equal pairs in a row count as its first and last one, in items as one.) Such windows are all
 that can match any of those items; which one, if any, the index says.
 
 Items are a stated query set: they are read in blocks of ``BLOCK_WORDS`` words, each block of that size broadcast and
@@ -77,9 +78,13 @@ class Item:
 
 @dataclass
 class Bucket:
-    """Indexed parts of one length: sorted keys of their samples, and of each key its item and the part's place in it."""
+    """Indexed parts of one length: sorted keys of their samples, and of each key its item and the part's place in it.
+
+    A window holds ``least`` known pairs, of a word that goes on and on the first and the last one.
+    """
 
     edits: int
+    least: int
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
@@ -117,8 +122,10 @@ class Items:
             keys = self._keys(ids)
             order = np.argsort(keys, axis=None, kind="stable")
             owner = order // rounds
-            self.buckets[n] = Bucket(most(n), keys.ravel()[order], np.array([x[1] for x in of])[owner], np.array([x[2] for x in of])[owner])
-            own = np.unique(self._pairs(ids) if n > 1 else ids)
+            pair = self._pairs(ids)
+            runs = int((pair[:, 1:] != pair[:, :-1]).sum(axis=1).min()) + 1  # an edit breaks two runs of equal pairs at most
+            self.buckets[n] = Bucket(most(n), runs - 2 * most(n), keys.ravel()[order], np.array([x[1] for x in of])[owner], np.array([x[2] for x in of])[owner])
+            own = np.unique(pair if n > 1 else ids)
             pairs.append(own)
             lengths.append(np.full(len(own), n))
         #: Pairs of neighbouring words (of one-word items the words) with the lengths that they stand in, by pair.
@@ -194,6 +201,7 @@ class Items:
             if len(single):
                 yield 1, single
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        at = at[(pair[at] != pair[at - 1]) | (pair[at] != pair[np.minimum(at + 1, len(pair) - 1)])]
         at = at[self.maybe[self._slot(pair[at])]]
         lo, hi = np.searchsorted(self.pairs, pair[at], "left"), np.searchsorted(self.pairs, pair[at], "right")
         of = np.repeat(np.arange(len(at)), hi - lo)
@@ -201,7 +209,7 @@ class Items:
         order = np.argsort(length, kind="stable")
         length, place = length[order], at[of[order]]
         for n, bucket in self.buckets.items():
-            least = n - 1 - 2 * bucket.edits
+            least = bucket.least
             if n == 1:
                 continue
             if least < 1:
