@@ -53,9 +53,9 @@ def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least:
     if kind == "hex":  # a run fails or passes as a whole; the engine may skip short ones itself
         pattern = rf"[0-9a-f]{{{least},}}"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
 
     def placed(ms: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(ms))
         ends = scanned(F.zip_with(gaps, ms, lambda g, m: F.length(g) + F.length(m)), lambda x, y: x + y)
         value = (lambda m: F.regexp_extract(m, pattern, group)) if group else (lambda m: m)
         return F.zip_with(ends, ms, lambda e, m: F.struct((e - F.length(m)).alias("start"), F.lit(order).alias("ord"), e.alias("end"), F.lit(kind).alias("kind"), value(m).alias("value")))
@@ -114,7 +114,8 @@ def markov_spans(text: Column, base: Column, ratios: list[float], least: float =
         marked = F.zip_with(both, F.arrays_zip(reached.alias("reached"), following.alias("following")), lambda s, x: F.struct(s.alias("s"), (~is_base(s) & (x["reached"] <= s["start"]) & (x["following"] >= s["end"])).alias("free")))
         return F.transform(F.filter(marked, lambda x: x["free"]), lambda x: x["s"])
 
-    return F.when(F.size(runs) > 0, F.filter(let(F.array_sort(F.concat(base, runs)), free), lambda s: _mean_ratio(s["value"], table) > least)).otherwise(runs)
+    own = lambda r: F.filter(let(F.array_sort(F.concat(base, r)), free), lambda s: _mean_ratio(s["value"], table) > least)
+    return let(runs, lambda r: F.when(F.size(r) > 0, own(r)).otherwise(r))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text", names: tuple[str, str] = ("base", "spans")) -> DataFrame:
