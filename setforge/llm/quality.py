@@ -9,12 +9,15 @@ sharded by gram, and the replies return to the block, where the probabilities ar
 document. So the shuffled requests follow the number of blocks and not that of characters, and the text is shuffled
 once: the exchange serves both the requests and the scoring.
 
-A document is kept if its perplexity is at most the ``QUANTILE`` of its language's trusted documents, times ``SLACK``
-and an allowance for short texts, whose mean varies more: exp(``SPREAD`` / sqrt(characters)).
-One trusted document in ``HELD_OUT``, chosen by a hash of its id, is not counted by the model and sets the quantiles,
-as the perplexity of counted text would be too low. Languages without such documents take the quantile of all of them. A null or empty text has a null perplexity
-and isn't kept. Without any trusted text there is no model: perplexity and threshold are null and every text with a
-character is kept. Repeated rows get equal results, null ids and languages are kept as they are (null is a language
+A document is kept if its perplexity is at most its language's ``QUANTILE`` of trusted documents. The mean over few
+characters varies more than over many, so the quantile is one of standardised log-perplexities: (log p - m) / sqrt(u +
+v / n) for n characters, m being the language's mean over all characters and u, v the least-squares fit to the squared
+deviations. All of it comes from trusted documents that the model has not counted, as the perplexity of counted text
+would be too low: one in ``HELD_OUT``, chosen by a hash of its id. Languages with fewer than ``ENOUGH`` of them take the
+fit and quantile of all languages. A null or empty text has a null perplexity and isn't kept. Without any trusted text
+there is no model: perplexity and threshold are null and every text with a character is kept; without any held out,
+the threshold is infinite.
+Repeated rows get equal results, null ids and languages are kept as they are (null is a language
 of its own), and columns besides id, text and language are ignored.
 """
 
@@ -35,11 +38,14 @@ from setforge.llm.common import stored
 #: Four characters of 16 bits fill a long; orders below leave the high bits empty, so one key tells the order as well.
 ORDER = 4
 BLOCK_BYTES = 20 << 20
-QUANTILE, SLACK = 0.99, 1.15
-#: Allowance for the mean of few characters, as a factor exp(SPREAD / sqrt(n)) on the threshold of a text of n.
-SPREAD = 4.0
+#: Blocks that a task works on, one after the other.
+BLOCKS_A_TASK = 8
+#: Share of the trusted documents that is kept: the higher, the more clean and the more junk documents stay.
+QUANTILE = 0.999
 #: One trusted document in so many is left out of the counts and sets the thresholds instead.
 HELD_OUT = 5
+#: Held-out documents from which on a language has a threshold of its own.
+ENOUGH = 30
 #: Labels up to this number are broadcast (16 MB of ids); more are joined by shuffling both sides.
 BROADCAST_LABELS = 2_000_000
 BEGIN = 2
@@ -146,21 +152,27 @@ def log_probabilities(unique: np.ndarray, keys: np.ndarray, c: np.ndarray, s: np
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, key) of all that the texts of a block need, each once; a task's partition may hold several blocks."""
-    found: dict[int, np.ndarray] = {}
+    """(block, key) of all that the texts of a block need, each once; blocks come one after the other."""
+    block, found = None, np.empty(0, np.uint64)
+
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = np.sort(requests(found)).view(np.int64) if len(found) else np.empty(0, np.int64)
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int64)), pa.array(part)], names=["block", "key"])
+
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
             batch = whole.slice(at, 256)
             texts, blocks = batch.column("text").to_pylist(), batch.column("block").to_numpy(zero_copy_only=False)
-            for b in np.unique(blocks).tolist():
-                some = [grams(texts[k]) for k in np.flatnonzero(blocks == b) if texts[k]]
-                if some:
-                    found[b] = pd.unique(np.concatenate([found.get(b, np.empty(0, np.uint64)), *[pd.unique(g) for g in some]]))
-    for b, u in found.items():
-        keys = np.sort(requests(u)).view(np.int64)
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), b, np.int64)), pa.array(part)], names=["block", "key"])
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(texts)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if blocks[lo] != block:
+                    yield from out()
+                    block, found = int(blocks[lo]), np.empty(0, np.uint64)
+                if some := [grams(t) for t in texts[lo:hi] if t]:
+                    found = pd.unique(np.concatenate([found, *[pd.unique(g) for g in some]]))
+    yield from out()
 
 
 def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]], chars: int, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
@@ -169,8 +181,9 @@ def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks)).alias("block"))
-    dealt = dealt.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    asked = dealt.mapInArrow(_ask, "block long, key long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks / BLOCKS_A_TASK))
+    dealt = dealt.repartition(tasks, "block")
+    asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block long, key long")
     replies = asked.join(table, "key").select("block", "key", "c", "s", "gamma")
 
     def score(texts: pa.Table, model: pa.Table) -> pa.Table:
@@ -196,15 +209,30 @@ def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]]
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(lang, threshold) of trusted scores, exact on perplexities in hundredths; the row of all languages has every = true."""
-    bins = scores.filter("perplexity is not null").groupBy("lang", F.ceil(F.col("perplexity") * 100).alias("bin")).agg(F.count("*").alias("m"))
-    both = bins.withColumn("every", F.lit(False)).unionByName(bins.groupBy("bin").agg(F.sum("m").alias("m")).withColumn("lang", F.lit(None).cast("string")).withColumn("every", F.lit(True)))
-    up, whole = W.partitionBy("every", "lang").orderBy("bin"), W.partitionBy("every", "lang")
-    counted = both.withColumn("upto", F.sum("m").over(up)).withColumn("all", F.sum("m").over(whole))
-    return counted.filter(F.col("upto") >= F.col("all") * quantile).groupBy("every", "lang").agg((F.min("bin") / 100).alias("threshold"))
+    """(every, lang, m, u, v, z): fit and quantile of trusted scores (lang, n, perplexity), each language's and, with every = true, those of all.
 
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+    z is exact on hundredths. Languages with fewer than ENOUGH scores have no row.
+    """
+    y, n = F.log("perplexity"), F.col("n").cast("double")
+    some = scores.filter("perplexity is not null").select("lang", n.alias("n"), y.alias("y"))
+    both = some.withColumn("every", F.lit(False)).unionByName(some.select("n", "y", F.lit(None).cast("string").alias("lang"), F.lit(True).alias("every")))
+    key = ["every", "lang"]
+    joined = lambda df, other: df.join(F.broadcast(other.withColumnsRenamed({k: f"__{k}" for k in key})), (F.col("every") == F.col("__every")) & F.col("lang").eqNullSafe(F.col("__lang"))).drop("__every", "__lang")
+    means = both.groupBy(*key).agg((F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("m"), F.count("*").alias("many")).filter((F.col("many") >= ENOUGH) | F.col("every")).drop("many")
+    square = F.pow(F.col("y") - F.col("m"), 2)
+    sums = joined(both, means).groupBy(*key, "m").agg(F.sum("n").alias("w"), F.count("*").alias("k"), F.sum(1 / F.col("n")).alias("x"), F.sum(F.col("n") * square).alias("r"), F.sum(square).alias("q"))
+    spread = F.col("w") * F.col("x") - F.col("k") * F.col("k")  # 0 where all texts are equally long
+    slope = F.when(spread > 1e-9 * F.col("w") * F.col("x"), (F.col("w") * F.col("q") - F.col("k") * F.col("r")) / spread).otherwise(0.0)
+    v = F.least(F.greatest(slope, F.lit(0.0)), F.col("r") / F.col("k"))  # neither part of the variance is negative
+    fits = sums.withColumn("v", v).select(*key, "m", F.greatest((F.col("r") - F.col("v") * F.col("k")) / F.col("w"), F.lit(1e-9)).alias("u"), "v")
+    z = (F.col("y") - F.col("m")) / F.sqrt(F.col("u") + F.col("v") / F.col("n"))
+    bins = joined(both, fits).groupBy(*key, "m", "u", "v", F.ceil(z * 100).alias("bin")).agg(F.count("*").alias("c"))
+    up, whole = W.partitionBy(*key).orderBy("bin"), W.partitionBy(*key)
+    counted = bins.withColumn("upto", F.sum("c").over(up)).withColumn("all", F.sum("c").over(whole))
+    return counted.filter(F.col("upto") >= F.col("all") * quantile).groupBy(*key, "m", "u", "v").agg((F.min("bin") / 100).alias("z"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n, perplexity, threshold, keep) of every document; labels: doc_id and quality."""
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id")
     small = labels.count() <= BROADCAST_LABELS
@@ -212,12 +240,14 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, sla
     with_text = docs.filter(~held_out).join(F.broadcast(trusted) if small else trusted, "doc_id", "left_semi")
     table, discounts, chars = train(with_text)
     if not chars:
-        return docs.select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (F.coalesce(F.length("text"), F.lit(0)) > 0).alias("keep"))
+        n = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+        return docs.select("doc_id", "lang", n.alias("n"), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), (n > 0).alias("keep"))
     scores = stored(perplexities(docs, table, discounts, chars))
-    bars = stored(thresholds(scores.filter(held_out).join(trusted, "doc_id", "left_semi"), quantile))
-    all_languages = bars.filter("every").first()
-    every = all_languages["threshold"] if all_languages else float("inf")
-    own = bars.filter("not every").select(F.col("lang").alias("bar_lang"), "threshold")
-    out = scores.join(own, F.col("lang").eqNullSafe(F.col("bar_lang")), "left")
-    bar = F.round(F.coalesce("threshold", F.lit(every)) * slack * F.exp(F.lit(SPREAD) / F.sqrt(F.greatest("n", F.lit(1)))), 4)
+    fits = stored(thresholds(scores.filter(held_out).join(trusted, "doc_id", "left_semi"), quantile))
+    own = fits.filter("not every").select(F.col("lang").alias("__lang"), F.struct("m", "u", "v", "z").alias("fit"))
+    every = fits.filter("every").select("m", "u", "v", "z").first()  # one row
+    rest = F.struct(*[F.lit(x).alias(c) for c, x in zip("muvz", every or (float("inf"), 0.0, 0.0, 0.0))])
+    out = scores.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("fit", F.coalesce("fit", rest))
+    f = F.col("fit")
+    bar = F.round(F.exp(f["m"] + f["z"] * F.sqrt(f["u"] + f["v"] / F.greatest("n", F.lit(1)))), 4)
     return out.select("doc_id", "lang", "n", "perplexity", bar.alias("threshold"), F.coalesce(F.col("perplexity") <= bar, F.lit(False)).alias("keep"))

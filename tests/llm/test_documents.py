@@ -411,6 +411,59 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.classify(none, labels).count() == 0
 
 
+def plain_thresholds(scores, quantile):
+    """{lang: (m, u, v, z)} and the same of all under "every" of (lang, n, perplexity)."""
+    out = {}
+    for lang in {x for x, _, _ in scores} | {"every"}:
+        rows = [(n, math.log(p)) for x, n, p in scores if lang in (x, "every")]
+        if lang != "every" and len(rows) < quality.ENOUGH:
+            continue
+        m = sum(n * y for n, y in rows) / sum(n for n, _ in rows)
+        # least squares of (y - m)^2 on 1 and 1/n, weights n
+        w = np.sqrt([n for n, _ in rows])
+        x = np.stack([w, w / np.array([n for n, _ in rows])], axis=1)
+        u, v = np.linalg.lstsq(x, w * np.array([(y - m) ** 2 for _, y in rows]), rcond=None)[0]
+        mean = sum(n * (y - m) ** 2 for n, y in rows)
+        v = min(max(v, 0), mean / len(rows))
+        u = max((mean - v * len(rows)) / sum(n for n, _ in rows), 1e-9)
+        z = sorted((y - m) / math.sqrt(u + v / n) for n, y in rows)
+        out[lang] = m, u, v, math.ceil(z[math.ceil(quantile * len(z)) - 1] * 100) / 100
+    return out
+
+
+def test_thresholds_and_decisions_against_plain_ones(spark):
+    rng = np.random.default_rng(4)
+    scores = [(lang, int(n), float(np.exp(2 + k * 0.3 + rng.normal(0, math.sqrt(0.01 + 2 / n))))) for k, (lang, many) in enumerate([("en", 400), ("de", 200), (None, 60), ("xx", 5)]) for n in np.exp(rng.uniform(3, 8, many))]
+    df = spark.createDataFrame(scores, "lang string, n long, perplexity double")
+    got = {"every" if r.every else r.lang: (r.m, r.u, r.v, r.z) for r in quality.thresholds(df).collect()}
+    exp = plain_thresholds(scores, quality.QUANTILE)
+    assert set(got) == set(exp) == {"en", "de", None, "every"}
+    for k in exp:
+        assert got[k] == pytest.approx(exp[k], rel=1e-6, abs=1e-6)
+    assert quality.thresholds(df.filter("n = 0")).count() == 0
+
+
+def test_classify_decides_by_its_thresholds(spark, small):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = quality.classify(small, labels).collect()
+    trusted = {r.doc_id for r in labels.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").collect()}
+    held = {r[0] for r in small.filter(F.pmod(F.xxhash64("doc_id"), F.lit(quality.HELD_OUT)) == 0).select("doc_id").collect()}
+    fits = plain_thresholds([(r.lang, r.n, r.perplexity) for r in rows if r.doc_id in trusted & held and r.perplexity], quality.QUANTILE)
+    for r in rows:
+        m, u, v, z = fits.get(r.lang, fits["every"])
+        bar = math.exp(m + z * math.sqrt(u + v / max(r.n, 1)))
+        assert r.threshold == pytest.approx(bar, rel=1e-3) and r.keep == (r.perplexity is not None and r.perplexity <= r.threshold)
+
+
+def test_blocks_are_asked_for_one_after_the_other(spark, small, monkeypatch):
+    """Several blocks in a task give the same perplexities as one."""
+    docs = small.select("doc_id", "text", "lang")
+    model = quality.train(docs.filter("doc_id % 2 = 1"))
+    one = sorted(map(tuple, quality.perplexities(docs, *model).collect()))
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
+    assert sorted(map(tuple, quality.perplexities(docs, *model).collect())) == one
+
+
 def test_junk_goes_and_clean_text_stays(spark):
     d = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{d}/labels.parquet")
