@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setforge import file_queries
 from setforge.functions import paths, text
 from setforge.functions.rules import Rule, category
 from setforge.operators import admission, catalogue, profile
@@ -461,8 +462,8 @@ def run_stats(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in Q.items()}
+    return {name: f for name, (f, _) in (Q | file_queries.Q).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in Q.items()}
+    return {name: sql for name, (_, sql) in (Q | file_queries.Q).items() if sql}
