@@ -49,6 +49,8 @@ ENOUGH = 30
 #: Labels up to this number are broadcast (16 MB of ids); more are joined by shuffling both sides.
 BROADCAST_LABELS = 2_000_000
 BEGIN = 2
+#: Characters that a task looks at in one piece.
+PORTION = 1 << 20
 _ONE = np.uint64(16)
 
 
@@ -60,9 +62,10 @@ def _codes(text: str) -> np.ndarray:
     return np.r_[np.full(ORDER - 1, BEGIN, np.uint64), c.astype(np.uint64)]
 
 
-def grams(text: str) -> np.ndarray:
-    """The ORDER-gram that ends at each character, packed."""
-    c = _codes(text)
+def grams(text: str, start: int = 0, end: int | None = None) -> np.ndarray:
+    """The ORDER-gram that ends at each character (from ``start`` to before ``end``), packed."""
+    first = max(0, start - ORDER + 1)
+    c = _codes(text[first:end])[start - first :]
     n = len(c) - ORDER + 1
     out = c[:n].copy()
     for k in range(1, ORDER):
@@ -70,6 +73,23 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
+def portions(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All grams of the texts in order, about PORTION at a time, long texts in pieces: (grams, the text that each is of)."""
+    held: list[np.ndarray] = []
+    rows: list[int] = []
+    size = 0
+    for k, text in enumerate(texts):
+        for start in range(0, len(text or ""), PORTION):
+            held.append(grams(text, start, start + PORTION))
+            rows.append(k)
+            size += len(held[-1])
+            if size >= PORTION:
+                yield np.concatenate(held), np.repeat(rows, [len(g) for g in held])
+                held, rows, size = [], [], 0
+    if held:
+        yield np.concatenate(held), np.repeat(rows, [len(g) for g in held])
+
+
 def _suffix(g: np.ndarray, n: int) -> np.ndarray:
     """The last n characters of grams."""
     return g & np.uint64((1 << (16 * n)) - 1)
@@ -93,14 +113,12 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
-            texts = [t for t in whole.column(0).slice(at, 256).to_pylist() if t]
-            if not texts:
-                continue
-            u, c = np.unique(np.concatenate([grams(t) for t in texts]), return_counts=True)
-            held = held.add(pd.Series(c, index=u), fill_value=0).astype("int64") if len(held) else pd.Series(c, index=u)
-            if len(held) > 1_000_000:
-                yield out(held)
-                held = held.iloc[:0]
+            for g, _ in portions(whole.column(0).slice(at, 256).to_pylist()):
+                u, c = np.unique(g, return_counts=True)
+                held = held.add(pd.Series(c, index=u), fill_value=0).astype("int64") if len(held) else pd.Series(c, index=u)
+                if len(held) > 1_000_000:
+                    yield out(held)
+                    held = held.iloc[:0]
     if len(held):
         yield out(held)
 
@@ -170,8 +188,8 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if blocks[lo] != block:
                     yield from out()
                     block, found = int(blocks[lo]), np.empty(0, np.uint64)
-                if some := [grams(t) for t in texts[lo:hi] if t]:
-                    found = pd.unique(np.concatenate([found, *[pd.unique(g) for g in some]]))
+                for g, _ in portions(texts[lo:hi]):
+                    found = pd.unique(np.concatenate([found, pd.unique(g)]))
     yield from out()
 
 
@@ -191,18 +209,16 @@ def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]]
         order = np.argsort(keys)
         cols = [np.nan_to_num(model.column(x).to_numpy().astype(float))[order] for x in ("c", "s", "gamma")]
         keys = keys[order]
-        lengths, out = [], []
         column = texts.column("text")
-        for at in range(0, len(column), 64):
-            parts = [grams(t) if t else np.empty(0, np.uint64) for t in column.slice(at, 64).to_pylist()]
-            n = np.array([len(g) for g in parts])
-            codes, unique = pd.factorize(np.concatenate(parts))
-            logs = log_probabilities(unique, keys, *cols, discounts, chars) if len(unique) and len(keys) else np.zeros(len(unique))
-            ends = np.cumsum(n)
-            total = np.r_[0.0, np.cumsum(logs[codes])]
-            out.append(np.exp(-(total[ends] - total[ends - n]) / np.maximum(n, 1)))
-            lengths.append(n)
-        n, ppl = (np.concatenate(x) if x else np.empty(0) for x in (lengths, out))
+        n, total = np.zeros(len(column), np.int64), np.zeros(len(column))
+        for at in range(0, len(column), 256):
+            for g, rows in portions(column.slice(at, 256).to_pylist()):
+                codes, unique = pd.factorize(g)
+                logs = log_probabilities(unique, keys, *cols, discounts, chars)[codes] if len(keys) else np.zeros(len(g))
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                n[at + rows[starts]] += np.diff(np.r_[starts, len(rows)])
+                total[at + rows[starts]] += np.add.reduceat(logs, starts)
+        ppl = np.exp(-total / np.maximum(n, 1))
         return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n": pa.array(n, pa.int64()), "perplexity": pa.array(np.round(ppl, 4), pa.float64(), mask=n == 0)})
 
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, lang string, n long, perplexity double")

@@ -461,6 +461,8 @@ def test_blocks_are_asked_for_one_after_the_other(spark, small, monkeypatch):
     model = quality.train(docs.filter("doc_id % 2 = 1"))
     one = sorted(map(tuple, quality.perplexities(docs, *model).collect()))
     monkeypatch.setattr(quality, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(quality, "PORTION", 700)  # texts in pieces
+    assert all(np.array_equal(np.concatenate([g for g, _ in quality.portions([t])]), quality.grams(t)) for t in ("a", "ab" * 1000, "é🎉x" * 900))
     assert sorted(map(tuple, quality.perplexities(docs, *model).collect())) == one
 
 
