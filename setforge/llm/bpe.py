@@ -26,6 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# What this encoder expects of a vocabulary file besides its words and merges.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+EXPECTED = {"normalizer": NORMALIZER, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}, "decoder": None}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Most distinct words a task keeps the encodings of.
 CACHE_WORDS = 400_000
 
@@ -48,6 +55,10 @@ class WordBpe:
     def __init__(self, spec: str):
         d = json.loads(spec)
         model = d["model"]
+        wrong = [k for k, v in EXPECTED.items() if d.get(k) != v] + [k for k, v in MODEL.items() if model.get(k, v) != v]
+        wrong += [t["content"] for t in d.get("added_tokens", []) if any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+        if wrong:
+            raise ValueError(f"this encoder does not know how the vocabulary file has {', '.join(wrong)}")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         self.strings = {i: t for t, i in self.vocab.items()}

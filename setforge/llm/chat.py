@@ -17,7 +17,8 @@ Null ids take part in nothing and are dropped. An id that several calls bear cou
 the order (name, arguments, after), and has the problem ``repeated call`` if those rows differ; of several results the
 least content is taken, with the problem ``several results`` if they differ. An ``after`` that names no call is a
 problem ``unknown predecessor`` and the call begins a thread. Arguments that are no JSON object have the problem
-``arguments``. Results without a call are not part of the output. Empty tables give no rows.
+``arguments``. A field that a schema lists several times has the first of
+its types and is required if any row says so. Results without a call are not part of the output. Empty tables give no rows.
 
 Canonical JSON has sorted keys and no white space; absent parts (no result, unreadable arguments) are left out.
 """
@@ -29,7 +30,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from setforge.llm.common import drop_stored, stored
+from setforge.llm.common import stored
 
 #: Schemas up to this many rows are broadcast.
 BROADCAST_FIELDS = 10_000
@@ -69,22 +70,16 @@ def depths(calls: DataFrame) -> DataFrame:
         )
     )
     most = math.ceil(math.log2(max(2, state.count()))) + 1
-    for _ in range(most):
-        if state.filter("pointer is not null").isEmpty():
+    done, open_ = state.filter("pointer is null"), state.filter("pointer is not null")
+    for _ in range(most):  # only calls whose pointer has not reached a first call take part; the others are looked up
+        if open_.isEmpty():
             break
-        ahead = state.select(F.col("call_id").alias("pointer"), F.col("pointer").alias("next"), F.col("depth").alias("more"), F.col("thread").alias("first"))
-        new = state.join(ahead, "pointer", "left").select(
-            "call_id",
-            F.col("next").alias("pointer"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-            F.coalesce("first", "thread").alias("thread"),
-            "dangling",
-        )
-        new = stored(new)
-        drop_stored(state)
-        state = new
-    cyclic = F.col("pointer").isNotNull()
-    return state.select("call_id", F.when(~cyclic, F.col("thread")).alias("thread"), F.when(~cyclic, F.col("depth")).alias("depth"), "dangling")
+        known = done.union(open_)
+        ahead = known.select(F.col("call_id").alias("pointer"), F.col("pointer").alias("next"), F.col("depth").alias("more"), F.col("thread").alias("first"))
+        new = stored(open_.join(ahead, "pointer").select("call_id", F.col("next").alias("pointer"), (F.col("depth") + F.col("more")).alias("depth"), F.col("first").alias("thread"), "dangling"))
+        done, open_ = done.union(new.filter("pointer is null")), new.filter("pointer is not null")
+    cyclic = open_.select("call_id", F.lit(None).cast("string").alias("thread"), F.lit(None).cast("long").alias("depth"), "dangling")
+    return done.select("call_id", "thread", "depth", "dangling").union(cyclic)
 
 
 def _json_type(kind):
@@ -113,7 +108,7 @@ def problems(outlined: DataFrame, schemas: DataFrame) -> DataFrame:
 
     Given and expected fields meet in a full outer join on (call_id, field).
     """
-    fields = schemas.select("name", "field", "type", "required").dropna(subset=["name", "field"]).distinct()
+    fields = schemas.dropna(subset=["name", "field"]).groupBy("name", "field").agg(F.min("type").alias("type"), F.max("required").alias("required"))
     small = fields.count() <= BROADCAST_FIELDS
     deal = F.broadcast if small else (lambda df: df)
     names = fields.select(F.col("name").alias("schema_name")).distinct()
@@ -159,13 +154,24 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
 
 def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns: a system turn is a call of ``setup``, a user turn one of ``reply``, an
-    assistant turn the result of the turn before. A call follows the one two turns earlier, turn 1 the one before it."""
+    assistant turn the result of the turn before. A call follows the one two turns earlier, turn 1 the one before it.
+
+    The arguments are JSON as others write it, with white space and unsorted keys. By the length of the text some lack
+    a field, have one too many or one of another type, or are cut off, so that the checks have something to find.
+    """
     name = lambda turn: F.concat_ws(":", "conv_id", turn)
     rows = conversations.dropna(subset=["conv_id", "turn"])
     asked = rows.filter(F.col("role").isin("system", "user"))
     after = F.when(F.col("turn") > 1, name(F.col("turn") - 2)).when(F.col("turn") == 1, name(F.lit(0)))
-    arguments = F.to_json(F.struct(F.col("turn"), F.col("role"), F.coalesce("text", F.lit("")).alias("prompt")))
-    calls = asked.select(name("turn").alias("call_id"), after.alias("after"), F.when(F.col("role") == "user", "reply").otherwise("setup").alias("name"), arguments.alias("arguments"))
+    text = F.coalesce("text", F.lit(""))
+    quoted = F.to_json(F.struct(text.alias("prompt")))
+    kind = F.length(text) % 8
+    turn = F.when(kind == 4, F.concat(F.lit('"'), "turn", F.lit('"'))).otherwise(F.col("turn").cast("string"))
+    role = F.when(kind == 2, "").otherwise(F.concat(F.lit(',"role":  "'), "role", F.lit('" ')))
+    extra = F.when(kind == 3, ', "extra":[ null,{} ]').otherwise("")
+    whole = F.concat(F.lit('{ "turn" : '), turn, F.lit(" ,\n\t"), F.expr("substring(quoted, 2, length(quoted) - 2)"), role, extra, F.lit("}"))
+    arguments = F.when(kind == 5, F.lit('{ "turn" : ')).otherwise(whole)
+    calls = asked.withColumn("quoted", quoted).select(name("turn").alias("call_id"), after.alias("after"), F.when(F.col("role") == "user", "reply").otherwise("setup").alias("name"), arguments.alias("arguments"))
     results = rows.filter(F.col("role") == "assistant").select(name(F.col("turn") - 1).alias("call_id"), F.coalesce("text", F.lit("")).alias("content"))
     return calls, results
 
@@ -197,11 +203,17 @@ d as (
   select c.call_id, d.thread, d.depth + 1 from c join d on c.after = d.call_id
 )
 select c.call_id, d.thread, cast(2 * d.depth as bigint) as place, c.name, cast(coalesce(r.n_results, 0) as bigint) as n_results,
-  concat_ws(',', case when r.call_id is null then 'no result' end,
+  concat_ws(',', case length(c.text) % 8 when 2 then 'missing role' when 3 then 'unexpected extra' when 4 then 'type of turn' when 5 then 'arguments' end,
+            case when r.call_id is null then 'no result' end,
             case when c.after is not null and c.after not in (select call_id from c) then 'unknown predecessor' end) as problems,
-  cast(case when r.call_id is null
-    then json_object('arguments', json_object('prompt', c.text, 'role', c.role, 'turn', c.turn), 'call_id', c.call_id, 'name', c.name)
-    else json_object('arguments', json_object('prompt', c.text, 'role', c.role, 'turn', c.turn), 'call_id', c.call_id, 'name', c.name, 'result', r.result)
-  end as varchar) as canonical
+  '{' || concat_ws(',',
+    case length(c.text) % 8
+      when 2 then '"arguments":' || json_object('prompt', c.text, 'turn', c.turn)
+      when 3 then '"arguments":' || json_object('extra', json('[null,{}]'), 'prompt', c.text, 'role', c.role, 'turn', c.turn)
+      when 4 then '"arguments":' || json_object('prompt', c.text, 'role', c.role, 'turn', cast(c.turn as varchar))
+      when 5 then null
+      else '"arguments":' || json_object('prompt', c.text, 'role', c.role, 'turn', c.turn)
+    end,
+    '"call_id":' || to_json(c.call_id), '"name":' || to_json(c.name), '"result":' || to_json(r.result)) || '}' as canonical
 from c join d using (call_id) left join r on c.call_id = r.call_id
 """

@@ -2,47 +2,53 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setforge.scratch import passing_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; a temporary one in local mode where that is unset.
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores (small files can't be split) dealt out to all of them, for work on every row."""
+    cores = total_cores(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
-    On a cluster an unset folder is an error: what executors write to their own disks the others can't read.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="setforge-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+#: Tables stored since a call of :func:`settled` began, for each call that is under way.
+_under_way: list[list[DataFrame]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends there and every later use reads the files.
 
-    The files go when the application ends, or earlier by :func:`drop_stored`.
+    The files go when the application ends, or earlier by :func:`drop_stored` or :func:`settled`.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/setforge-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    path = passing_path(df.sparkSession)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._setforge_path = path
+    if _under_way:
+        _under_way[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` gives, stored; what it stored on the way is deleted."""
+    _under_way.append([])
+    try:
+        out = stored(make())
+    finally:
+        passing = _under_way.pop()
+    for df in passing:
+        if df is not out:
+            drop_stored(df)
     return out
 
 

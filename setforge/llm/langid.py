@@ -164,13 +164,13 @@ def predict(m: Model, texts: list[bytes], block: int = 2048) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Excerpts and labels of at most ``per_language`` rows a language, chosen by a hash of the text.
+    """Excerpts and labels of at most ``per_language`` different texts a language, chosen by a hash of the text.
 
-    A first pass counts the languages, a second keeps about twice what is needed by the hash alone, so that the
-    ordering sees few rows, however many one language has.
+    A first pass counts each language's different texts, as far as a sketch does; a second keeps about three times what
+    is needed by the hash alone, so that the ordering sees few rows, however many rows or copies one language has.
     """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    counts = {r[0]: max(1, r[1]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"))).collect()}  # a row a language
     if not counts:
         return [], []
     share = F.lit(0.0)

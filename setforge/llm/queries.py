@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from setforge.llm import bpe, chat, decontaminate, html, langid, mtree, quality, repeats, secrets, simhash
-from setforge.llm.common import table
+from setforge.llm.common import spread, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Where a public vocabulary lies: the installed package, or the folder in PUBLIC_TOKENIZERS."""
-    own = os.environ.get("PUBLIC_TOKENIZERS")
-    if not own and (spec := importlib.util.find_spec("public_tokenizers")):
-        own = os.path.dirname(spec.origin)
-    return os.path.join(own or "/opt/tokenizers", name)
+    """Where a public vocabulary lies: in the folder that PUBLIC_TOKENIZERS names, else in the installed package."""
+    if own := os.environ.get("PUBLIC_TOKENIZERS"):
+        return os.path.join(own, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,19 +25,19 @@ def op1_chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.report(table(spark, sf_dir, "documents"))
+    return repeats.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,19 +45,19 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.report(table(spark, sf_dir, "documents"))
+    return simhash.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.report(table(spark, sf_dir, "documents"))
+    return langid.report(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.report(table(spark, sf_dir, "pages"))
+    return html.report(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_vocabulary(tokenizer_path()))
+    return bpe.digests(spread(table(spark, sf_dir, "documents")), bpe.read_vocabulary(tokenizer_path()))
 
 
 OP6_SQL = """

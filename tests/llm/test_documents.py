@@ -342,6 +342,51 @@ def test_gradients_match_differences():
         assert (up - down) / 2e-2 == pytest.approx(g[i], rel=1e-2)
 
 
+def plain_language(m, text):
+    """Mean probabilities of a text's letter bytes, one byte and one unit at a time."""
+    h = m.recurrent.shape[1]
+    pooled, n = [0.0] * len(m.labels), 0
+    sigmoid2 = lambda v: (math.tanh(v) + 1) / 2
+    for at in range(0, len(text), langid.WINDOW):
+        window = list(text[at : at + langid.WINDOW]) + [0] * max(0, at + langid.WINDOW - len(text))
+        states = []
+        for k, order in enumerate((window, window[::-1])):
+            state, seen = [0.0] * h, []
+            for byte in order:
+                g = [float(v) for v in m.inputs[k, byte]]
+                a = [sum(state[i] * float(m.recurrent[k, i, j]) for i in range(h)) for j in range(3 * h)]
+                z = [sigmoid2(g[j] + a[j]) for j in range(h)]
+                r = [sigmoid2(g[h + j] + a[h + j]) for j in range(h)]
+                c = [math.tanh(g[2 * h + j] + r[j] * a[2 * h + j]) for j in range(h)]
+                state = [c[j] + z[j] * (state[j] - c[j]) for j in range(h)]
+                seen.append(state)
+            states.append(seen if k == 0 else seen[::-1])
+        for t, byte in enumerate(window):
+            if byte >= 128 or chr(byte).isalpha():
+                both = states[0][t] + states[1][t]
+                logits = [sum(both[i] * float(m.out[i, c]) for i in range(2 * h)) + float(m.bias[c]) for c in range(len(m.labels))]
+                top = max(logits)
+                e = [math.exp(v - top) for v in logits]
+                pooled = [p + v / sum(e) for p, v in zip(pooled, e)]
+                n += 1
+    return [p / max(n, 1) for p in pooled]
+
+
+def test_prediction_against_a_scalar_network():
+    """Several windows, a filled-up one, bytes beyond ASCII, texts without letters, and blocks of few windows."""
+    m = langid.fit(["the cat sat on the mat and that was that"] * 3 + ["der Hund läuft über die Straße nach Hause"] * 3, ["en"] * 3 + ["de"] * 3, hidden=5, steps=20)
+    texts = ["the dog", "Größe und Länge " * 20, "12 34 !?", "a" * langid.WINDOW, "x" * (langid.WINDOW + 1), "日本語 text"]
+    got = langid.predict(m, [t.encode() for t in texts], block=3)
+    for row, t in zip(got, texts):
+        assert row == pytest.approx(plain_language(m, t.encode()), abs=1e-4)
+
+
+def test_language_sample_takes_texts_once(spark):
+    rows = [("copy of one text", "en")] * 3000 + [(f"another text number {k} with words", "en") for k in range(400)] + [(f"ein Text {k}", "de") for k in range(20)]
+    parts, labels = langid.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert collections.Counter(labels) == {"en": langid.PER_LANGUAGE, "de": 20} and len(set(parts)) == len(parts)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.report(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
