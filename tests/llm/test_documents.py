@@ -131,17 +131,6 @@ def test_near_copies_against_all_pairs(spark, small, odd, none, monkeypatch, blo
         assert sorted(map(tuple, similar.near_copies(small).collect()), key=repr) == plain_near_copies(rows)
 
 
-def test_pipeline_drops_near_copies(spark):
-    import corpus_pipeline
-
-    rng = np.random.default_rng(9)
-    words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
-    edited = ["edited" if k in (50, 120, 190, 260) else w for k, w in enumerate(words)]  # shares 276 of 316 shingles
-    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(reversed(words))), (None, " ".join(words))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((r.doc_id or 0 for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())) == [0, 1, 3]
-
-
 # --- repeated passages -----------------------------------------------------------------------------------------------
 
 

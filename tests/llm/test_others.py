@@ -1,4 +1,4 @@
-"""Top-k search, HTML extraction, and the pipeline."""
+"""Top-k search and HTML extraction."""
 
 import math
 import random
@@ -7,7 +7,6 @@ import time
 import duckdb
 import numpy as np
 
-import corpus_pipeline
 from setforge.llm import html, mtree, queries
 
 
@@ -180,30 +179,3 @@ def test_html_random_nesting_never_fails():
     bits = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<b>", "</b>", "<br>", "text ", "&amp;", "<!-- c -->", "</x>", "<li>", "<td>", "<img src=a>", "<script>", "</script>"]
     for _ in range(300):
         html.extract("".join(rng.choice(bits) for _ in range(40)))
-
-
-def test_pipeline_small(spark, tmp_path):
-    """Every stage on its own input, against plain versions of its decisions."""
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs, d)
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns, name
-        out.write.parquet(str(tmp_path / name))
-        kept = spark.read.parquet(str(tmp_path / name))
-        assert 0 < kept.count() <= docs.count()
-        docs = kept
-    before = {r.doc_id: r.text for r in spark.read.parquet(str(tmp_path / "benchmark")).collect()}
-    after = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "secret_scan")).collect()}
-    assert set(before) == set(after)
-    changed = {i for i in after if after[i].text != before[i]}
-    assert changed and all("[SECRET]" in after[i].text and after[i].n_chars == len(after[i].text) for i in changed)
-    assert {r.doc_id for r in docs.collect()} == set(after)
-
-
-def test_pipeline_odd_rows(spark, odd, tmp_path):
-    odd.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 5 in got and not {1, 2, 3, 6, 9} & got  # without letters, or copies
