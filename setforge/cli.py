@@ -1,4 +1,4 @@
-"""Command line: build, cache import, cache scan, cache build, perf, flamegraph. Exit codes: 0 done, 2 strict and missing, 1 any error."""
+"""Command line: build, cache import, cache scan, cache build, fetch, perf, flamegraph. Exit codes: 0 done, 2 strict and missing, 1 any error."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from setforge import api
 from setforge.errors import SetforgeError
-from setforge.operators import profile
+from setforge.operators import fetch, profile
 from setforge.plans import planner
 from setforge.sources import profiles
 
 
+#: What a manifest says about the evidence that sources must have.
+POLICY = {"metadata": "the licence in the metadata is a public domain mark or CC0", "curated": "title, description or subject say so", "excluded": "names of commercial games"}
+
+
 def default_cache(given: str | None = None, env: dict | None = None) -> str:
     """The given path, else below XDG_CACHE_HOME, else below HOME, else in the working folder."""
     env = os.environ if env is None else env
@@ -31,6 +35,12 @@ def exit_code(code: int) -> int:
     return code if code in (0, 2) else 1
 
 
+def _count(given: str) -> int:
+    if not given.isdecimal():
+        raise argparse.ArgumentTypeError(f"{given!r} is no number of 0 or more")
+    return int(given)
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="setforge")
     p.add_argument("--cache", default=os.environ.get("SETFORGE_CACHE"))
@@ -40,7 +50,7 @@ def _parser() -> argparse.ArgumentParser:
         q.add_argument("dat")
         q.add_argument("source")
         q.add_argument("destination")
-        q.add_argument("-j", "--jobs", type=int, default=0, help="cores in local mode; 0 takes all")
+        q.add_argument("-j", "--jobs", type=_count, default=0, help="cores in local mode; 0 takes all")
         q.add_argument("--layout", choices=(planner.PARENT_BUNDLES, planner.PER_GAME), default=planner.PARENT_BUNDLES)
         q.add_argument("--compression", choices=("deflate", "store"), default="deflate")
         q.add_argument("--missing", choices=("allow", "fail"), default="allow")
@@ -51,8 +61,20 @@ def _parser() -> argparse.ArgumentParser:
     cache.add_parser("import").add_argument("dat")
     scan = cache.add_parser("scan")
     scan.add_argument("source")
-    scan.add_argument("-j", "--jobs", type=int, default=0)
+    scan.add_argument("-j", "--jobs", type=_count, default=0)
     plan(cache.add_parser("build"))
+    get = sub.add_parser("fetch", help="a catalogue of downloaded public sources, and its bundles")
+    get.add_argument("listed", help="file of sources, with pipes")
+    get.add_argument("metadata", help="folder of their metadata documents")
+    get.add_argument("downloads", help="folder of their files")
+    get.add_argument("--work-dir", default="public-sources")
+    get.add_argument("--max-roms", type=_count, default=fetch.MAX_ROMS, help="0: all")
+    get.add_argument("--catalog-tier", choices=("metadata", "curated"), default="curated")
+    get.add_argument("-j", "--jobs", type=_count, default=0)
+    get.add_argument("--layout", choices=(planner.PARENT_BUNDLES, planner.PER_GAME), default=planner.PARENT_BUNDLES)
+    get.add_argument("--dry-run", action="store_true")
+    get.add_argument("--skip-run", action="store_true", help="make the catalogue only")
+    get.add_argument("--refresh", action="store_true", help="prepare the sources anew")
     sub.add_parser("perf").add_argument("path")
     flame = sub.add_parser("flamegraph")
     flame.add_argument("path")
@@ -116,6 +138,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.command == "flamegraph":
             _show(args.report or "top", flame_report(profiles.read_frames(spark, args.path), args))
             return 0
+        if args.command == "fetch":
+            n = fetch.gather(spark, args.listed, args.metadata, args.downloads, args.work_dir, POLICY, args.catalog_tier, args.max_roms, args.refresh)
+            print(f"{n} games in {os.path.join(args.work_dir, 'catalogue.dat')}")
+            if args.skip_run:
+                return 0
+            store = api.open_store(spark, os.path.join(args.work_dir, "store"))
+            where = [os.path.join(args.work_dir, x) for x in ("catalogue.dat", "sources", "out")]
+            report = api.run(store, *where, layout=args.layout, strict=True, dry_run=args.dry_run)
+            print(f"matched {report.matched}, missing {report.missing}, bundles {report.bundles}, written {report.written}")
+            return exit_code(report.exit_code)
         store = api.open_store(spark, default_cache(args.cache))
         if args.command == "cache" and args.step == "import":
             print(api.import_dat(store, args.dat))

@@ -12,24 +12,47 @@ from pyspark.sql import functions as F
 from setforge.errors import ArchiveError, PlanError
 from setforge.functions import paths, text
 from setforge.operators import admission, catalogue, reports
-from setforge.sources.filetree import canonical, read_tree
+from setforge.sources import catalog
+from setforge.sources.filetree import canonical, digests, read_tree
 
 #: Longest game name, and how many games a catalogue has unless told otherwise (0: all).
 NAME_LENGTH, MAX_ROMS = 80, 128
+#: Where the files of a source lie: below it, identifier and file name. A fixed value.
+ADDRESS = "https://archive.org/download"
 
 
-def prepare_source(kind: str, downloaded: str, root: str) -> str:
-    """Make a tree of a downloaded file: an archive is unpacked, another file copied. Anything else is an error."""
+#: A hidden name, so that no scan sees it: the source was prepared wholly.
+_DONE = ".prepared"
+
+
+def _tool(*command: str) -> None:
+    if not shutil.which(command[0]):
+        raise PlanError(f"{command[0]} is not installed")
+    done = subprocess.run(command, capture_output=True, text=True)
+    if done.returncode:
+        raise ArchiveError(f"{' '.join(command)}: {done.stderr.strip()}")
+
+
+def prepare_source(kind: str, downloaded: str, root: str, refresh: bool = True) -> str:
+    """Make a tree of a downloaded file: an archive is unpacked, a git bundle checked out, another file copied.
+
+    Without ``refresh`` a tree that was prepared before stays. Any other kind is an error.
+    """
+    mark = os.path.join(root, _DONE)
+    if not refresh and os.path.exists(mark):
+        return root
     shutil.rmtree(root, ignore_errors=True)
     os.makedirs(root)
     if kind == "archive":
-        done = subprocess.run(["bsdtar", "-xf", downloaded, "-C", root], capture_output=True, text=True)
-        if done.returncode:
-            raise ArchiveError(f"{downloaded}: {done.stderr.strip()}")
+        _tool("bsdtar", "-xf", downloaded, "-C", root)
+    elif kind == "git_bundle":
+        _tool("git", "clone", "--quiet", downloaded, root)
     elif kind == "direct":
         shutil.copy(downloaded, root)
     else:
         raise PlanError(f"cannot prepare a source of kind {kind}")
+    with open(mark, "w", encoding="utf-8"):
+        pass
     return root
 
 
@@ -85,3 +108,31 @@ def write_catalogue(spark: SparkSession, sources: list[dict], work_dir: str, hea
         return n
     finally:
         games.unpersist()
+
+
+def gather(spark: SparkSession, listed: str, metadata: str, downloads: str, work_dir: str, policy: dict, tier: str = "curated", most: int = MAX_ROMS, refresh: bool = False) -> int:
+    """Catalogue and manifest (in ``work_dir``) of the listed sources of a tier; the number of games.
+
+    listed: the file of sources; metadata: a folder of their JSON documents; downloads: a folder with the files, named
+    identifier__stem.ending in safe characters. Nothing is downloaded: a file that lacks is an error with its address,
+    one whose SHA-1 is not the listed one is removed and an error. Trees are prepared below ``work_dir``/sources.
+    """
+    rows = catalog.read_catalog(spark, f"file://{canonical(listed)}").withColumn("place", F.monotonically_increasing_id())
+    known = catalog.read_metadata(spark, f"file://{canonical(metadata)}")
+    stem, ending = text.safe_name(paths.stem(F.col("file_name"))), paths.extension(F.col("file_name"))
+    checked = admission.checked_sources(admission.selected_catalog(rows, tier), known)
+    checked = checked.withColumn("own", F.concat_ws("__", text.safe_name(F.col("identifier")), stem)).withColumn("ending", F.when(ending == "", "").otherwise(F.concat(F.lit("."), ending)))
+    checked = checked.withColumn("address", text.download_url(ADDRESS, F.col("identifier"), F.col("file_name")))
+    sources = []
+    for r in checked.orderBy("place").collect():  # the list of sources is short
+        file = os.path.join(downloads, r["own"] + r["ending"])
+        if not os.path.exists(file):
+            raise PlanError(f"{file} is not there; it comes from {r['address']}")
+        with open(file, "rb") as f:
+            sha1 = digests(f)[0].hex()
+        if r["expected_sha1"] and r["expected_sha1"].lower() != sha1:
+            os.remove(file)
+            raise PlanError(f"{file}: SHA-1 {sha1} instead of {r['expected_sha1']}")
+        root = prepare_source(r["kind"], file, os.path.join(work_dir, "sources", r["own"]), refresh)
+        sources.append({**{k: r[k] for k in ("identifier", "file_name", "kind", "tier", "evidence", "allow_extensionless", "exclude_disallowed")}, "downloaded_file": file, "downloaded_sha1": sha1, "prepared_root": root})
+    return write_catalogue(spark, sources, work_dir, {"name": "Public sources", "description": "Files of public sources"}, policy, most)

@@ -265,6 +265,53 @@ def test_catalogue_from_public_sources(spark, tmp_path):
     assert r.matched >= 4
 
 
+def test_fetch_command(spark, tmp_path, capsys):
+    """A direct file and a git bundle, in order; options that make no sense; files that lack or have another digest."""
+    import json
+
+    down, meta, work = tmp_path / "down", tmp_path / "meta", tmp_path / "work"
+    down.mkdir()
+    meta.mkdir()
+    (down / "item_one__pong_v1.nes").write_bytes(b"pong")
+    repo = tmp_path / "repo"
+    repo.mkdir()
+    (repo / "life.gb").write_bytes(b"life")
+    (repo / "notes.txt").write_bytes(b"no")
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e@example.com", *a], cwd=repo, check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    git("add", ".")
+    git("commit", "-q", "-m", "m")
+    git("bundle", "create", str(down / "two__life.bundle"), "HEAD", "main")
+    (tmp_path / "list").write_text("metadata|direct|item one|pong (v1).nes|0|0|says so\ncurated|git_bundle|two|life.bundle|0|1|README says so\n")
+    (meta / "item one.metadata.json").write_text(json.dumps({"metadata": {"licenseurl": "http://creativecommons.org/publicdomain/mark/1.0/"}, "files": [{"name": "pong (v1).nes", "sha1": hashlib.sha1(b"pong").hexdigest()}]}))
+    (meta / "two.metadata.json").write_text(json.dumps({"metadata": {"title": "homebrew"}, "files": [{"name": "life.bundle"}]}))
+    args = ["fetch", str(tmp_path / "list"), str(meta), str(down), "--work-dir", str(work)]
+    assert cli.main([*args, "--layout", "per-game"], spark) == 0
+    assert sorted(p.name for p in (work / "out").iterdir()) == ["item_one__pong_v1.zip", "life.zip"]
+    m = json.loads((work / "manifest.json").read_text())
+    assert [(s["identifier"], s["kind"]) for s in m["sources"]] == [("item one", "direct"), ("two", "git_bundle")] and len(m["roms"]) == 2
+    assert cli.main([*args, "--catalog-tier", "metadata", "--skip-run", "--max-roms", "1"], spark) == 0 and "1 games" in capsys.readouterr().out
+    for wrong in (["--max-roms", "-1"], ["--jobs", "x"], ["--layout", "flat"], ["--catalog-tier", "all"]):
+        with pytest.raises(SystemExit):
+            cli.main([*args, *wrong], spark)
+    (down / "item_one__pong_v1.nes").write_bytes(b"other")
+    assert cli.main(args, spark) == 1 and "SHA-1" in capsys.readouterr().err
+    assert cli.main(args, spark) == 1 and "https://archive.org/download/item%20one/pong%20%28v1%29.nes" in capsys.readouterr().err
+
+
+def test_tables_of_an_older_version_are_read(spark, tmp_path):
+    """Columns that came later are null."""
+    import json
+
+    spark.sql("select 1L as id, 'p' as path, 'n' as name, X'00' as sha1, false as in_archive").write.parquet(str(tmp_path / "rom_files-old"))
+    (tmp_path / "state-3.json").write_text(json.dumps({"version": 0, "number": 3, "tables": {"rom_files": "rom_files-old"}, "retired": []}))
+    r = api.open_store(spark, str(tmp_path)).table("rom_files").first()
+    assert (r.path, r.kind, r.entry_seq) == ("p", None, None)
+    (tmp_path / "state-4.json").write_text(json.dumps({"version": 99}))
+    with pytest.raises(CatalogueError):
+        api.open_store(spark, str(tmp_path))
+
+
 def test_stream_refreshes_the_store(spark, tree, tmp_path):
     from setforge import schemas
     from setforge.streaming.refresh import refresh
