@@ -117,6 +117,17 @@ def test_frames_and_diff(spark, tmp_path):
     assert tuple(profile.diff_totals(d).first()) == (5.0, -1.0, 5)
 
 
+@pytest.mark.parametrize("slices", [1, 7, 64])
+def test_edges_across_slices(spark, slices):
+    rows = [(k % 3 if k % 5 else 0, None if k < 2 else (k * k) % 97, k, f"f{k}" if k % 11 else None) for k in range(120)] + [(9, 5, 500, "alone")]
+    got = profile.sequence_edges(spark.createDataFrame(rows, "tid int, t int, seq int, f string"), "tid", ["t", "seq"], "f", slices)
+    exp = []
+    for tid in {r[0] for r in rows}:
+        f = [r[3] for r in sorted((r for r in rows if r[0] == tid), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))]
+        exp += [(a, b) for a, b in zip(f, f[1:]) if a is not None]
+    assert sorted(((r.caller, r.callee) for r in got.collect()), key=repr) == sorted(exp, key=repr)
+
+
 def test_catalogue_steps(spark):
     g = spark.createDataFrame([(1, "p", None, 1, None), (2, "c", "p", 1, None), (3, "c", "p", 2, None)], "id long, name string, clone_of string, data_file_id long, parent_id long")
     assert {r.id: r.parent_id for r in catalogue.parent_links(g).collect()} == {1: None, 2: 1, 3: None}
