@@ -9,8 +9,8 @@ The text-to-tag ratio of the lines is smoothed by a Gaussian, and lines above a
 the mean if that is less) form clusters. The clusters select the regions of content:
 
 * Where there is a ``main`` with text, only its lines are looked at, and the clusters are theirs.
-* Articles count that hold an ``h1``, or else are clusters for the most part, if the clusters' text is mostly theirs; a
-  heading of the page before them in ``main`` goes with them. Teasers (by their names) only count where there is no
+* Articles count that hold an ``h1`` (unless another ``h1`` stands over more), or else are clusters for the most part,
+  if the clusters' text is mostly theirs; a heading of the page before them in ``main`` goes with them. Teasers (by their names) only count where there is no
   other article and no other text has as much.
 * Otherwise the region is the deepest container with nearly all of the clusters' text. Of the containers beside it,
   and beside those around it, those go with it that are clusters for the most part, that hold the ``h1``, or that stand
@@ -300,8 +300,10 @@ class Page:
         weight, size = self.sums(self.chars * dense * own), self.sums(self.chars * own)
         with_h1 = {r for r in found if headed[r]}
         of = with_h1 or {r for r in found if 2 * weight[r] > size[r]} or {r for r in found if weight[r]}
-        most = 2 * sum(weight[r] for r in of) > weight[-1]
-        return self.inside(of) if of and (most or with_h1 and sum(headed[r] for r in with_h1) == headed[-1]) else None
+        theirs = sum(weight[r] for r in of)
+        inside = self.inside(of)
+        rivals = [weight[r] for r in set(self.region[self.heading & own & ~inside].tolist())]  # what other h1 stand over
+        return inside if of and (2 * theirs > weight[-1] or with_h1 and theirs >= max(rivals, default=0)) else None
 
     def around(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray:
         """The region that holds nearly all text of the clusters, and what goes with it beside it."""

@@ -117,6 +117,8 @@ def test_html_teasers_reviews_and_comments_are_not_the_article():
     review = f"<section class='{{}}'><p>{'A reader found it good and says so at length. ' * 20}</p></section>"
     assert x(f"<body><article><h1>Head</h1>{story}</article>{review.format('reader-reviews')}") == f"Head\n\n{told}"
     assert x(f"<body><article><h1>Head</h1>{story}</article>{review.format('x')}") == f"Head\n\n{told}"
+    assert x(f"<body><div><h1>Site</h1></div><article><h1>Head</h1>{story}</article>{review.format('x')}") == f"Head\n\n{told}"
+    assert x(f"<body><div><h1>Head</h1>{story * 9}</div><article><h1>Other</h1>{story}</article>").startswith("Head\n\n" + told)
     assert x("<article><p>It cost</p><p class='share-price'>12</p><p class='modal-verb'>must</p><div class='siteNav'>no</div><div class='ad-300x250'>no</div><div class='entry-header'>yes</div></article>") == "It cost\n\n12\n\nmust\n\nyes"
 
 
