@@ -38,7 +38,7 @@ from setforge.llm.common import drop_stored, stored
 
 K, EVERY, SCALE = 10, 100, 1024
 ROUTES, PAGE, QUERIES = 1024, 4096, 1024
-LEAF, FANOUT, SEED = 48, 10, 5
+LEAF, FANOUT, SEED = 128, 8, 5
 #: A page as one row. ids, v and apart (distance to the leaf's routing object) are the entries, leaf by leaf; the others the
 #: nodes, breadth first: entry that is the routing object, covering radius, distance to the parent's, first child or entry, how many.
 STORED_PAGE = "route int, page int, ids array<long>, v array<long>, apart array<double>, at array<int>, radius array<double>, up array<double>, first array<int>, many array<int>, leaf array<boolean>"
