@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from setforge.functions import paths
+from setforge.operators.ordinals import ordinals
 
 
 def join_roms(games: DataFrame, roms: DataFrame, data_file_id: int | None = None) -> DataFrame:
@@ -55,8 +55,8 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def numbered(rows: DataFrame, base: Column, order: list[str]) -> DataFrame:
-    """``rows`` with occurrence, the ordinal of a row among those of the same base."""
-    return rows.withColumn("base", base).withColumn("occurrence", F.row_number().over(W.partitionBy("base").orderBy(*order)))
+    """``rows`` with occurrence, the ordinal of a row among those of the same base; a base of very many rows is dealt to many tasks."""
+    return ordinals(rows.withColumn("base", base), ["base"], order, "occurrence")
 
 
 def unique_names(rows: DataFrame, base: Column, order: list[str], most: int = 80) -> DataFrame:
