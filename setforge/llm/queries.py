@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, chat, decontaminate, html, langid, mtree, quality, repeats, secrets, simhash
+from setforge.llm import bpe, chat, decontaminate, html, langid, mixing, mtree, quality, repeats, resampling, secrets, simhash
 from setforge.llm.common import spread, table
 
 
@@ -60,6 +60,14 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spread(table(spark, sf_dir, "documents")), bpe.read_vocabulary(tokenizer_path()))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(spread(table(spark, sf_dir, "documents")))
+
+
 OP6_SQL = """
 with v as (
   select row_number() over () as nr, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
@@ -106,8 +114,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_html_main_text": op9_html_main_text,
         "op10_bpe_encode": op10_bpe_encode,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_source_mixing": op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op4_secret_scan": secrets.SQL, "op6_top_k": OP6_SQL}
+    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op4_secret_scan": secrets.SQL, "op6_top_k": OP6_SQL, "op12_importance_resampling": resampling.SQL, "op13_source_mixing": mixing.SQL}
