@@ -70,3 +70,15 @@ def scanned(values: Column, op, back: bool = False) -> Column:
     steps = F.array(*[F.lit(1 << k) for k in range(31)])
     rounds = F.when(F.size(values) > 1, F.ceil(F.log2(F.size(values)))).otherwise(0).cast("int")
     return F.aggregate(F.slice(steps, F.lit(1), rounds), values, lambda a, step: F.transform(a, lambda x, i: F.coalesce(op(x, F.get(a, i + step if back else i - step)), x)))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string in DuckDB: the halves of its bytes, low ones first, through the polynomial's 16 remainders."""
+    table = []
+    for k in range(16):
+        for _ in range(4):
+            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    halves = f"list_filter(string_split(regexp_replace(hex({text}), '(.)(.)', '\\2,\\1,', 'g'), ','), lambda x: x <> '')"
+    step = f"lambda c, n: xor(c >> 4, {table}[((xor(c, n) & 15) + 1)::bigint])"
+    return f"xor(list_reduce(list_transform({halves}, lambda x: ('0x' || x)::bigint), {step}, 4294967295::bigint), 4294967295::bigint)"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from setforge.llm import bpe, chat, decontaminate, html, langid, mixing, mtree, quality, repeats, resampling, secrets, simhash
+from setforge.llm import bpe, chat, decontaminate, html, langid, mixing, mtree, quality, repeats, resampling, secrets, simhash, trie
 from setforge.llm.common import spread, table
 
 
@@ -60,6 +60,10 @@ def op10_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spread(table(spark, sf_dir, "documents")), bpe.read_vocabulary(tokenizer_path()))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -114,10 +118,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_html_main_text": op9_html_main_text,
         "op10_bpe_encode": op10_bpe_encode,
+        "op11_conversation_trie": op11_conversation_trie,
         "op12_importance_resampling": op12_importance_resampling,
         "op13_source_mixing": op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op4_secret_scan": secrets.SQL, "op6_top_k": OP6_SQL, "op12_importance_resampling": resampling.SQL, "op13_source_mixing": mixing.SQL}
+    return {"op1_chat_tool_calls": chat.SQL, "op3_repeated_passages": OP3_SQL, "op4_secret_scan": secrets.SQL, "op6_top_k": OP6_SQL, "op11_conversation_trie": trie.SQL, "op12_importance_resampling": resampling.SQL, "op13_source_mixing": mixing.SQL}

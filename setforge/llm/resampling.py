@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setforge.llm.common import stored
+from setforge.llm.common import crc32_sql, stored
 from setforge.operators.ordinals import running
 
 _LONGS = T.ArrayType(T.LongType())
@@ -270,19 +270,6 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
     return every.select(F.col("id").alias(id_col), "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _crc32_sql(text: str) -> str:
-    """CRC-32 of a string without NUL in DuckDB: the bytes' halves, low first, through the table of the polynomial's 16 remainders."""
-    table = []
-    for k in range(16):
-        for _ in range(4):
-            k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
-        table.append(k)
-    step = f"lambda c, n: xor(c >> 4, {table}[((xor(c, n) & 15) + 1)::bigint])"
-    halves = f"list_transform(string_split(regexp_replace(hex({text}), '(.)(.)', '\\2,\\1,', 'g'), ','), lambda x: x)"
-    numbers = f"list_transform(list_filter({halves}, lambda x: x <> ''), lambda x: ('0x' || x)::bigint)"
-    return f"xor(list_reduce({numbers}, {step}, 4294967295::bigint), 4294967295::bigint)"
-
-
 def _counted_sql(table: str, name: str) -> str:
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return f"""{name}w as (select *, {words} as w from {table}),
@@ -295,7 +282,7 @@ with dd as (select row_number() over () as nr, doc_id, text from documents),
 {_counted_sql("benchmark", "b")},
 fd as (select f, count(*) as n from df group by f),
 fb as (select f, count(*) as n from bf group by f),
-x as (select f, {_crc32_sql("f")} % {BUCKETS} as bucket from (select f from fd union select f from fb)),
+x as (select f, {crc32_sql("f")} % {BUCKETS} as bucket from (select f from fd union select f from fb)),
 s as (select bucket, sum(n) as n from fd join x using (f) group by bucket),
 t as (select bucket, sum(n) as n from fb join x using (f) group by bucket),
 g as (select bucket, cast(floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + {BUCKETS})::double
