@@ -14,7 +14,7 @@ A document's weight is the floored mean of its features' gains. Documents are dr
 of weight plus Gumbel noise from a hash of the id. Ranks are ordinals over ranges of scores, so no task holds all rows.
 
 Strings travel in packed columns, some thousands a row. A home holds the distinct ones of about ``HOME`` bytes of text;
-there are as many homes as the text needs. The longest text bounds a block beyond ``BLOCK`` bytes.
+there are as many homes as the text needs. A text of over ``BLOCK`` characters is a block of its own.
 
 A-Z is lowered, nothing else. Words are runs of letters a-z, digits and characters beyond U+007F. Null and empty texts,
 and texts without words, have no features and weight 0. Rows without an id are drawn as if it were the empty text and lose
@@ -47,16 +47,14 @@ _LONGS = T.ArrayType(T.LongType())
 BUCKETS, SEED = 10_000, 7
 #: Draws are this share of the documents with so many words, in percent.
 PERCENT, LEAST_WORDS = 25, 20
-#: Bytes of text of a block, and of those whose features share a home.
-BLOCK, HOME = 4_000_000, 16_000_000
+#: Characters of a block at most, unless it is one document, and its documents; bytes of text whose features share a home.
+BLOCK, DOCS, HOME = 4_000_000, 1_000_000, 16_000_000
 
 _words = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
 
-def features(text: str | None) -> tuple[list[bytes], int]:
-    """All features of a text, repeats included, and its number of words; a word is a feature, so are two with a space."""
-    words = _words((text or "").encode("utf-8", "replace").lower())  # of bytes: A-Z alone
-    return words + list(map(b" ".join, itertools.pairwise(words))), len(words)
+def words(text: str | None) -> list[bytes]:
+    return _words((text or "").encode("utf-8", "replace").lower())  # of bytes: A-Z alone
 
 
 def _packed(values: np.ndarray, kind: type) -> bytes:
@@ -78,35 +76,48 @@ def _dictionary() -> defaultdict[bytes, int]:
 
 
 class _Block:
-    """Counts of the features of some documents."""
+    """Counts of the features of some documents. A feature is a pair of word numbers from 1, the second one 0 for single words."""
 
     def __init__(self) -> None:
-        self.index, self.found, self.ids, self.words, self.size = _dictionary(), [], [], [], 0
+        self.index, self.found, self.ids, self.size = _dictionary(), [], [], 0
 
     def add(self, doc_id: object, text: str | None) -> None:
-        held, words = features(text)
-        self.found.append(np.fromiter(map(self.index.__getitem__, held), np.uint64, len(held)))
+        held = words(text)
+        self.found.append(np.fromiter(map(self.index.__getitem__, held), np.uint64, len(held)) + np.uint64(1))
         self.ids.append(doc_id)
-        self.words.append(words)
         self.size += len(text or "")
 
     def by_home(self, homes: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
         """(home, strings, number of documents of each string, those documents, counts)."""
         if not self.index:
             return
-        of = np.repeat(np.arange(len(self.found), dtype=np.uint64), [len(x) for x in self.found])
-        pairs, n = np.unique(np.concatenate(self.found) << np.uint64(32) | of, return_counts=True)
-        feature, doc = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        strings = list(self.index)
-        home = np.fromiter((xxhash.xxh32_intdigest(s) for s in strings), np.uint32, len(strings)) % homes
-        docs_of = np.bincount(feature)
-        order, posted = np.argsort(home, kind="stable"), np.argsort(home[feature], kind="stable")
-        ends, posted_ends = (np.cumsum(np.bincount(x, minlength=homes)) for x in (home, home[feature]))
+        # one number for (first word, second word, document); BLOCK, DOCS and long documents alone keep it below 2^64
+        doc_bits, bits = np.uint64(len(self.found).bit_length()), np.uint64((len(self.index) + 1).bit_length())
+        first, of = np.concatenate(self.found), np.repeat(np.arange(len(self.found), dtype=np.uint64), [len(x) for x in self.found])
+        second = np.append(first[1:], np.uint64(0))
+        two = np.append(of[1:] == of[:-1], False)
+        single = first << bits + doc_bits | of
+        found = np.sort(np.concatenate([single, (single | second << doc_bits)[two]]))
+        starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        pairs, n = found[starts], np.diff(np.append(starts, len(found)))
+        doc, feature = pairs & ((np.uint64(1) << doc_bits) - np.uint64(1)), pairs >> doc_bits
+        begins = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
+        docs_of = np.diff(np.append(begins, len(pairs)))
+        a, b = (feature[begins] >> bits).astype(np.int64), (feature[begins] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        hashes = np.fromiter(map(xxhash.xxh32_intdigest, self.index), np.uint64, len(self.index))
+        hashes = np.append(np.uint64(0), hashes)  # a feature's home follows from its words'
+        home = ((hashes[a] * np.uint64(0x9E3779B97F4A7C15) + hashes[b] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)) % np.uint64(homes)).astype(np.int64)
+        order = np.lexsort((doc[begins], home))  # by home, then by first document, so that numbers compress well
+        # a string is two pieces: the first word with a space and the second, or nothing and the one word
+        pieces = [b"", *(w + b" " for w in self.index), *(w + b"\n" for w in self.index)]
+        before, after = np.where(b > 0, a, 0), np.where(b > 0, b, a) + len(self.index)
+        ends = np.cumsum(np.bincount(home, minlength=homes))
         for h in np.unique(home).tolist():
             own = order[ends[h - 1] if h else 0 : ends[h]]
-            at = posted[posted_ends[h - 1] if h else 0 : posted_ends[h]]
-            held = b"\n".join(itemgetter(*own.tolist())(strings)) if len(own) > 1 else strings[own[0]]
-            yield h, zstandard.compress(held, 3), _packed(docs_of[own], np.uint32), _packed(doc[at], np.uint32), _packed(n[at], np.uint32)
+            runs = docs_of[own]
+            at = np.repeat(begins[own] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            held = b"".join(itemgetter(*np.stack([before[own], after[own]], axis=1).ravel().tolist())(pieces))
+            yield h, zstandard.compress(held, 3), _packed(runs, np.uint32), _packed(doc[at], np.uint32), _packed(n[at], np.uint32)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
@@ -152,16 +163,17 @@ def counted(docs: DataFrame) -> DataFrame:
                 for at in range(0, batch.num_rows, 256):
                     some = batch.slice(at, 256)
                     for doc_id, text in zip(*(c.to_pylist() for c in some.columns)):
-                        b.add(doc_id, text)
-                        if b.size >= BLOCK:
+                        if b.ids and (b.size + len(text or "") > BLOCK or len(b.ids) == DOCS):
                             yield b
                             b = _Block()
+                        b.add(doc_id, text)
             if b.ids:
                 yield b
 
         def rows():
             for k, b in enumerate(blocks(), first):
-                yield k % homes, k, b.ids, b.words, [len(x) for x in b.found], None, None, None, None
+                n = [len(x) for x in b.found]
+                yield k % homes, k, b.ids, n, [max(2 * x - 1, 0) for x in n], None, None, None, None
                 for home, *columns in b.by_home(homes):
                     yield home, k, None, None, None, *columns
 
@@ -171,16 +183,16 @@ def counted(docs: DataFrame) -> DataFrame:
         def rows():
             index, bucket_of, n_of = _dictionary(), np.zeros(1024, np.uint16), np.zeros(1024, np.int64)
             for batch in batches:
-                for home, block, ids, words, n_features, strings, runs, docs, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                for _, block, ids, n_words, n_features, strings, runs, docs, ns in zip(*(c.to_pylist() for c in batch.columns)):
                     if strings is None:
-                        yield block, ids, words, n_features, None, None, None, None, None
+                        yield block, ids, n_words, n_features, None, None, None, None, None
                         continue
-                    held, known = zstandard.decompress(strings).split(b"\n"), len(index)
+                    held, known = zstandard.decompress(strings).split(b"\n")[:-1], len(index)
                     at = np.fromiter(map(index.__getitem__, held), np.int64, len(held))
                     if len(index) > len(n_of):
                         bucket_of, n_of = (np.concatenate([x, np.zeros(len(index), x.dtype)]) for x in (bucket_of, n_of))
-                    fresh = [zlib.crc32(s) % BUCKETS for s, k in zip(held, at.tolist()) if k >= known]
-                    bucket_of[known : len(index)] = fresh
+                    fresh = [zlib.crc32(held[k]) for k in np.flatnonzero(at >= known).tolist()]  # numbered in this order
+                    bucket_of[known : len(index)] = np.array(fresh, np.int64) % BUCKETS
                     each = _unpacked(runs, np.uint32).astype(np.int64)
                     n_of[at] += np.add.reduceat(_unpacked(ns, np.uint32).astype(np.int64), np.cumsum(each) - each)
                     yield block, None, None, None, _packed(bucket_of[at], np.uint16), runs, docs, ns, None
@@ -227,8 +239,7 @@ def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
                         continue
                     g = np.repeat(gain[_unpacked(buckets, np.uint16)], _unpacked(runs, np.uint32)) * _unpacked(ns, np.uint32).astype(np.int64)
                     of, at = np.unique(_unpacked(docs, np.uint32), return_inverse=True)
-                    sums = np.zeros(len(of), np.int64)
-                    np.add.at(sums, at, g)
+                    sums = np.bincount(at, g).astype(np.int64)  # exact up to 2^53
                     yield block, None, None, None, _packed(of, np.uint32), _packed(sums, np.int64)
 
         first = next(batches, None)
