@@ -37,7 +37,7 @@ def import_dat(store: Store, path: str) -> int:
     """The id under which the catalogue of a file is stored."""
     where = canonical(path)
     try:
-        ids = store.import_catalogue(dat.flatten(dat.read_dat(store.spark, f"file://{where}")))
+        ids = store.import_catalogue(dat.read_catalogues(store.spark, f"file://{where}"))
     except Exception as e:
         raise CatalogueError(f"{path}: {str(e).splitlines()[0]}") from e
     return ids[-1]

@@ -132,7 +132,7 @@ def written_dat(spark: SparkSession, sf: str) -> str:
   sha1, md5, '00000000' as crc, cast(row_number() over (order by doc_id) - 1 as integer) as game_seq from g""")
 def catalogue_round_trip(spark, sf):
     """A catalogue written as XML and read: headers, games, roms, their order, and digests from hex."""
-    found = dat.flatten(dat.read_dat(spark, f"file://{written_dat(spark, sf)}"))
+    found = dat.read_catalogues(spark, f"file://{written_dat(spark, sf)}")
     g = found.games.select("file_name", "game_seq", F.col("name").alias("game_name"), "source_file", "manufacturer")
     r = found.roms.select("file_name", "game_seq", F.col("name").alias("rom_name"), "size", *[F.lower(F.hex(c)).alias(c) for c in ("sha1", "md5", "crc")])
     h = found.header.select("file_name", F.col("name").alias("header"), "description")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import logging
-import os
-from collections.abc import Iterator
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from setforge.functions.text import xml_escape_attribute, xml_escape_text
+from setforge.operators.joined import Rows, write_joined
 
 log = logging.getLogger("setforge")
 
@@ -26,41 +26,18 @@ def game_xml() -> Column:
     )
 
 
-def _lines(df: DataFrame, column: str) -> Iterator[str]:
-    """A text column in order, one partition at a time on the driver: for single files, which one writer makes anyway."""
-    for r in df.toLocalIterator():
-        yield r[column]
-
-
 def write_dat(games: DataFrame, order: list[str], path: str, header: dict[str, str]) -> int:
-    """Write one catalogue file, its games in order; the number of games."""
-    from xml.sax.saxutils import escape
-
-    part, n = f"{path}.part", 0
-    with open(part, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0"?>\n<datafile>\n  <header>\n')
-        f.writelines(f"    <{k}>{escape(v)}</{k}>\n" for k, v in header.items())
-        f.write("  </header>\n")
-        for line in _lines(games.orderBy(*order).select(game_xml().alias("xml")), "xml"):
-            f.write(line + "\n")
-            n += 1
-        f.write("</datafile>\n")
-    os.replace(part, path)
-    return n
+    """Write one catalogue file, its games in order, by many tasks; the number of games."""
+    head = "".join(f"    <{k}>{escape(v)}</{k}>\n" for k, v in header.items())
+    games = Rows(games, game_xml(), order)
+    return write_joined(games.df.sparkSession, path, [f'<?xml version="1.0"?>\n<datafile>\n  <header>\n{head}  </header>\n', games, "\n</datafile>\n"])
 
 
 def write_manifest(policy: dict, sources: DataFrame, roms: DataFrame, order: list[str], path: str) -> None:
-    """Write policy, sources and roms as one JSON document; every row is serialised by Spark."""
-    part = f"{path}.part"
-    row = lambda df: df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-    with open(part, "w", encoding="utf-8") as f:
-        f.write('{"policy": ' + json.dumps(policy) + ', "sources": [\n')
-        f.write(",\n".join(_lines(row(sources), "j")))
-        f.write('\n], "roms": [\n')
-        for k, line in enumerate(_lines(row(roms.orderBy(*order)), "j")):
-            f.write(("" if not k else ",\n") + line)
-        f.write("\n]}\n")
-    os.replace(part, path)
+    """Write policy, sources and roms as one JSON document, by many tasks; every row is serialised by Spark."""
+    rows = lambda df, by: Rows(df, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), by, ",\n")
+    head = '{"policy": ' + json.dumps(policy) + ', "sources": [\n'
+    write_joined(roms.sparkSession, path, [head, rows(sources, []), '\n], "roms": [\n', rows(roms, order), "\n]}\n"])
 
 
 def benchmark_report(stats: Row, settings: dict[str, object]) -> str:

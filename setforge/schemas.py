@@ -36,15 +36,16 @@ METADATA = T.StructType(
 )
 #: The catalogue document; attributes carry a leading underscore.
 _ROM = _of(_name=_S, _size=_I, _md5=_S, _sha1=_S, _crc=_S, _merge=_S, _status=_S, _serial=_S, _date=_S)
-_GAME = T.StructType(
+GAME = T.StructType(
     [T.StructField(f, _S) for f in ("_name", "_sourcefile", "_isbios", "_cloneof", "_romof", "_sampleof", "_board", "_rebuildto", "year", "manufacturer")]
     + [T.StructField("rom", T.ArrayType(_ROM))]
 )
-DATAFILE = T.StructType(
+#: The document without its games.
+HEAD = T.StructType(
     [
         T.StructField("_build", _S),
         T.StructField("_debug", _S),
         T.StructField("header", _of(name=_S, description=_S, version=_S, author=_S, homepage=_S, url=_S)),
-        T.StructField("game", T.ArrayType(_GAME)),
     ]
 )
+DATAFILE = T.StructType([*HEAD, T.StructField("game", T.ArrayType(GAME))])

@@ -1,4 +1,9 @@
-"""Catalogues in XML: one ``datafile`` a file, games with their roms, digests in hex."""
+"""Catalogues in XML: one ``datafile`` a file, games with their roms, digests in hex.
+
+:func:`read_catalogues` reads a file in parts, one record for each game, by as many tasks as the file has ranges. It cuts
+at ``<game``, which must therefore not stand in a comment or a CDATA section. :func:`read_dat` has whole documents, and
+:func:`parse_dat` those in a column.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 
 from setforge import schemas
 from setforge.functions.text import from_hex
+from setforge.sources import parts
 
 
 @dataclass
@@ -33,6 +39,32 @@ def read_dat_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "datafile").option("attributePrefix", "_").option("mode", "FAILFAST").schema(schemas.DATAFILE).load(path)
 
 
+END = r"</datafile\s*>\s*(<!--[\s\S]*?-->\s*)*$"
+XML = {"mode": "FAILFAST", "attributePrefix": "_"}
+
+
+def read_catalogues(spark: SparkSession, path: str) -> Catalogue:
+    """The catalogues at a path, each read by many tasks. XML that can't be read, or that ends early, is an error."""
+    ended = lambda text: text.rlike(END)
+    body = lambda text: F.regexp_replace(text, END, "")
+    is_game = lambda text: text.rlike(r"^[\s/>]") & ~text.rlike(r"<datafile[\s>]")
+
+    def game(text: Column) -> Column:
+        return F.when(is_game(text), F.from_xml(F.concat(F.lit("<game"), body(text)), schemas.GAME, XML))
+
+    def head(text: Column) -> Column:
+        whole = F.concat(F.regexp_replace(body(text), "^\ufeff", ""), F.lit("</datafile>"))
+        wrong = F.raise_error(F.lit("catalogue: neither a game nor the beginning of a datafile")).cast(schemas.HEAD.simpleString())
+        return F.when(is_game(text), F.lit(None)).when(text.rlike(r"<datafile[\s>]"), F.from_xml(whole, schemas.HEAD, XML)).otherwise(wrong)
+
+    found = parts.records(spark, path, "<game", ended=ended, game=game, head=head)
+    parts.require_ends(found, "no whole datafile")
+    heads = found.filter("head is not null").select("file_name", F.col("head").alias("datafile"))
+    headers = _headers(heads.join(parts.sha1_of(heads.repartition("file_name")), "file_name"))
+    games = parts.numbered(found).filter("game is not null").select("file_name", (F.col("nr") - 1).cast("int").alias("game_seq"), F.col("game").alias("g"))
+    return Catalogue(headers, *_of_games(games))
+
+
 def parse_dat(text: Column) -> Column:
     """A catalogue in a string column as a struct."""
     return F.from_xml(text, schemas.DATAFILE, {"mode": "FAILFAST", "attributePrefix": "_"})
@@ -42,15 +74,23 @@ def _required(c: Column, what: str) -> Column:
     return F.when(c.isNotNull(), c).otherwise(F.raise_error(F.lit(f"catalogue: {what} is missing")).cast("string"))
 
 
-def flatten(dats: DataFrame) -> Catalogue:
-    """Headers, games and roms; absent text is empty, only clone_of stays null. Required values that lack are errors."""
+def _headers(dats: DataFrame) -> DataFrame:
     d = F.col("datafile")
-    text = lambda c: F.coalesce(c, F.lit(""))
-    header = dats.select(
+    return dats.select(
         d["_build"].alias("build"), d["_debug"].alias("debug"), "file_name", _required(d["header"]["name"], "header name").alias("name"),
         *[d["header"][c].alias(c) for c in ("description", "version", "author", "homepage", "url")], "sha1",
     )
-    games = dats.select("file_name", F.posexplode_outer(d["game"]).alias("game_seq", "g")).filter(F.col("g").isNotNull())
+
+
+def flatten(dats: DataFrame) -> Catalogue:
+    """Headers, games and roms of whole documents."""
+    games = dats.select("file_name", F.posexplode_outer(F.col("datafile")["game"]).alias("game_seq", "g")).filter(F.col("g").isNotNull())
+    return Catalogue(_headers(dats), *_of_games(games))
+
+
+def _of_games(games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Games and roms of (file_name, game_seq, g); absent text is empty, only clone_of stays null. Required values that lack are errors."""
+    text = lambda c: F.coalesce(c, F.lit(""))
     g = F.col("g")
     flat = games.select(
         "file_name", "game_seq", _required(g["_name"], "game name").alias("name"), text(g["_isbios"]).alias("is_bios"), g["_cloneof"].alias("clone_of"),
@@ -65,4 +105,4 @@ def flatten(dats: DataFrame) -> Catalogue:
         *[from_hex(r[f"_{c}"], f"rom {c}").alias(c) for c in ("md5", "sha1", "crc")],
         *[text(r[f"_{c}"]).alias(c) for c in ("merge", "status", "serial", "date")],
     )
-    return Catalogue(header, flat, rows)
+    return flat, rows
