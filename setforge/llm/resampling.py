@@ -48,7 +48,7 @@ BUCKETS, SEED = 10_000, 7
 #: Draws are this share of the documents with so many words, in percent.
 PERCENT, LEAST_WORDS = 25, 20
 #: Characters of a block at most, unless it is one document, and its documents; bytes of text whose features share a home.
-BLOCK, DOCS, HOME = 4_000_000, 1_000_000, 16_000_000
+BLOCK, DOCS, HOME = 2_000_000, 1_000_000, 8_000_000
 
 _words = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
@@ -98,9 +98,13 @@ class _Block:
         two = np.append(of[1:] == of[:-1], False)
         single = first << bits + doc_bits | of
         found = np.sort(np.concatenate([single, (single | second << doc_bits)[two]]))
+        del first, second, two, single, of
+        self.found.clear()
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         pairs, n = found[starts], np.diff(np.append(starts, len(found)))
         doc, feature = pairs & ((np.uint64(1) << doc_bits) - np.uint64(1)), pairs >> doc_bits
+        doc = doc.astype(np.uint32)
+        del found, starts
         begins = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
         docs_of = np.diff(np.append(begins, len(pairs)))
         a, b = (feature[begins] >> bits).astype(np.int64), (feature[begins] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -172,7 +176,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
         def rows():
             for k, b in enumerate(blocks(), first):
-                n = [len(x) for x in b.found]
+                n = [len(x) for x in b.found]  # by_home() clears them
                 yield k % homes, k, b.ids, n, [max(2 * x - 1, 0) for x in n], None, None, None, None
                 for home, *columns in b.by_home(homes):
                     yield home, k, None, None, None, *columns
