@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setforge.functions import paths
-from setforge.operators.ordinals import ordinals
+from setforge.operators.ordinals import MOST, ordinals
 
 
 def join_roms(games: DataFrame, roms: DataFrame, data_file_id: int | None = None) -> DataFrame:
@@ -54,16 +54,16 @@ def repeated_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
-def numbered(rows: DataFrame, base: Column, order: list[str]) -> DataFrame:
-    """``rows`` with occurrence, the ordinal of a row among those of the same base; a base of very many rows is dealt to many tasks."""
-    return ordinals(rows.withColumn("base", base), ["base"], order, "occurrence")
+def numbered(rows: DataFrame, base: Column, order: list[str], hot: int = MOST) -> DataFrame:
+    """``rows`` with occurrence, the ordinal of a row among those of the same base; bases of over ``hot`` rows are dealt out."""
+    return ordinals(rows.withColumn("base", base), ["base"], order, "occurrence", hot)
 
 
-def unique_names(rows: DataFrame, base: Column, order: list[str], most: int = 80) -> DataFrame:
+def unique_names(rows: DataFrame, base: Column, order: list[str], most: int = 80, hot: int = MOST) -> DataFrame:
     """``rows`` with unique_name: bases cut to ``most`` characters, ``rom`` where empty; of those that repeat, the second and
     later ones are numbered ``_2``, ``_3``, ..., cut so that the whole name keeps to ``most``."""
     cut = F.substring(base, 1, most)
-    out = numbered(rows, F.when(F.coalesce(cut, F.lit("")) == "", "rom").otherwise(cut), order)
+    out = numbered(rows, F.when(F.coalesce(cut, F.lit("")) == "", "rom").otherwise(cut), order, hot)
     suffix = F.concat(F.lit("_"), F.col("occurrence"))
     name = F.concat(F.left("base", F.lit(most) - F.length(suffix)), suffix)
     return out.withColumn("unique_name", F.when(F.col("occurrence") == 1, F.col("base")).otherwise(name))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from setforge.operators.ordinals import MOST, followed
 from setforge.functions.rules import OTHER, PROFILE_RULES, Rule, category, category_order
 
 PERCENT = 100.0
@@ -63,18 +64,13 @@ def callee_edges(samples: DataFrame, n: int = 30) -> DataFrame:
     return out.orderBy(F.desc("n"), "caller", "callee").limit(n)
 
 
-def sequence_edges(rows: DataFrame, key: str, order: list[str], item: str, slices: int = 64) -> DataFrame:
+def sequence_edges(rows: DataFrame, key: str, order: list[str], item: str, most: int = MOST) -> DataFrame:
     """Edges between rows that follow one another within a key: the form for stacks kept as rows.
 
-    The first column of the order, a number, is cut into slices of equal width, so that one key, however many rows it
-    has, is sorted by many tasks; each slice's first row follows the last row of the slice before it that has any.
+    Keys of over ``most`` rows are dealt out by ranges of the rows' order, whatever its values are.
     """
-    at = F.when(F.col(order[0]).isNull(), 0).otherwise(F.col("bucket"))
-    cut = bucketed(rows, order[0], slices).select(key, *order, F.col(item).alias("callee"), at.alias("slice"))
-    inside = cut.select(F.lag("callee").over(W.partitionBy(key, "slice").orderBy(*order)).alias("caller"), "callee")
-    ends = cut.groupBy(key, "slice").agg(F.min_by("callee", F.struct(*order)).alias("callee"), F.max_by("callee", F.struct(*order)).alias("last"))
-    across = ends.select(F.lag("last").over(W.partitionBy(key).orderBy("slice")).alias("caller"), "callee")
-    return inside.union(across).dropna(subset=["caller"])
+    pairs = followed(rows.select(key, *order, F.col(item).alias("callee")), [key], order, "callee", "caller", most)
+    return pairs.select("caller", "callee").dropna(subset=["caller"])
 
 
 def time_range(rows: DataFrame, time: str) -> DataFrame:

@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from setforge.functions import paths
+from setforge.operators.ordinals import MOST, ordinals
 
 PARENT_BUNDLES, PER_GAME = "parent-bundles", "per-game"
+#: Items of a list that is cut into chunks.
+CHUNK = 1000
 
 
 def priority(kind: Column) -> Column:
@@ -41,6 +44,20 @@ def scope_sources(sources: DataFrame, root: str) -> DataFrame:
     return sources.filter((F.col("source_root") == root) | paths.under(F.col("canonical_path"), root))
 
 
+def ancestors(path: Column) -> Column:
+    """The path itself and every folder above it, the root folder too."""
+    n = F.size(F.split(path, "/"))
+    up = F.transform(F.sequence(F.lit(1), n), lambda k: F.call_function("substring_index", path, F.lit("/"), k))
+    return F.transform(up, lambda p: F.when(p == "", "/").otherwise(p))
+
+
+def sources_of_roots(sources: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, ...) of the sources that lie under each of many roots, or were scanned from it: an equality join with all folders above a path."""
+    names = F.array_distinct(F.array_append(ancestors(F.col("canonical_path")), F.col("source_root")))
+    asked = roots.select(F.when(F.col("root") == "/", "/").otherwise(F.rtrim(F.col("root"), F.lit("/"))).alias("root")).distinct()
+    return sources.withColumn("root", F.explode(names)).join(asked, "root").select("root", *sources.columns)
+
+
 def _candidate() -> Column:
     """A source as a struct whose order is the order of choice; a null entry comes first, seq settles full ties."""
     return F.struct(priority(F.col("kind")).alias("prio"), F.col("canonical_path"), F.col("entry_name"), F.col("seq"), F.col("kind"))
@@ -52,10 +69,24 @@ def best_sources(sources: DataFrame) -> DataFrame:
 
 
 def candidate_lists(sources: DataFrame) -> DataFrame:
-    """(sha1, candidates) in order of choice. A list holds all copies of a digest; use candidate_rows where they are very many."""
+    """(sha1, candidates) in order of choice. A list holds all copies of a digest; use candidate_chunks where they are very many."""
     return sources.groupBy("sha1").agg(F.sort_array(F.collect_list(_candidate())).alias("candidates"))
 
 
+def chunked(rows: DataFrame, key: str, order: list, item: Column, name: str, most: int, hot: int) -> DataFrame:
+    """(key, chunk, name): the items of each key in order as lists of at most ``most``, numbered from 0; a key may have any number of rows."""
+    ranked = ordinals(rows.withColumn("__item", item), [key], order, "__nr", hot)
+    one = F.struct("__nr", "__item")
+    lists = ranked.groupBy(key, F.floor((F.col("__nr") - 1) / most).alias("chunk")).agg(F.sort_array(F.collect_list(one)).alias("l"))
+    return lists.select(key, "chunk", F.transform("l", lambda x: x["__item"]).alias(name))
+
+
+def candidate_chunks(sources: DataFrame, most: int = CHUNK, hot: int = MOST) -> DataFrame:
+    """(sha1, chunk, candidates): the candidates of a digest in order of choice, in lists of bounded length."""
+    c = _candidate()
+    return chunked(sources, "sha1", [c], c, "candidates", most, hot)
+
+
 def resolve(entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Every entry with its best source (null if missing) and the number of candidates."""
     return entries.join(best_sources(sources), "sha1", "left")
@@ -97,6 +128,12 @@ def bundles(entries: DataFrame, sources: DataFrame, mode: str = PARENT_BUNDLES)
     return rows.groupBy("zip").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
 
 
+def bundle_chunks(entries: DataFrame, sources: DataFrame, mode: str = PARENT_BUNDLES, most: int = CHUNK, hot: int = MOST) -> DataFrame:
+    """(zip, chunk, entries): the entries of a bundle in catalogue order, in lists of bounded length."""
+    names = ["dat_name", "game_name", "parent_name", "rom_name", "sha1", "canonical_path", "entry_name", "kind"]
+    return chunked(bundle_entries(entries, sources, mode), "zip", names, F.struct(*names), "entries", most, hot)
+
+
 def summary(entries: DataFrame, sources: DataFrame, strict: bool = False, dry_run: bool = False) -> DataFrame:
     """One row: matched, missing and duplicate entries, the exit code, and whether files are to be written."""
     counts = resolve(entries, sources).agg(

@@ -103,6 +103,34 @@ def candidate_lists(spark, sf):
     return lists.select("sha1", F.array_join(F.transform("candidates", lambda c: planner.display_name(c["canonical_path"], c["entry_name"])), "|").alias("candidates"))
 
 
+@query(REL + """, h as (select *, prio || ':' || display || ':' || seq as item, case when seq % 3 = 0 then 'hot' else sha1 end as digest from cand),
+  k as (select *, row_number() over (partition by digest order by prio, canonical_path, entry_name nulls first, seq) - 1 as nr from h)
+  select digest, cast(nr // 50 as bigint) as chunk, string_agg(item, '|' order by nr) as candidates, count(*) as n from k group by 1, 2""")
+def candidate_chunks(spark, sf):
+    """A digest with a third of all sources, in lists of at most 50; keys of over 200 rows are dealt out."""
+    s = sources(spark, sf).withColumn("sha1", F.when(F.col("seq") % 3 == 0, F.lit("hot")).otherwise(F.col("sha1")))
+    lists = planner.candidate_chunks(s, most=50, hot=200)
+    item = lambda c: F.concat_ws(":", c["prio"], planner.display_name(c["canonical_path"], c["entry_name"]), c["seq"])
+    return lists.select(F.col("sha1").alias("digest"), "chunk", F.array_join(F.transform("candidates", item), "|").alias("candidates"), F.size("candidates").cast("long").alias("n"))
+
+
+@query(REL + """, h as (select *, row_number() over (partition by dat_name order by game_name, parent_name nulls first, rom_name, canonical_path) - 1 as nr from res where hit)
+  select dat_name || '.zip' as zip, cast(nr // 50 as bigint) as chunk, string_agg(rom_name, '|' order by nr) as entries from h group by 1, 2""")
+def bundle_chunks(spark, sf):
+    """Bundles of a whole language, in lists of at most 50 entries."""
+    b = planner.bundle_chunks(entries(spark, sf).withColumns({"game_name": F.col("dat_name"), "dat_name": F.col("game_name")}), sources(spark, sf), planner.PER_GAME, most=50, hot=200)
+    return b.select("zip", "chunk", F.array_join(F.transform("entries", lambda e: e["rom_name"]), "|").alias("entries"))
+
+
+@query(REL + """, r as (select distinct '/src/' || source as root from documents where doc_id % 2 = 0 union select '/src' union select '/src/' || source || '/' || doc_id from documents where doc_id % 7 = 0)
+  select root, canonical_path, seq from src join r on source_root = root or canonical_path = root or starts_with(canonical_path, root || '/')""")
+def sources_of_roots(spark, sf):
+    """The sources under each of many roots: folders, single files, one above all."""
+    d, root = t(spark, sf, "documents"), F.concat(F.lit("/src/"), "source")
+    roots = d.filter("doc_id % 2 = 0").select(root.alias("root")).union(d.filter("doc_id % 7 = 0").select(F.concat_ws("/", root, "doc_id"))).union(d.select(F.lit("/src/")).distinct())
+    return planner.sources_of_roots(sources(spark, sf), roots).select("root", "canonical_path", "seq")
+
+
 @query(REL + "select coalesce(parent_name, game_name) || '.zip' as zip, rom_name, display as source from res where hit")
 def bundle_entries_parent(spark, sf):
     e = planner.bundle_entries(entries(spark, sf), sources(spark, sf))
@@ -258,6 +286,20 @@ def unique_names(spark, sf):
     return catalogue.unique_names(t(spark, sf, "pages"), base, ["page_id"]).select("page_id", "unique_name")
 
 
+@query("select page_id, case when page_id = (select min(page_id) from pages) then 'one' else 'one_' || row_number() over (order by page_id) end as unique_name from pages")
+def one_base_names(spark, sf):
+    """All rows have one base; bases of over 100 rows are dealt out."""
+    return catalogue.unique_names(t(spark, sf, "pages"), F.lit("one"), ["page_id"], hot=100).select("page_id", "unique_name")
+
+
+@query("""with p as (select page_id, lag(page_id % 5) over (order by page_id = 3, page_id) as caller, page_id % 5 as callee from pages)
+  select caller, callee, count(*) as n from p where caller is not null group by 1, 2""")
+def one_instant_edges(spark, sf):
+    """Edges of one thread whose rows have one time but for one; keys of over 100 rows are dealt out."""
+    e = t(spark, sf, "pages").select(F.lit(1).alias("tid"), F.when(F.col("page_id") == 3, 9.0).otherwise(0.0).alias("time"), "page_id", (F.col("page_id") % 5).alias("f"))
+    return profile.sequence_edges(e, "tid", ["time", "page_id"], "f", most=100).groupBy("caller", "callee").agg(F.count("*").alias("n"))
+
+
 @query("""select doc_id, (lang in ('en') or (source in ('src1', 'src3') and contains(lower(text), 'th'))) as admitted,
   regexp_extract(source || '.' || lang, '^.+[.]([^.]*)$', 1) in ('en', 'de') as listed from documents""")
 def catalog_filters(spark, sf):
