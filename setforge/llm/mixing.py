@@ -49,14 +49,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     # in the order of cap over weight: source k has its cap if the level of those from it on would give it more
     level = [(F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last()]
     summed_up = stored(running(capped, [], level, {"caps": F.col("cap"), "weights": F.col("weight")}))
-    whole = summed_up.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("all_weights"))
-    rest_words = F.col("words") - (F.col("caps") - F.col("cap"))
-    rest_weights = F.col("all_weights") - (F.col("weights") - F.col("weight"))
-    over = F.col("weight") * rest_words >= F.col("cap") * rest_weights
-    judged = summed_up.join(F.broadcast(whole)).withColumn("over", over)  # one row
-    left = judged.agg(F.sum(F.when(F.col("over"), F.col("cap")).otherwise(0)).alias("taken_words"), F.sum(F.when(F.col("over"), F.col("weight")).otherwise(0)).alias("taken_weights"))
-    by_weight = F.try_divide((F.col("weight") * (F.col("words") - F.col("taken_words"))).cast("double"), (F.col("all_weights") - F.col("taken_weights")).cast("double"))
-    out = judged.join(F.broadcast(left)).withColumn("target", F.when(F.col("over"), F.col("cap").cast("double")).otherwise(by_weight))
+    whole = summed_up.agg(F.struct(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))).scalar()
+    rest_words = whole["words"] - (F.col("caps") - F.col("cap"))
+    rest_weights = whole["weights"] - (F.col("weights") - F.col("weight"))
+    judged = summed_up.withColumn("over", F.col("weight") * rest_words >= F.col("cap") * rest_weights)
+    taken = judged.filter("over").agg(F.struct(F.coalesce(F.sum("cap"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weights"))).scalar()
+    by_weight = F.try_divide((F.col("weight") * (whole["words"] - taken["words"])).cast("double"), (whole["weights"] - taken["weights"]).cast("double"))
+    out = judged.withColumn("target", F.when(F.col("over"), F.col("cap").cast("double")).otherwise(by_weight))
     return out.select("source", "source_size", "target")
 
 

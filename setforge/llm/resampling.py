@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setforge.llm.common import crc32_sql, stored
+from setforge.llm.common import crc32_sql, stored, total_cores
 from setforge.operators.ordinals import running
 
 _LONGS = T.ArrayType(T.LongType())
@@ -210,9 +210,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def bucket_counts(dictionary: DataFrame) -> DataFrame:
-    """(bucket, n) of the buckets that have features."""
-    each = dictionary.filter("sums is not null").select(F.posexplode("sums").alias("bucket", "n"))
-    return each.filter("n > 0").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """(bucket, n) of the buckets that have features; the homes' sums are added up in a task for each core first."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for sums in b.column(0):
+                total += sums.values.to_numpy()
+        yield pa.RecordBatch.from_pydict({"sums": [total]}, pa.schema([("sums", pa.list_(pa.int64()))]))
+
+    sums = dictionary.filter("sums is not null").select("sums").coalesce(total_cores(dictionary.sparkSession)).mapInArrow(add, "sums array<long>")
+    return sums.select(F.posexplode("sums").alias("bucket", "n")).filter("n > 0").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(own: DataFrame, target: DataFrame) -> DataFrame:
@@ -220,9 +228,9 @@ def gains(own: DataFrame, target: DataFrame) -> DataFrame:
     s, t = (bucket_counts(d).withColumnRenamed("n", c) for d, c in ((own, "s"), (target, "t")))
     every = own.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(s, "bucket", "left").join(t, "bucket", "left").select("bucket", *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in "st"])
-    whole = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    ratio = (F.col("t") + 1) * (F.col("all_s") + BUCKETS) / ((F.col("s") + 1) * (F.col("all_t") + BUCKETS))
-    return both.join(F.broadcast(whole)).select("bucket", F.floor(1000 * F.ln(ratio)).cast("long").alias("gain"))  # one row
+    whole = both.agg(F.struct(F.sum("s").alias("s"), F.sum("t").alias("t"))).scalar()
+    ratio = (F.col("t") + 1) * (whole["s"] + BUCKETS) / ((F.col("s") + 1) * (whole["t"] + BUCKETS))
+    return both.select("bucket", F.floor(1000 * F.ln(ratio)).cast("long").alias("gain"))
 
 
 def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
