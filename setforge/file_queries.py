@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from setforge import api
 from setforge.functions import hashing, text
-from setforge.operators import admission, fetch, profile, reports, zip_sink
+from setforge.operators import admission, fetch, migrations, profile, reports, zip_sink
 from setforge.scratch import passing_folder, passing_path
 from setforge.sources import catalog, dat, profiles
 from setforge.sources.filetree import read_tree
@@ -103,6 +104,16 @@ def zip_bundles_deflated(spark, sf):
     return read_tree(spark, out).select(below("path", out).alias("zip"), F.col("name").alias("entry"), "kind", F.col("entry_seq").cast("int").alias("entry_seq"), "size", F.lower(F.hex("sha1")).alias("sha1"))
 
 
+@query(f"""with {DOCS} select 'all.zip' as zip, 'in/doc_' || doc_id || case when doc_id % 2 = 0 then '.txt' else '' end as entry, 'zip' as kind,
+  cast(row_number() over (order by entry) - 1 as integer) as entry_seq, cast(octet_length(encode(body)) as bigint) as size, sha1(body) as sha1 from d""")
+def zip_one_bundle(spark, sf):
+    """One bundle of all documents, written by many tasks."""
+    root, out = tree(spark, sf), passing_folder(spark)
+    rows = read_tree(spark, root).filter(F.col("name") != "_empty")
+    zip_sink.write_bundles(rows.select(F.lit("all.zip").alias("zip"), F.concat(F.lit("in/"), "name").alias("rom_name"), F.col("path").alias("canonical_path"), F.lit(None).cast("string").alias("entry_name"), "kind"), out)
+    return read_tree(spark, out).select(below("path", out).alias("zip"), F.col("name").alias("entry"), "kind", F.col("entry_seq").cast("int").alias("entry_seq"), "size", F.lower(F.hex("sha1")).alias("sha1"))
+
+
 @query(BUNDLED)
 def zip_bundles_copied(spark, sf):
     """Entries of ZIP files copied to stored ZIP files, looked up by their names."""
@@ -158,17 +169,56 @@ def store_catalogue(spark, sf):
     return store.entries(*store.find_catalogue("All documents")).select("dat_name", "game_name", "rom_name", F.lower(F.hex("sha1")).alias("sha1"))
 
 
-@query("select 'file' as asked, 'second' as name union all select 'header', 'first' union all select 'newest', 'second'")
+@query("""with s as (select distinct source, lang from documents), a as (select 'A ' || source || ' ' || lang as name, source || lang || '.dat' as file_name, row_number() over (order by 'A ' || source || ' ' || lang) as id from s),
+  b as (select 'B ' || source || ' ' || lang as name, source || lang || '.dat' as file_name, (select count(*) from s) + row_number() over (order by 'B ' || source || ' ' || lang) as id from s where lang <> 'en'),
+  c as (select * from a union all select * from b)
+  select selector, cast(arg_max(id, (rank, id)) as bigint) as id, arg_max(name, (rank, id)) as name from (
+    select file_name as selector, 1 as rank, id, name from c union all select name, 0, id, name from c) group by 1""")
 def catalogue_selectors(spark, sf):
-    """A catalogue by its file, by its header, and the newest of those that share a file name."""
+    """Catalogues of every source and language, some twice under one file name: by file the newest, by header, and none for unknown names."""
+    store = api.open_store(spark, passing_folder(spark))
+    d = t(spark, sf, "documents").select("doc_id", "source", "lang", F.sha1(F.coalesce("text", F.lit(""))).alias("sha1"))
+    asked = []
+    for edition, rows in (("A", d), ("B", d.filter("lang <> 'en'"))):
+        file, name = F.concat("source", "lang", F.lit(".dat")), F.concat_ws(" ", F.lit(edition), "source", "lang")
+        header = rows.select(file.alias("file_name"), name.alias("name")).distinct()
+        one = rows.select(file.alias("file_name"), F.col("doc_id").cast("int").alias("game_seq"), F.concat(F.lit("g"), "doc_id").alias("name"), F.col("doc_id").cast("string").alias("source_file"), F.lit(None).cast("string").alias("clone_of"), "sha1")
+        roms = one.select("file_name", "game_seq", F.lit(0).alias("rom_seq"), F.lit("r").alias("name"), F.lit(1).alias("size"), F.unhex("sha1").alias("sha1"))
+        store.import_catalogue(dat.Catalogue(header, one.drop("sha1"), roms))
+        asked += [header.select(F.col("file_name").alias("selector")), header.select(F.col("name").alias("selector"))]
+    unknown = d.select(F.concat("source", F.lit(" unknown")).alias("selector"))
+    return store.find_catalogues(reduce(DataFrame.union, asked, unknown))
+
+
+@query("""with d as (select count(*) as docs, count(distinct lang) as langs from documents),
+  v as (select * from (values (9, 'up'), (8, 'down'), (7, 'down'), (6, 'down'), (5, 'down'), (4, 'down'), (3, 'down'), (2, 'down'), (1, 'down'), (0, 'down'), (9, 'again')) as x(version, way)),
+  n as (select * from (values ('data_files', 1, 13), ('games', 2, 12), ('roms', 3, 11), ('rom_files', 5, 13)) as x(name, since, columns))
+  select version, way, name, case when way = 'again' or version < since then 0 when name = 'data_files' then langs else docs end as n_rows,
+    case when version < since then 0 when name = 'roms' and version < 6 then 10 when name = 'rom_files' and version < 9 then 11 else columns end as n_columns
+  from v, n, d""")
+def store_migrations(spark, sf):
+    """A store filled at its latest version goes back step by step to the first one, then forward: rows and columns of each table on the way."""
     store = api.open_store(spark, passing_folder(spark))
-    folder = passing_folder(spark)
-    path = os.path.join(folder, "one.dat")
-    for name in ("first", "second"):
-        reports.write_dat(games(spark, sf), ["doc_id"], path, {"name": name})
-        api.import_dat(store, path)
-    found = [("file", store.find_catalogue(path)[1]), ("header", store.find_catalogue("first")[1]), ("newest", store.find_catalogue("second")[1])]
-    return spark.createDataFrame(found, "asked string, name string")
+    d = t(spark, sf, "documents")
+    store.import_catalogue(per_language(d))
+    rows = d.select(F.lit("/s").alias("parent_path"), F.concat(F.lit("/s/"), "doc_id").alias("path"), F.col("doc_id").cast("string").alias("name"), F.unhex(F.sha1("text")).alias("sha1"), F.unhex(F.sha1("text")).alias("xxhash3"), F.lit(False).alias("in_archive"), F.lit("bare").alias("kind"), F.lit(0).alias("entry_seq"))
+    store.replace_scanned(rows, "/s")
+    found = []
+    for version, way in [(migrations.LATEST, "up"), *((k, "down") for k in range(migrations.LATEST - 1, -1, -1)), (migrations.LATEST, "again")]:
+        store.migrate(version)
+        for name in ("data_files", "games", "roms", "rom_files"):
+            table = store.read(name)
+            found.append((version, way, name, table.count(), len(table.columns)))
+    return spark.createDataFrame(found, "version int, way string, name string, n_rows long, n_columns int")
+
+
+def per_language(d: DataFrame) -> dat.Catalogue:
+    """A catalogue of the documents of each language, a game and a rom a document."""
+    file = F.concat("lang", F.lit(".dat"))
+    header = d.select(file.alias("file_name"), F.col("lang").alias("name")).distinct()
+    one = d.select(file.alias("file_name"), F.col("doc_id").cast("int").alias("game_seq"), F.concat(F.lit("g"), "doc_id").alias("name"), F.col("source").alias("source_file"), F.lit(None).cast("string").alias("clone_of"), F.col("doc_id"), F.sha1(F.coalesce("text", F.lit(""))).alias("sha1"))
+    roms = one.select("file_name", "game_seq", F.lit(0).alias("rom_seq"), F.concat(F.lit("r"), "doc_id").alias("name"), F.lit(1).alias("size"), F.unhex("sha1").alias("sha1"))
+    return dat.Catalogue(header, one.drop("sha1", "doc_id"), roms)
 
 
 @query(f"""with {DOCS}, f as (select path, sha1(body) as sha1 from d union all select distinct source || '/_empty', sha1('') from d),
@@ -265,8 +315,9 @@ def manifest_round_trip(spark, sf):
     path = os.path.join(passing_folder(spark), "manifest.json")
     listed = spark.createDataFrame([("a",), ("b",)], "root string")
     reports.write_manifest({"metadata": "p"}, listed, games(spark, sf), ["doc_id"], path)
-    doc = spark.read.schema("policy struct<metadata:string>, sources array<struct<root:string>>, roms array<struct<game_name:string,rom_name:string,size:long,sha1:string>>").json(f"file://{path}", multiLine=True)
-    return doc.select("policy.metadata", F.size("sources").cast("long").alias("sources"), F.explode("roms").alias("r")).select(F.col("metadata").alias("policy"), "sources", "r.game_name", "r.rom_name", "r.size", "r.sha1")
+    policy, sources, roms = catalog.read_manifest(spark, f"file://{path}", "root string", "game_name string, rom_name string, size long, sha1 string")
+    n = sources.groupBy("file_name").agg(F.count("*").alias("sources"))
+    return roms.join(policy, "file_name").join(n, "file_name").select(F.get_json_object("policy", "$.metadata").alias("policy"), "sources", "game_name", "rom_name", "size", "sha1")
 
 
 @query("""with d as (select source, lang, doc_id, coalesce(text, '') as body from documents), r as (
