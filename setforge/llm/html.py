@@ -27,6 +27,7 @@ rows give repeated results and other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -37,33 +38,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.5
+#: Share of the region's text that a container of little text for its tags has at most.
+SPARSE = 0.1
 #: Share of the clusters' text that the region of a page without articles has at least.
 NEARLY_ALL = 0.9
 # Element names and the words that mark boilerplate in classes, ids and roles.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset(
-    "head title script style noscript template iframe object svg math canvas nav header footer aside form button select textarea dialog menu".split()
-)
+DROPPED = frozenset("head title script style noscript template iframe object svg math canvas nav footer aside button select textarea dialog menu".split())
+#: Dropped too, unless they turn out to hold the article or its title.
+DOUBTFUL = frozenset(("form", "header"))
 BLOCKS = frozenset(
-    "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody tfoot thead tr ul".split()
+    "address article blockquote body center dd details div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
-REGIONS = frozenset("article main section div body html".split())
+REGIONS = frozenset("article main section div body html".split()) | DOUBTFUL
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr"))}
 #: Beyond those of CLOSED_BY, what ends a dropped paragraph; elements in which a start tag's search for what it ends stops; elements of a head.
-ENDS_DROPPED_P = frozenset("aside dialog footer form header menu nav td th".split())
+ENDS_DROPPED_P = frozenset("aside dialog footer menu nav td th".split())
 STOPS = BLOCKS | DROPPED | {"td", "th"}
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A name is one of boilerplate if it has such a word, with words of place before it and words of structure behind it at most:
 #: site-header and comment-body are, share-price, has-sidebar and entry-header are not.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related reply replies respond reviews share sharing sidebar social sponsor sponsored subscribe testimonials toolbar widget".split()
+    "ad ads advert adverts advertisement advertising adsense alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus feedback footer header leaderboard masthead menu menubar modal nav navbar navigation newsletter notice notification pager pagination popup promo promotion related reply replies respond reviews share sharing sidebar signup social sponsor sponsored subscribe testimonials toolbar widget".split()
 )
 PLACES = frozenset("blog bottom copyright desktop email first floating gdpr global google inline last left legal main mobile page primary privacy reader readers right second secondary side site sticky sub third top user users".split())
 STRUCTURE = frozenset(
-    "area article articles author avatar bar block body bottom box btn button buttons card cards col column container content count date entry form group head heading icon icons image img inner item items label left link links list logo main message meta module more note outer overlay panel placeholder post posts right row section signup slot space stories story text thread title toggle tools top unit units view wide wrap wrapper".split()
+    "area article articles author avatar bar block body bottom box btn button buttons card cards col column container content count date entry form group head heading icon icons image img inner item items label left link links list logo main message meta module more note outer overlay panel placeholder post posts right row section slot space stories story text thread title toggle tools top unit units view wide wrap wrapper".split()
 )
 CARDS = frozenset("card excerpt preview promo teaser tile".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+NEVER_MARKED = frozenset(("html", "body", "main")) | DOUBTFUL
 _parts = re.compile(r"[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+(?:x\d+)?").findall
 
 
@@ -96,6 +100,81 @@ def _teaser(attrs: list[tuple[str, str | None]]) -> bool:
     return any(not CARDS.isdisjoint(p.lower() for p in _parts(t)) for name, value in attrs if name == "class" for t in (value or "").split())
 
 
+_opens = re.compile(r"[A-Za-z][A-Za-z0-9:_-]*")
+_ends = re.compile(r">|=\s*[\"']")
+_comment_end = re.compile(r"--\s*>|--!>")
+_raw_end = {name: re.compile(f"</{name}(?![a-z])", re.I) for name in ("script", "style")}
+
+
+class _Tags:
+    """Where tags end, by the quotes of their attributes; what one search without an end has passed, none passes again."""
+
+    def __init__(self, html: str):
+        found = list(_ends.finditer(html))
+        self.html, self.starts, self.ends = html, [m.start() for m in found], [m.end() for m in found]
+        self.last = {q: html.rfind(q) for q in "'\""}
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place behind the tag that is open at a place, -1 if it never ends."""
+        passed, k = [], bisect_left(self.starts, at)
+        while k < len(self.starts) and k not in self.failed:
+            passed.append(k)
+            behind = self.ends[k]
+            quote = self.html[behind - 1]
+            if quote == ">":
+                return behind
+            if behind > self.last[quote]:
+                break
+            k = bisect_left(self.starts, self.html.index(quote, behind) + 1, k)
+        self.failed.update(passed)
+        return -1
+
+
+def guarded(html: str) -> str:
+    """The page without comments, declarations and the content of scripts and styles, every other ``<`` that begins no whole tag escaped.
+
+    The parser looks to the end of the page for the end of each unfinished tag; here each place is passed once. A comment,
+    declaration or script that never ends takes the rest of the page, as in browsers.
+    """
+    tags, last, last_section = _Tags(html), html.rfind(">"), html.rfind("]]>")
+    out, at = [], 0
+    while (i := html.find("<", at)) >= 0:
+        out.append(html[at:i])
+        at = i + 1
+        if m := _opens.match(html, i + 1):
+            end = tags.end(m.end()) if m.end() <= last else -1
+            if end < 0:
+                out.append("&lt;")
+                continue
+            out.append(html[i:end])
+            at = end
+            if (raw := _raw_end.get(m[0].lower())) and html[end - 2] != "/":
+                if not (m := raw.search(html, end)):
+                    return "".join(out)
+                at = m.start()
+        elif html.startswith("/", i + 1):
+            end = html.find(">", i) + 1 if i < last else 0
+            if not end:
+                out.append("&lt;")
+                continue
+            if _opens.match(html, i + 2):
+                out.append(html[i:end])
+            at = end
+        elif html.startswith("<!--", i):
+            if not (m := _comment_end.search(html, i + 2)):
+                return "".join(out)
+            at = m.end()
+        elif html.startswith(("!", "?"), i + 1):
+            if i > last:
+                return "".join(out)
+            section = html.startswith("<![CDATA[", i) and i < last_section
+            at = html.index("]]>", i) + 3 if section else html.index(">", i) + 1
+        else:
+            out.append("&lt;")
+    return "".join(out) + html[at:]
+
+
 class Lines(HTMLParser):
     """Events to lines, and the containers they stand in; containers are numbered in the order of their start tags."""
 
@@ -178,7 +257,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self._push(tag)
-        if tag in DROPPED or attrs and tag not in ("html", "body", "main") and _marked(attrs):
+        if tag in DROPPED or attrs and tag not in NEVER_MARKED and _marked(attrs):
             if tag not in BLOCKS:
                 self._parts.append(" ")
             self._dropped = len(self._open)
@@ -265,17 +344,36 @@ class Page:
                 out.append(r)
         return out
 
+    def doubtful(self) -> np.ndarray:
+        """Lines of forms and headers, but for forms with most of the clusters' text, and for the one title of an article in its header."""
+        asked = {r for r, kind in enumerate(self.kind) if kind in DOUBTFUL}
+        if not asked:
+            return np.zeros(len(self.chars), bool)
+        weight = self.sums(self.chars * clusters(self.chars, self.tags))
+        asked -= {r for r in asked if 2 * weight[r] > weight[-1]}
+        out = self.inside(asked)
+        under = [False] * (len(self.kind) + 1)  # in an article or main
+        for r, above in enumerate(self.parent):
+            under[r] = under[above] or self.kind[r] in ("article", "main", "teaser")
+        titles = out & self.heading & np.array(under)[self.region]
+        if titles.any() and not (self.heading & ~out & np.array(under)[self.region]).any():
+            out &= ~titles
+        return out
+
     def chosen(self) -> np.ndarray:
         """Which lines are content."""
-        everything = np.ones(len(self.chars), bool)
+        everything = ~self.doubtful()
         mains = self.outermost("main", everything)
-        scope = self.inside(set(mains)) if mains else everything
+        scope = everything & self.inside(set(mains)) if mains else everything
         dense = np.zeros(len(scope), bool)
-        dense[scope] = clusters(self.chars[scope], self.tags[scope])
+        if scope.any():
+            dense[scope] = clusters(self.chars[scope], self.tags[scope])
+        if not dense.any():
+            return dense
         teasers = self.inside(set(self.outermost("teaser", scope)))
         weight = self.chars * dense
         if not self.outermost("article", scope) and 2 * weight[teasers & scope].sum() > weight.sum():  # nothing else has as much
-            teasers = ~everything
+            teasers = np.zeros(len(scope), bool)
         own = scope & ~teasers
         menus = self.menus(dense, own)
         if (articles := self.articles(dense, own)) is not None:
@@ -283,8 +381,23 @@ class Page:
             if mains and not (out & self.heading).any():
                 first = int(out.argmax())
                 out[:first] |= (self.heading & own)[:first]
+        else:
+            out = self.around(dense & own, own) & ~menus
+        return out & ~self.sparse(out)
+
+    def sparse(self, chosen: np.ndarray) -> np.ndarray:
+        """Lines of containers within the region that are no clusters by themselves: little text for their tags, and a small part of it.
+
+        The threshold is that of the region's own lines. Containers with an h1 stay, and so do those of which the region consists.
+        """
+        out = np.zeros(len(chosen), bool)
+        if chosen.sum() < 3:
             return out
-        return self.around(dense & own, own) & ~menus
+        ratio = self.chars[chosen] / np.maximum(self.tags[chosen], 1)
+        least = min(ratio.std(), ratio.mean())
+        size, tags, headed, lines = self.sums(self.chars * chosen), self.sums(self.tags * chosen), self.sums(self.heading & chosen), self.sums(chosen)
+        few = {r for r in range(len(self.kind)) if lines[r] and not headed[r] and self.kind[r] in ("div", "section") and size[r] < least * max(tags[r], 1) and size[r] < SPARSE * size[-1]}
+        return self.inside(few) & chosen
 
     def menus(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Lines in containers without any cluster that are mostly links."""
@@ -341,7 +454,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     parser = Lines()
-    parser.feed(html)
+    parser.feed(guarded(html))
     parser.close()
     return "\n\n".join(content(parser))
 
