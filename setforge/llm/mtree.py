@@ -16,7 +16,9 @@ the pages of all other routes whose covering radius leaves room for that score.
 ``QUERIES`` queries that visit it and not at all if none does, so what is shuffled follows the table and the visits. Scores are exact
 integers and bounds carry a margin for rounding.
 
-Rows with a null id or vector, or a null or non-finite component, take no part; shorter vectors end in zeros. Ids that
+Rows with a null id or vector, or a null or non-finite component, take no part; shorter vectors end in zeros. Nor do
+vectors of a squared length of 2^61 or more after scaling (a single component of about 1.5 million): inner products of such
+need not fit a long, those of all others do. A vector far longer than the others makes bounds weak for all. Ids that
 repeat are rows of their own: each row with such an id is a candidate, and each whose id is a query's gets a list of
 its own, which leaves out every row with that id. Fewer than k others give fewer rows, an empty table none. Other
 columns are ignored.
@@ -38,6 +40,8 @@ from setforge.llm.common import drop_stored, stored
 
 K, EVERY, SCALE = 10, 100, 1024
 ROUTES, PAGE, QUERIES = 1024, 4096, 1024
+#: Squared lengths of vectors that take part are below this, after scaling; floors add little.
+LONGEST_SQ = float(1 << 61)
 LEAF, FANOUT, SEED = 128, 8, 5
 #: A page as one row. ids, v and apart (distance to the leaf's routing object) are the entries, leaf by leaf; the others the
 #: nodes, breadth first: entry that is the routing object, covering radius, distance to the parent's, first child or entry, how many.
@@ -176,8 +180,11 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(nr, id, v) of the rows that take part, nr a number of the row and v the components as integers."""
     x = F.col(vector_col)
     ok = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    v = F.transform(x, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")))
-    return vectors.filter(ok).select(F.monotonically_increasing_id().alias("nr"), F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    scaled = lambda c: F.lit(float(SCALE)) * c.cast("double")
+    length_sq = F.aggregate(x, F.lit(0.0), lambda a, c: a + scaled(c) * scaled(c))  # in doubles, which don't overflow
+    v = F.when(length_sq < LONGEST_SQ, F.transform(x, lambda c: F.floor(scaled(c))))
+    made = vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter("v is not null")
+    return made.select(F.monotonically_increasing_id().alias("nr"), "id", "v")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -78,6 +78,7 @@ with v as (
   from embeddings
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and coalesce(list_sum(list_transform(embedding, lambda x: (1024 * cast(x as double)) * (1024 * cast(x as double)))), 0) < 2305843009213693952.0
 ),
 s as (
   select q.nr, q.vec_id as query_id, v.vec_id,
