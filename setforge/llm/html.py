@@ -16,8 +16,12 @@ the mean if that is less) form clusters. The clusters select the regions of cont
   and beside those around it, those go with it that are clusters for the most part, that hold the ``h1``, or that stand
   between clusters; of the others, and of what is mostly links outside of clusters, nothing is kept.
 
-In regions so selected all lines are content, short paragraphs and headings too, except for teasers and for containers
-without any cluster that are mostly links. Time grows in proportion to the page, however deeply it is nested.
+In regions so selected lines are content, short paragraphs and headings too, except for teasers, for containers without
+any cluster that are mostly links, and for small containers (with a class or the like) whose own ratio is below the
+threshold of the region's lines: boxes whose names say nothing. A page without clusters has no content. Forms and headers
+are dropped, but for forms that hold most of the clusters and for an article's title in its header.
+
+Time grows in proportion to the page, however deeply it is nested and however many tags, quotes and comments it leaves open.
 
 References are decoded, white space inside a block (a line break too) becomes one space, blocks are trimmed and joined
 by an empty line. Null and empty pages, and pages without content, give an empty text. Whole pages are read. Repeated
@@ -187,6 +191,7 @@ class Lines(HTMLParser):
         self.region: list[int] = []  # the innermost container, -1 for none
         self.kind: list[str] = []  # of each container: element name, teaser for an article that is one
         self.parent: list[int] = []
+        self.named: list[bool] = []  # whether it has attributes; one without them only groups
         self._open: list[str] = []
         self._stops: list[int] = []  # places in _open of elements in STOPS
         self._count: Counter[str] = Counter()  # of the names in _open
@@ -267,6 +272,7 @@ class Lines(HTMLParser):
             self.parent.append(self._regions[-1])
             self._regions.append(len(self.kind))
             self.kind.append(kind)
+            self.named.append(bool(attrs))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -317,7 +323,7 @@ class Page:
     def __init__(self, p: Lines):
         self.chars = np.array([len(t) for t in p.text])
         self.tags, self.links, self.heading, self.region = np.array(p.tags), np.array(p.links), np.array(p.heading), np.array(p.region)
-        self.kind, self.parent = p.kind, p.parent
+        self.kind, self.parent, self.named = p.kind, p.parent, p.named
 
     def inside(self, of: set[int]) -> np.ndarray:
         """Which lines stand in the given containers."""
@@ -388,7 +394,7 @@ class Page:
     def sparse(self, chosen: np.ndarray) -> np.ndarray:
         """Lines of containers within the region that are no clusters by themselves: little text for their tags, and a small part of it.
 
-        The threshold is that of the region's own lines. Containers with an h1 stay, and so do those of which the region consists.
+        The threshold is that of the region's own lines. Containers with an h1 or without attributes stay.
         """
         out = np.zeros(len(chosen), bool)
         if chosen.sum() < 3:
@@ -396,7 +402,7 @@ class Page:
         ratio = self.chars[chosen] / np.maximum(self.tags[chosen], 1)
         least = min(ratio.std(), ratio.mean())
         size, tags, headed, lines = self.sums(self.chars * chosen), self.sums(self.tags * chosen), self.sums(self.heading & chosen), self.sums(chosen)
-        few = {r for r in range(len(self.kind)) if lines[r] and not headed[r] and self.kind[r] in ("div", "section") and size[r] < least * max(tags[r], 1) and size[r] < SPARSE * size[-1]}
+        few = {r for r in range(len(self.kind)) if lines[r] and not headed[r] and self.named[r] and self.kind[r] in ("div", "section") and size[r] < least * max(tags[r], 1) and size[r] < SPARSE * size[-1]}
         return self.inside(few) & chosen
 
     def menus(self, dense: np.ndarray, own: np.ndarray) -> np.ndarray:
