@@ -1,7 +1,8 @@
 """Reading of single archives inside a task: what format a file has, and its entries as byte streams.
 
-ZIP goes through the standard library; RAR and 7z through ``bsdtar`` where the machine has it, which turns the archive
-into one tar stream: each is decompressed once, and entries that repeat a name are entries of their own.
+ZIP goes through the standard library, 7z through :mod:`setforge.sources.sevenzip`; RAR, and 7z archives with coders
+unknown there, through ``bsdtar`` where the machine has it, which turns the archive into one tar stream. Each is
+decompressed once, and entries that repeat a name are entries of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 from setforge.errors import ArchiveError, InvalidPath
+from setforge.sources import sevenzip
 
 CHUNK = 1 << 16
 # The bytes that formats begin with.
@@ -48,7 +50,7 @@ def safe_name(name: str) -> str:
 def _tar_entries(path: str) -> Iterator[tuple[str, BinaryIO]]:
     """(raw name, stream) of each entry that is a file, in one pass."""
     if not (tool := shutil.which("bsdtar")):
-        raise ArchiveError("bsdtar is not installed: RAR and 7z cannot be read")
+        raise ArchiveError(f"{path}: bsdtar is not installed, which reads RAR and rare 7z coders")
     with tempfile.TemporaryFile() as said:
         p = subprocess.Popen([tool, "-cf", "-", "--format", "pax", f"@{path}"], stdout=subprocess.PIPE, stderr=said)
         done = False
@@ -90,10 +92,28 @@ def entries(path: str, kind: str) -> Iterator[tuple[str, BinaryIO]]:
         except (zipfile.BadZipFile, NotImplementedError, EOFError, OSError, RuntimeError) as e:
             raise ArchiveError(f"{path}: {e}") from e
         return
-    for raw, f in _tar_entries(path):
+    for raw, f in _streamed(path, kind):
         yield safe_name(raw), f
 
 
+def _streamed(path: str, kind: str) -> Iterator[tuple[str, BinaryIO]]:
+    """(raw name, stream) of the entries of a 7z or RAR archive."""
+    if kind != "7z":
+        yield from _tar_entries(path)
+        return
+    try:
+        every = sevenzip.entries(path)
+        first = next(every, None)
+    except ArchiveError as e:
+        if "not supported" not in str(e) or not shutil.which("bsdtar"):
+            raise
+        yield from _tar_entries(path)
+        return
+    if first:
+        yield first
+        yield from every
+
+
 @contextlib.contextmanager
 def open_entry(path: str, kind: str, name: str) -> Iterator[BinaryIO]:
     """The stream of one entry, found by its exact name or else by its safe form; of several the first, in ZIP files the last."""
@@ -110,7 +130,7 @@ def open_entry(path: str, kind: str, name: str) -> Iterator[BinaryIO]:
             with z.open(found) as f:
                 yield f
         return
-    with contextlib.closing(_tar_entries(path)) as every:
+    with contextlib.closing(_streamed(path, kind)) as every:
         for raw, f in every:
             if _matches(raw, name):
                 yield f

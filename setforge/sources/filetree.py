@@ -1,30 +1,36 @@
-"""Files of a directory tree, archives exploded, with their digests: listed by one stage, read by the next.
-
-The Spark data source ``filetree`` lists. The driver opens folders only until there are enough for the tasks, a few for
-every core; each task lists the folders it was given and walks down from them. The paths are then dealt out anew, so
-that a folder with very many files, or the one deep folder, is read by all tasks. A file is read in one pass for all
-digests. Unlike Spark's binaryFile it has empty files and names with a leading underscore. Names with a leading dot are
-skipped below the root, links are files, not folders, and whatever cannot be read ends the scan.
+"""Files of a directory tree, archives exploded, with their digests: listed in rounds, then read.
+
+In each round the folders that are known are dealt out to tasks. A task lists its folders and walks down from them until it
+has opened ``FOLDERS``; the folders that are left are dealt out in the next round, so neither a wide nor a deep tree stays
+with one task. Folders are streamed: one with more than ``ENTRIES`` entries is listed by several tasks in the next round,
+each of which keeps the names that a hash gives it. The driver opens none. The paths are then dealt out anew to be read, a
+file in one pass for all digests. Unlike Spark's binaryFile it has empty files and names with a leading underscore. Names
+with a leading dot are skipped below the root, links are files, not folders, and whatever cannot be read ends the scan.
 """
 
 from __future__ import annotations
 
+import collections
+import functools
 import hashlib
 import itertools
 import os
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from setforge import schemas
 from setforge.errors import InvalidPath
+from setforge.scratch import passing_path
 from setforge.sources import archives
 
-#: Folders that the driver opens at least until it leaves the rest to tasks, and tasks for every core when files are read.
-PARTS, PER_CORE = 64, 4
+#: Folders that a task opens in a round, entries of a folder that one task lists, and tasks for every core when files are read.
+FOLDERS, ENTRIES, PER_CORE = 256, 100_000, 4
+#: Tasks that list one large folder.
+SHARES = 16
 #: What a database file may have beside it.
 SIDECARS = ("", "-wal", "-shm", "-journal")
 
@@ -44,21 +50,40 @@ def _readable_name(name: str) -> bool:
     return not name.startswith(".")
 
 
-def listed(folder: str) -> tuple[list[str], list[str]]:
-    """(folders, files) right in a folder, sorted, without hidden ones; a folder that cannot be listed counts as empty."""
+def entries(folder: str, share: int, shares: int) -> Iterator[tuple[str, bool]]:
+    """(path, is a folder) of what lies right in a folder, without hidden names and links to folders; one of several shares of it. A folder that cannot be listed counts as empty."""
     try:
-        found = sorted((e for e in os.scandir(folder) if _readable_name(e.name)), key=lambda e: e.name)
+        with os.scandir(folder) as found:
+            for e in found:
+                if _readable_name(e.name) and (shares == 1 or zlib.crc32(e.name.encode()) % shares == share):
+                    is_folder = e.is_dir(follow_symlinks=False)
+                    if is_folder or not (e.is_symlink() and e.is_dir()):
+                        yield e.path, is_folder
     except OSError:
-        return [], []
-    folders = [e.path for e in found if e.is_dir(follow_symlinks=False)]
-    return folders, [e.path for e in found if not e.is_dir()]
+        return
 
 
-def walk(folder: str) -> Iterator[str]:
-    folders, files = listed(folder)
-    yield from files
-    for f in folders:
-        yield from walk(f)
+def walk(folders: Iterator[tuple[str, int, int]], most_folders: int, most_entries: int) -> Iterator[tuple[str, int, int]]:
+    """(path, share, shares) below the folders: shares is 0 for files; others are folders, or shares of large ones, that are left for later."""
+    left, opened = collections.deque(folders), 0
+    while left:
+        folder, share, shares = left.popleft()
+        if opened >= most_folders:
+            yield folder, share, shares
+            continue
+        opened += 1
+        found = entries(folder, share, shares)
+        held = list(itertools.islice(found, most_entries + 1)) if shares == 1 else []
+        if len(held) > most_entries:
+            yield from ((folder, k, SHARES) for k in range(SHARES))
+            continue
+        for path, is_folder in itertools.chain(held, found):
+            if not is_folder:
+                yield path, 0, 0
+            elif shares == 1:
+                left.append((path, 0, 1))
+            else:
+                yield path, 0, 1
 
 
 def digests(stream) -> tuple[bytes, bytes, bytes, int]:
@@ -87,49 +112,30 @@ def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
             raise e if isinstance(e, archives.ArchiveError) else archives.ArchiveError(f"{path}: {e}") from e
 
 
-class _Part(InputPartition):
-    """Folders to walk, folders of which only the files are taken, and single files."""
-
-    def __init__(self, deep: list[str], flat: list[str], files: list[str]):
-        self.deep, self.flat, self.files = deep, flat, files
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root = canonical(options["path"])
-        self.parts = max(PARTS, int(options.get("parts", PARTS)))
-        own = options.get("exclude")
-        self.excluded = {os.path.realpath(own) + s for own in (own.split("\n") if own else ()) for s in SIDECARS}
-
-    def partitions(self) -> list[_Part]:
-        if not os.path.isdir(self.root):
-            return [_Part([], [], [self.root])]
-        deep, flat = [self.root], []
-        while deep and len(deep) < self.parts:
-            below = [d for folder in deep for d in listed(folder)[0]]
-            flat += deep
-            deep = below
-        parts = [_Part(deep[k :: self.parts], flat[k :: self.parts], []) for k in range(self.parts)]
-        return [p for p in parts if p.deep or p.flat]
+def list_tree(spark: SparkSession, path: str, exclude: list[str] = (), most_folders: int = FOLDERS, most_entries: int = ENTRIES) -> DataFrame:
+    """(path) of the files below a folder, or the file itself, without those of ``exclude`` and what lies beside them."""
+    root = canonical(path)
+    if not os.path.isdir(root):
+        return spark.createDataFrame([(root,)], "path string")
+    without = {os.path.realpath(own) + s for own in exclude for s in SIDECARS}
+    schema = pa.schema([("path", pa.string()), ("share", pa.int32()), ("shares", pa.int32())])
+    n = PER_CORE * spark.sparkContext.defaultParallelism
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        found = (p for group in (part.files, *(listed(f)[1] for f in part.flat), *(walk(f) for f in part.deep)) for p in group if p not in self.excluded)
-        while rows := list(itertools.islice(found, 10_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["path"])
-
-
-class FileTree(DataSource):
-    """Paths of the files below ``path``, without those of ``exclude`` (line by line) and what lies beside them."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "filetree"
-
-    def schema(self) -> str:
-        return "path string"
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(dict(self.options))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        found = (r for r in walk(given, most_folders, most_entries) if r[2] or r[0] not in without)
+        while some := list(itertools.islice(found, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
+    rounds, left = [], spark.createDataFrame([(root, 0, 1)], "path string, share int, shares int")
+    while True:
+        out = passing_path(spark)
+        left.repartition(n, "path", "share").mapInArrow(run, left.schema).write.parquet(out)
+        made = spark.read.schema(left.schema).parquet(out)
+        rounds.append(made.filter("shares = 0").select("path"))
+        left = made.filter("shares > 0")
+        if left.isEmpty():
+            return functools.reduce(DataFrame.union, rounds)
 
 
 def _on_disk(path: str) -> int:
@@ -156,6 +162,4 @@ def scan(files: DataFrame, permissive: bool = False) -> DataFrame:
 
 def read_tree(spark: SparkSession, path: str, exclude: list[str] = (), permissive: bool = False) -> DataFrame:
     """The scanned rows of a tree or of a single file. The tree must be on a file system that all machines share."""
-    spark.dataSource.register(FileTree)
-    reader = spark.read.format("filetree").option("path", canonical(path)).option("parts", PER_CORE * spark.sparkContext.defaultParallelism)
-    return scan((reader.option("exclude", "\n".join(exclude)) if exclude else reader).load(), permissive)
+    return scan(list_tree(spark, path, exclude), permissive)
