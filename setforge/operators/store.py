@@ -74,7 +74,7 @@ class Store:
             return {"version": 0, "number": 0, "tables": {}, "retired": [], "next": 1}
         with open(os.path.join(self.path, f"state-{numbers[-1]}.json"), encoding="utf-8") as f:
             state = json.load(f)
-        if "next" not in state:  # of the time before segments: one folder a table
+        if "next" not in state and state["version"] <= 1:  # of the time before segments: one folder a table
             state["tables"] = {name: [(None, at)] for name, at in state["tables"].items()}
             state |= {"version": migrations.BEFORE_SEGMENTS, "next": 1}
             state["next"] = (self.read("data_files", state=state).agg(F.max("id")).first()[0] or 0) + 1

@@ -109,7 +109,7 @@ def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
             yield (parent, path, entry, *digests(stream), True, "zip" if kind == "zip" else "archive", k)
     except (archives.ArchiveError, *archives.READ_ERRORS) as e:
         if not permissive:
-            raise e if isinstance(e, archives.ArchiveError) else archives.ArchiveError(f"{path}: {e}") from e
+            raise e if str(e).startswith(path) else archives.ArchiveError(f"{path}: {e}") from e
 
 
 def list_tree(spark: SparkSession, path: str, exclude: list[str] = (), most_folders: int = FOLDERS, most_entries: int = ENTRIES) -> DataFrame:

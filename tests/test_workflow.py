@@ -15,6 +15,7 @@ from setforge import api, cli
 from setforge.errors import ArchiveError, CatalogueError, InvalidPath, PlanError
 from setforge.operators import zip_sink
 from setforge.sources import archives, dat, filetree
+from tests.make_7z import CODERS, archive
 
 ABC = hashlib.sha1(b"abc").hexdigest()
 EMPTY = hashlib.sha1(b"").hexdigest()
@@ -78,12 +79,34 @@ def test_unsafe_entry_ends_the_scan(spark, tree):
         filetree.read_tree(spark, str(tree)).collect()
 
 
-@pytest.mark.skipif(not shutil.which("bsdtar"), reason="needs bsdtar")
-def test_seven_zip(spark, tree, tmp_path):
-    (tmp_path / "in.rom").write_bytes(b"seven")
-    subprocess.run(["bsdtar", "-cf", str(tree / "a.7z"), "--format=7zip", "-C", str(tmp_path), "in.rom"], check=True)
-    rows = [r for r in filetree.read_tree(spark, str(tree)).collect() if r.kind == "archive"]
-    assert [(r.name, bytes(r.sha1)) for r in rows] == [("in.rom", hashlib.sha1(b"seven").digest())]
+@pytest.mark.parametrize("packed_header", [False, True])
+@pytest.mark.parametrize("coder", [c for c in CODERS if c != "ppmd"])
+def test_seven_zip(tmp_path, coder, packed_header):
+    files = [("dir/a", b"AAAA" * 40_000), ("b", bytes(range(256)) * 9), ("b", b"once more")]
+    path = tmp_path / "a.bin"
+    path.write_bytes(archive([(coder, files), ("copy", [("one", b"1")])], [("empty", False), ("folder", True)], packed_header))
+    exp = [*files, ("one", b"1"), ("empty", b"")]
+    rows = list(filetree.scan_file(str(path)))
+    assert [(r[2], r[3], r[6], r[8], r[9]) for r in rows] == [(n, hashlib.sha1(b).digest(), len(b), "archive", k) for k, (n, b) in enumerate(exp)]
+    with archives.open_entry(str(path), "7z", "one") as f:  # others are passed over
+        assert f.read() == b"1"
+    with pytest.raises(ArchiveError), archives.open_entry(str(path), "7z", "none"):
+        pass
+
+
+def test_seven_zip_that_is_none(tmp_path):
+    good = archive([("lzma2", [("a", b"x" * 9000), ("b", b"y")])], packed_header=True)
+    path = tmp_path / "a.bin"
+    path.write_bytes(archive([]))
+    assert list(filetree.scan_file(str(path))) == []
+    bad = [good[:-5], good[:100], good[:60] + b"!" + good[61:], archive([("lzma2", [("a", b"x"), ("b", b"y")])], wrong=True), archive([("ppmd", [("a", b"x")])])]
+    for body in bad:
+        path.write_bytes(body)
+        with pytest.raises(ArchiveError, match="a.bin"):
+            list(filetree.scan_file(str(path)))
+    path.write_bytes(archive([("copy", [("../a", b"x")])]))
+    with pytest.raises(InvalidPath):
+        list(filetree.scan_file(str(path)))
 
 
 @pytest.fixture
@@ -106,19 +129,19 @@ def tarred(*entries) -> bytes:
     return out.getvalue()
 
 
-@pytest.mark.parametrize("magic", [b"7z\xbc\xaf\x27\x1c\0\0", b"Rar!\x1a\x07\0\0"])
-def test_rar_and_seven_zip_entries_in_one_pass(tmp_path, tar_tool, magic):
+def test_rar_entries_in_one_pass(tmp_path, tar_tool):
+    magic = b"Rar!\x1a\x07\0\0"
     path = tmp_path / "a.bin"
     path.write_bytes(magic + tarred(("dir/", None), ("dir/a", b"AAAA"), ("dir/a", b"BBBB"), ("line\u2028break", b"x"), ("./b", b"")))
     rows = list(filetree.scan_file(str(path)))
     assert [(r[2], r[3], r[6], r[8], r[9]) for r in rows] == [(n, hashlib.sha1(b).digest(), len(b), "archive", k) for k, (n, b) in enumerate([("dir/a", b"AAAA"), ("dir/a", b"BBBB"), ("line\u2028break", b"x"), ("b", b"")])]
-    with archives.open_entry(str(path), "7z", "b") as f:
+    with archives.open_entry(str(path), "rar", "b") as f:
         assert f.read() == b""
     with archives.open_entry(str(path), "rar", "dir/a") as f:
         assert f.read() == b"AAAA"
-    with pytest.raises(ArchiveError), archives.open_entry(str(path), "7z", "none"):
+    with pytest.raises(ArchiveError), archives.open_entry(str(path), "rar", "none"):
         pass
-    zip_sink.write_zip(str(tmp_path), "o.zip", iter([("x", str(path), "dir/a", "archive")]), zipfile.ZIP_STORED)
+    zip_sink.write_zip(str(tmp_path / "o.zip"), iter([("x", str(path), "dir/a", "archive")]), zipfile.ZIP_STORED)
     with zipfile.ZipFile(tmp_path / "o.zip") as z:
         assert z.read("x") == b"AAAA"
     for name, body, error in (("bad", tarred(("a", b"1")), ArchiveError), ("short", tarred(("a", b"1" * 9000))[:5000], ArchiveError), ("evil", tarred(("../a", b"1")), InvalidPath), ("odd", tarred(("a\udcff", b"1")), InvalidPath)):
@@ -143,6 +166,33 @@ def test_scan_of_wide_and_deep_trees(spark, tmp_path):
     assert sorted(r.path for r in rows) == sorted(exp | {str(deep / "x")})
 
 
+def test_tree_in_rounds(spark, tmp_path):
+    """A chain and a flat folder are listed by several tasks."""
+    flat, deep = tmp_path / "flat", tmp_path.joinpath(*["d"] * 30)
+    flat.mkdir()
+    deep.mkdir(parents=True)
+    for k in range(70):
+        (flat / f"n{k}").write_bytes(b"")
+    (flat / "in").mkdir()
+    (flat / "in" / "x").write_bytes(b"x")
+    (deep / "y").write_bytes(b"y")
+    (tmp_path / "link").symlink_to(flat)
+    (tmp_path / "file-link").symlink_to(deep / "y")
+    (tmp_path / ".hidden").write_bytes(b"")
+    exp = sorted([*(str(flat / f"n{k}") for k in range(70)), str(flat / "in" / "x"), str(deep / "y"), str(tmp_path / "file-link")])
+    for folders, entries in ((1, 10), (5, 40), (1000, 1000)):
+        found = filetree.list_tree(spark, str(tmp_path), [], folders, entries)
+        assert sorted(r.path for r in found.collect()) == exp
+    first = list(filetree.walk(iter([(str(tmp_path), 0, 1)]), 1, 10))
+    assert sorted(first) == sorted([(str(tmp_path / "file-link"), 0, 0), (str(flat), 0, 1), (str(tmp_path / "d"), 0, 1)])
+    shares = list(filetree.walk(iter([(str(flat), 0, 1)]), 10, 10))
+    assert shares == [(str(flat), k, filetree.SHARES) for k in range(filetree.SHARES)]
+    parts = [list(filetree.walk(iter([s]), 10, 10)) for s in shares]
+    assert sorted(p for part in parts for p, _, n in part if not n) == [str(flat / f"n{k}") for k in sorted(range(70), key=lambda k: f"n{k}")] and max(map(len, parts)) < 20
+    assert [r.path for r in filetree.list_tree(spark, str(deep / "y")).collect()] == [str(deep / "y")]
+    assert filetree.list_tree(spark, str(tmp_path), [str(deep / "y")]).filter("path like '%y'").count() == 0
+
+
 def test_store_keeps_files_for_readers_and_refuses_lost_updates(spark, tree, tmp_path):
     store = api.open_store(spark, str(tmp_path / "store"))
     api.scan_source(store, str(tree))
