@@ -41,6 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from setforge.operators.ordinals import free_names
+
 SIGMA = 1.5
 #: Share of the region's text that a container of little text for its tags has at most.
 SPARSE = 0.1
@@ -467,8 +469,9 @@ def extract(html: str | None) -> str:
 
 def main_text(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """The columns ``keep`` with ``text``, the main text."""
-    kept = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias("__html"))
-    schema = kept.drop("__html").schema.add("text", "string")
+    own = free_names([*keep, "text"], "__html")[0]
+    kept = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(html_col).cast("string").alias(own))
+    schema = kept.drop(own).schema.add("text", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

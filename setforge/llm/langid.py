@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from setforge.operators.ordinals import free_names
+
 WINDOW, HIDDEN = 96, 8
 PER_LANGUAGE, EXCERPT = 160, 384
 STEPS, BATCH, RATE, SEED = 160, 96, 0.02, 7
@@ -192,8 +194,9 @@ def train(labelled: DataFrame) -> Model | None:
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the prediction and its score under ``names``; give others where those clash."""
     keep = docs.columns if keep is None else keep
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias("__bytes"))
-    schema = kept.drop("__bytes").schema.add(names[0], "string").add(names[1], "double")
+    own = free_names([*keep, *names], "__bytes")[0]
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col).cast("binary")).alias(own))
+    schema = kept.drop(own).schema.add(names[0], "string").add(names[1], "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -126,3 +126,14 @@ def test_what_stages_store_on_their_way_goes(spark, tmp_path):
     before = set(os.listdir(shared))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0 and not _under_way
     assert len(set(os.listdir(shared)) - before) == 1  # the input of the last stage
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    """Names that stages use themselves are columns like others."""
+    odd = ["__t", "__new", "__score", "__lang", "__last", "__id", "__base", "__spans", "__bytes"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).select("*", *[F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in odd])
+    exp = {r.doc_id: tuple(r[c] for c in odd) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(tuple(r[c] for c in odd) == exp[r.doc_id] for r in got)
