@@ -15,7 +15,7 @@ from setforge import api, cli
 from setforge.errors import ArchiveError, CatalogueError, InvalidPath, PlanError
 from setforge.operators import zip_sink
 from setforge.sources import archives, dat, filetree
-from tests.make_7z import CODERS, archive
+from make_7z import CODERS, archive
 
 ABC = hashlib.sha1(b"abc").hexdigest()
 EMPTY = hashlib.sha1(b"").hexdigest()
