@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 import time
 
 import duckdb
 import numpy as np
+import pytest
 
 from setforge.llm import html, mtree, queries
 
@@ -181,3 +183,62 @@ def test_html_random_nesting_never_fails():
     bits = ["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<nav>", "</nav>", "<b>", "</b>", "<br>", "text ", "&amp;", "<!-- c -->", "</x>", "<li>", "<td>", "<img src=a>", "<script>", "</script>"]
     for _ in range(300):
         html.extract("".join(rng.choice(bits) for _ in range(40)))
+
+
+def plain_main_text(page):
+    """The article of a page by patterns alone: what is said of the generated pages, not how the operator finds it."""
+    import html as entities
+
+    page = re.sub(r"(?s)<!--.*?-->|<(script|style|nav|footer|aside)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", page)
+    blocks = re.split(r"</?(?:p|h\d|div|ul|ol|li|table|tr|blockquote|pre)\b[^>]*>", re.search(r"(?s)<article>(.*)</article>", page)[1])
+    lines = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(?:br|td|th)\b[^>]*>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(x for x in lines if x)
+
+
+def test_main_text_of_all_pages_against_patterns(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html.report(pages).collect()}
+    exp = {r.page_id: plain_main_text(r.html) for r in pages.collect()}
+    assert got == exp and len(exp) > 100
+
+
+def test_clusters_decide_among_boxes_without_telling_names():
+    para = "<p>" + "A long paragraph of text that says many things about a topic. " * 5 + "</p>"
+    text = " ".join(["A long paragraph of text that says many things about a topic."] * 5)
+    page = f'<body><div class="q1"><h1>T</h1>{para}<p>Short.</p><div class="zz"><h3>Join us</h3><p>Now <a href=x>here</a></p></div>{para}<div><p>The end.</p></div></div><div class="q2"><b>More</b> for <a href=x>you</a></div></body>'
+    assert html.extract(page) == f"T\n\n{text}\n\nShort.\n\n{text}\n\nThe end."
+    old, html.clusters = html.clusters, lambda c, t: c < 0
+    try:
+        assert html.extract(page) == ""  # without clusters there is no content
+    finally:
+        html.clusters = old
+
+
+def test_forms_and_headers_that_hold_the_article():
+    para = "<p>" + "A long paragraph of text that says many things about a topic. " * 5 + "</p>"
+    text = " ".join(["A long paragraph of text that says many things about a topic."] * 5)
+    assert html.extract(f'<body><form id=aspnetForm><nav>x</nav><div><h1>T</h1>{para}{para}</div></form></body>') == f"T\n\n{text}\n\n{text}"
+    assert html.extract(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header>{para}</article></body>") == f"Title\n\n{text}"
+    assert html.extract(f'<article><h1>T</h1>{para}<form><label>Mail</label><p>Send me news of all kinds</p></form></article>') == f"T\n\n{text}"
+    assert html.extract(f"{para}<p>3 < 4 and x</p><![foo") == f"{text}\n\n3 < 4 and x"
+    assert html.extract(f"{para}<!DOCTYPE [") == html.extract(f"{para}<!-- never closed <p>no</p>") == text
+    assert html.extract('<p>a<script>if (a<b && c="</p>") x</script>b</p><style>p{') == "a b"
+
+
+@pytest.mark.parametrize("end", ["", ">", '">'])
+@pytest.mark.parametrize("start", ["<a ", '<p title="', "<", "</", "</p", "<!", "<![", "<!--", "<![CDATA[", "&#", "<a b=", "<a b= '", "<a 'x", "<script>", "<style", "<a/", "<p a='b\">"])
+def test_time_in_proportion_to_what_is_left_open(start, end):
+    began = time.process_time()
+    html.extract(start * 100_000 + end)
+    assert time.process_time() - began < 5  # a quadratic one takes minutes
+
+
+def test_top_k_of_huge_components(spark):
+    """One long vector ends no job; those whose scores need not fit a long take no part, as in the SQL."""
+    rows = [(0, [1.0, 2.0]), (1, [4e6, 0.0]), (2, [1e300, 1.0]), (3, [1.25e6, -3.0]), (100, [-1.0, 5.0]), (4, [0.5, 0.5]), (200, [-1e300, 1e300])]
+    got = sorted(map(tuple, mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == plain_top([r for r in rows if r[0] not in (1, 2, 200)])
+    con = duckdb.connect()
+    con.execute("create table embeddings(vec_id bigint, embedding double[])")
+    con.executemany("insert into embeddings values (?, ?)", rows)
+    assert sorted((q, int(r), i, s) for q, r, i, s in con.sql(queries.OP6_SQL).fetchall()) == got
