@@ -68,6 +68,22 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _steps(docs: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Documents of features as small numbers: the first one's distance from that of the feature before, others' from the one before."""
+    begins = np.cumsum(runs) - runs
+    out = np.diff(docs, prepend=0)
+    out[begins] = np.diff(docs[begins], prepend=0)
+    return out
+
+
+def _unstepped(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    begins = np.cumsum(runs) - runs
+    steps = steps.astype(np.int64)
+    firsts = np.cumsum(steps[begins])
+    whole = np.cumsum(steps)
+    return whole + np.repeat(firsts - whole[begins], runs)
+
+
 def _dictionary() -> defaultdict[bytes, int]:
     """Strings to numbers in the order in which they are first looked up."""
     out: defaultdict[bytes, int] = defaultdict()
@@ -88,7 +104,7 @@ class _Block:
         self.size += len(text or "")
 
     def by_home(self, homes: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
-        """(home, strings, number of documents of each string, those documents, counts)."""
+        """(home, strings, number of documents of each string, those documents (as steps), counts)."""
         if not self.index:
             return
         # one number for (first word, second word, document); BLOCK, DOCS and long documents alone keep it below 2^64
@@ -103,7 +119,7 @@ class _Block:
         starts = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
         pairs, n = found[starts], np.diff(np.append(starts, len(found)))
         doc, feature = pairs & ((np.uint64(1) << doc_bits) - np.uint64(1)), pairs >> doc_bits
-        doc = doc.astype(np.uint32)
+        doc = doc.astype(np.int64)
         del found, starts
         begins = np.flatnonzero(np.append(True, feature[1:] != feature[:-1]))
         docs_of = np.diff(np.append(begins, len(pairs)))
@@ -121,7 +137,7 @@ class _Block:
             runs = docs_of[own]
             at = np.repeat(begins[own] - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
             held = b"".join(itemgetter(*np.stack([before[own], after[own]], axis=1).ravel().tolist())(pieces))
-            yield h, zstandard.compress(held, 3), _packed(runs, np.uint32), _packed(doc[at], np.uint32), _packed(n[at], np.uint32)
+            yield h, zstandard.compress(held, 3), _packed(runs, np.uint32), _packed(_steps(doc[at], runs), np.uint32), _packed(n[at], np.uint32)
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
@@ -249,8 +265,9 @@ def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
                     if buckets is None:
                         yield block, ids, words, n_features, None, None
                         continue
-                    g = np.repeat(gain[_unpacked(buckets, np.uint16)], _unpacked(runs, np.uint32)) * _unpacked(ns, np.uint32).astype(np.int64)
-                    of, at = np.unique(_unpacked(docs, np.uint32), return_inverse=True)
+                    each = _unpacked(runs, np.uint32).astype(np.int64)
+                    g = np.repeat(gain[_unpacked(buckets, np.uint16)], each) * _unpacked(ns, np.uint32).astype(np.int64)
+                    of, at = np.unique(_unstepped(_unpacked(docs, np.uint32), each), return_inverse=True)
                     sums = np.bincount(at, g).astype(np.int64)  # exact up to 2^53
                     yield block, None, None, None, _packed(of, np.uint32), _packed(sums, np.int64)
 
