@@ -93,17 +93,18 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 OP3_SQL = """
 with d as (
   select doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '') as w
-  from documents where text is not null and doc_id is not null
+    , coalesce(cast(doc_id as varchar), md5(text)) as d
+  from documents where text is not null
 ),
-p as (select doc_id, w, unnest(range(len(w) - 49)) as s from d where len(w) >= 50),
-g as (select doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) as k from p),
-r as (select k from g group by k having min(doc_id) <> max(doc_id)),
-h as (select distinct doc_id, s from g where k in (select k from r)),
-l as (select *, case when s - lag(s) over (partition by doc_id order by s) <= 50 then 0 else 1 end as first from h),
-i as (select *, sum(first) over (partition by doc_id order by s) as island from l),
-o as (select doc_id, island, min(s) as b, max(s) + 50 as e from i group by 1, 2)
-select doc_id, count(*) as n_passages, cast(sum(e - b) as bigint) as n_words, string_agg(b || ':' || e, ',' order by b) as passages
-from o group by 1
+p as (select doc_id, d, w, unnest(range(len(w) - 49)) as s from d where len(w) >= 50),
+g as (select doc_id, d, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) as k from p),
+r as (select k from g group by k having min(d) <> max(d)),
+h as (select distinct doc_id, d, s from g where k in (select k from r)),
+l as (select *, case when s - lag(s) over (partition by d order by s) <= 50 then 0 else 1 end as first from h),
+i as (select *, sum(first) over (partition by d order by s) as island from l),
+o as (select doc_id, d, island, min(s) as b, max(s) + 50 as e from i group by 1, 2, 3)
+select any_value(doc_id) as doc_id, count(*) as n_passages, cast(sum(e - b) as bigint) as n_words, string_agg(b || ':' || e, ',' order by b) as passages
+from o group by d
 """
 
 

@@ -18,8 +18,9 @@ sum up. Elsewhere 128 bits of fingerprints tell heads and contexts apart.
 
 The result covers exactly the words in stretches of LEAST words or more that also stand in another document. Words are
 what white space separates, in lower case (A-Z). Null, empty and shorter texts have none; rows that repeat a document
-id count as the same document, and if their texts differ the spans of all are given; rows without an id are left out;
-other columns are ignored.
+id count as the same document, and if their texts differ the spans of all are given. Of rows without an id those with the
+same text are one document, and the result has a null id for each; ids are whole numbers above -2^62. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from setforge.llm.common import scanned, stored
 
 LEAST, HEAD = 50, 20
+#: From here down are the numbers of documents without an id.
+UNNAMED = -(1 << 62)
 #: Heads a stretch holds.
 SPAN = LEAST - HEAD + 1
 #: Entries of a run that one task sorts.
@@ -234,7 +237,8 @@ def _grouped(entries: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans): spans of words (start, end), end exclusive, in order and apart, of the documents that have any."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).dropna().withColumn("t", F.xxhash64("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna(subset=["text"]).withColumn("t", F.xxhash64("text"))
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(UNNAMED) - F.shiftrightunsigned("t", 2)))
     kept = stored(_retained(docs))
     entries = kept.groupBy("head", "context").agg(F.min(F.struct("doc_id", "t", "spot")).alias("rep"), F.max("doc_id").alias("hi"))
     # a head with one entry in one document needs no more looking at
@@ -252,7 +256,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # spans begin where nothing before reaches to and end where nothing goes on
     starts = F.filter(F.transform("all", lambda s, i: F.when((i == 0) | (s["start"] > F.get("reach", i - 1)), s["start"])), lambda x: x.isNotNull())
     ends = F.filter(F.transform("reach", lambda e, i: F.when((i == F.size("all") - 1) | (F.get("all", i + 1)["start"] > e), e)), lambda x: x.isNotNull())
-    return reach.select("doc_id", F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"))
+    return reach.select(F.when(F.col("doc_id") > UNNAMED, F.col("doc_id")).alias("doc_id"), F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"))
 
 
 def report(docs: DataFrame) -> DataFrame:
