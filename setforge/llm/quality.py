@@ -29,9 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setforge.llm.common import stored
 
@@ -193,12 +195,45 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+#: Repeated rows that a task holds back to count further copies of.
+HELD = 1000
+
+
+def combined(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, lang, text) that repeat, once for each task (or for each of its batches, if very many repeat), with the number of ``copies``."""
+    schema = T.StructType([*docs.schema, T.StructField("copies", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "lang", "text"]
+        held: dict[tuple, int] = {}
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*((*k, n) for k, n in held.items()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*names, "copies"])
+
+        for batch in batches:
+            kinds = [*batch.schema.types, pa.int64()]
+            t = pa.Table.from_batches([batch]).group_by(names, use_threads=False).aggregate([([], "count_all")]).rename_columns([*names, "copies"])
+            one = pc.equal(t.column("copies"), 1)
+            yield from t.filter(one).combine_chunks().to_batches()
+            for *k, n in zip(*(c.to_pylist() for c in t.filter(pc.invert(one)).columns)):
+                if len(held) == HELD and tuple(k) not in held:
+                    yield out()
+                    held.clear()
+                held[tuple(k)] = held.get(tuple(k), 0) + n
+        if held:
+            yield out()
+
+    return docs.mapInArrow(run, schema)
+
+
 def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]], chars: int, id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, n, perplexity) of every document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    dealt = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(id_col, "text"), F.lit(blocks)).alias("block"))
+    rows = combined(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks / BLOCKS_A_TASK))
     dealt = dealt.repartition(tasks, "block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block long, key long")
@@ -219,9 +254,10 @@ def perplexities(docs: DataFrame, table: DataFrame, discounts: list[list[float]]
                 n[at + rows[starts]] += np.diff(np.r_[starts, len(rows)])
                 total[at + rows[starts]] += np.add.reduceat(logs, starts)
         ppl = np.exp(-total / np.maximum(n, 1))
-        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n": pa.array(n, pa.int64()), "perplexity": pa.array(np.round(ppl, 4), pa.float64(), mask=n == 0)})
+        return pa.table({"doc_id": texts.column("doc_id"), "lang": texts.column("lang"), "n": pa.array(n, pa.int64()), "perplexity": pa.array(np.round(ppl, 4), pa.float64(), mask=n == 0), "copies": texts.column("copies")})
 
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, lang string, n long, perplexity double")
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_type}, lang string, n long, perplexity double, copies long")
+    return scored.select("doc_id", "lang", "n", "perplexity", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def thresholds(scores: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -443,6 +443,21 @@ def test_perplexity_against_brute_force(spark, small):
         assert got[i] == pytest.approx(math.exp(-np.mean([math.log(p(int(g))) for g in quality.grams(t)])), rel=1e-4)
 
 
+def test_one_row_repeated_very_often(spark, monkeypatch):
+    """Copies are counted before the shuffle; every one has its row in the result."""
+    monkeypatch.setattr(quality, "HELD", 3)
+    text = "the cat sat on the mat and the dog ran off "
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("en").alias("lang"), F.lit(text * 3).alias("text"))
+    few = spark.createDataFrame([(i, "en", text * (1 + i % 3) + str(i)) for i in range(30)] + [(None, None, None), (None, None, None), (None, "de", text), (None, "de", text), (8, None, "")], "doc_id long, lang string, text string")
+    docs = hot.unionByName(few).unionByName(few)
+    made = quality.combined(docs.coalesce(2).select("doc_id", "lang", "text"))
+    assert made.filter("doc_id = 7 and text not like '%7'").count() < 60 and made.agg(F.sum("copies")).first()[0] == docs.count()
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    got = quality.classify(docs, labels)
+    want = {tuple(r) for r in quality.classify(few.unionByName(hot.limit(1)), labels.filter("doc_id <> 7")).select("doc_id", "n").collect()}
+    assert got.count() == docs.count() and {tuple(r) for r in got.select("doc_id", "n").distinct().collect()} == want
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (5, 0, 0), (8, 1, 1), (7, 1, None), (None, 1, 0), (99, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels)
