@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from setforge.errors import ArchiveError, PlanError
+from setforge.errors import PlanError
 from setforge.functions import paths
 from setforge.operators.joined import copy_range
 from setforge.scratch import passing_path
@@ -60,17 +60,14 @@ def _info(name: str, compression: int) -> zipfile.ZipInfo:
 
 def write_zip(path: str, rows: Iterator[tuple[str, str, str | None, str]], compression: int) -> tuple[int, int, int, int]:
     """Write one ZIP file; rows: entry name, path, entry in it, kind. Bytes of its entries and of its directory, entries, those of over 4 GB."""
-    with zipfile.ZipFile(path, "w", compression) as z:
+    with zipfile.ZipFile(path, "w", compression) as z, archives.Opened() as opened:
         z.comment = COMMENT
         for entry, source, inner, kind in rows:
             if kind == "bare":
                 with open(source, "rb") as f:
                     _copy(z, entry, f, compression)
             else:
-                real = archives.sniff(source)  # an archive with a misleading ending is read as what it is
-                if real == "bare":
-                    raise ArchiveError(f"{source} is no archive any more")
-                with archives.open_entry(source, real, inner) as f:
+                with opened.entry(source, inner) as f:  # an archive with a misleading ending is read as what it is
                     _copy(z, entry, f, compression)
         infos, data = z.infolist(), z.start_dir
     return data, sum(len(central_header(i, 0, False)) for i in infos), len(infos), sum(map(_large, infos))

@@ -3,18 +3,19 @@
 import itertools
 import json
 import os
+import re
 import struct
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from setforge.errors import CatalogueError
+from setforge.errors import ArchiveError, CatalogueError
 from setforge.operators import catalogue, joined, migrations, profile, reports, zip_sink
 from setforge.operators.ordinals import followed, ordinals, running
 from setforge.operators.store import Store
 from setforge.plans import planner
-from setforge.sources import catalog, dat
+from setforge.sources import archives, catalog, dat
 
 GAMES = [f'<game name="g&amp;{k}" cloneof="p{k % 3}"><year>19{k % 90 + 10}</year><rom name="r{k}" size="{k}" md5="0a" sha1="0b" crc="0c"/></game>' if k % 7 else f'<game name="g&amp;{k}"/>' for k in range(400)]
 HEAD = '<?xml version="1.0"?>\n<!DOCTYPE datafile SYSTEM "x.dtd">\n<datafile build="b">\n <header><name>All</name><author>me</author></header>\n'
@@ -272,3 +273,58 @@ def test_store_of_one_folder_a_table(spark, tmp_path):
     assert store.table("games").count() == 2 and store.table("roms").count() == 2 and store.entries(5, "a").count() == 2
     assert {r.name: r.rom_id is None for r in store.table("rom_files").collect()} == {"a0": False, "zz": True}
     assert store.replace_scanned(scanned(spark, "/r", ["a1"]), "/r") == (1, 1) and store.table("rom_files").count() == 1
+
+
+def odd_zip(path, n, before=b""):
+    """A ZIP file, after foreign bytes or not: folders, names twice, names with safe forms, names of another encoding."""
+    with open(path, "wb") as f:
+        f.write(before)
+    with zipfile.ZipFile(path, "a") as z:
+        with pytest.warns(UserWarning):
+            for k in range(n):
+                z.writestr(("a/", f"{k // 8}/x", "./s/t", "b\\c", f"é{k}", "twice", f"p{k}/", "up")[k % 8], b"" if k % 8 in (0, 6) else f"body {k}")
+    return str(path)
+
+
+def test_zip_by_parts_and_by_name(tmp_path):
+    path = odd_zip(tmp_path / "o.zip", 100, b"what stands before")
+    data = open(path, "rb").read()
+    for mark in (rb"(PK\x03\x04.{2})", rb"(PK\x01\x02.{4})"):  # another encoding for some of the names, by their flag
+        data = re.sub(mark + rb"\x00\x08", lambda m: m[1] + b"\0\0", data, count=6, flags=re.S)
+    with open(path, "wb") as f:
+        f.write(data)
+    with zipfile.ZipFile(path) as z:
+        exp = [(archives.safe_name(i.filename), z.read(i)) for i in z.infolist() if not i.is_dir()]
+        names = z.namelist()
+        safe = lambda n: archives.safe_name(n) if not n.endswith("/") else None
+        last = {n: z.read(n) for n in names}
+        first = {s: last[n] for n in reversed(names) if (s := safe(n))}
+    with archives.Zip(path) as z:
+        parts = list(z.parts(7))
+        assert sum(p.n for p in parts) == 100 and len(parts) == 15 and len(list(z.parts(7, 1))) > 15
+        assert [(n, f.read()) for p in parts for n, f in z.read(p)] == exp == [(n, f.read()) for n, f in archives.entries(path, "zip")]
+        assert [p.first for p in parts] == [sum(not n.endswith("/") for n in names[: 7 * k]) for k in range(15)]
+    with archives.Opened() as opened:
+        for name in {*last, *first}:
+            with opened.entry(path, name, "zip") as f:
+                assert f.read() == last.get(name, first.get(name))
+        with pytest.raises(ArchiveError), opened.entry(path, "none", "zip"):
+            pass
+
+
+def test_copied_entries_do_not_read_the_directory_again(tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "i.zip", "w") as z:
+        for k in range(1500):
+            z.writestr(f"e{k}", str(k))
+    made = []
+
+    class Counted(zipfile.ZipInfo):
+        def __init__(self, *a, **k):
+            made.append(1)
+            super().__init__(*a, **k)
+
+    monkeypatch.setattr(zipfile, "ZipInfo", Counted)
+    zip_sink.write_zip(str(tmp_path / "o.zip"), iter([(f"e{k}", str(tmp_path / "i.zip"), f"e{k}", "zip") for k in range(1500)]), zipfile.ZIP_STORED)
+    assert len(made) < 5 * 1500  # 1500 for every entry before
+    with zipfile.ZipFile(tmp_path / "o.zip") as z:
+        assert {n: z.read(n) for n in z.namelist()} == {f"e{k}": str(k).encode() for k in range(1500)}
