@@ -40,6 +40,13 @@ def problems(entries: DataFrame) -> DataFrame:
     return unsafe.union(twice)
 
 
+def kept(entries: DataFrame) -> DataFrame:
+    """The plan written down once: it is checked, sampled and dealt out, and may come from a scan of all files."""
+    path = passing_path(entries.sparkSession)
+    entries.write.parquet(path)
+    return entries.sparkSession.read.schema(entries.schema).parquet(path)
+
+
 def validate(entries: DataFrame) -> None:
     """Raise PlanError with the first problems, if there are any."""
     found = problems(entries).orderBy("zip", "rom_name").limit(10).collect()
@@ -120,6 +127,8 @@ def write_bundles(entries: DataFrame, destination: str, compression: str = "defl
     """
     spark = entries.sparkSession
     schema = "path string, n long"
+    keys = ["zip", *[c for c in ORDER if c in entries.columns]]
+    entries = kept(entries.select(*dict.fromkeys([*keys, "rom_name", "canonical_path", "entry_name", "kind"])))
     if entries.isEmpty():
         return spark.createDataFrame([], schema)
     validate(entries)
@@ -155,7 +164,6 @@ def write_bundles(entries: DataFrame, destination: str, compression: str = "defl
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some), SEGMENTS)], schema=SEGMENTS)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["zip", *[c for c in ORDER if c in entries.columns]]
     dealt = entries.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     try:
         out = passing_path(spark)

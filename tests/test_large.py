@@ -328,3 +328,17 @@ def test_copied_entries_do_not_read_the_directory_again(tmp_path, monkeypatch):
     assert len(made) < 5 * 1500  # 1500 for every entry before
     with zipfile.ZipFile(tmp_path / "o.zip") as z:
         assert {n: z.read(n) for n in z.namelist()} == {f"e{k}": str(k).encode() for k in range(1500)}
+
+
+def test_plan_of_bundles_is_evaluated_once(spark, tmp_path):
+    (tmp_path / "f").write_text("body")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([("b.zip", f"e{k}", f"{tmp_path}/f", None, "bare") for k in range(50)], "zip string, rom_name string, canonical_path string, entry_name string, kind string")
+    zip_sink.write_bundles(rows.mapInArrow(count, rows.schema), str(tmp_path / "o"))
+    assert seen.value == 50  # 250 before
