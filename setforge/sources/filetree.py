@@ -4,7 +4,7 @@ In each round the folders that are known are dealt out to tasks. A task lists it
 has opened ``FOLDERS``; the folders that are left are dealt out in the next round, so neither a wide nor a deep tree stays
 with one task. Folders are streamed: one with more than ``ENTRIES`` entries is listed by several tasks in the next round,
 each of which keeps the names that a hash gives it. The driver opens none. The paths are then dealt out anew to be read, a
-file in one pass for all digests. Unlike Spark's binaryFile it has empty files and names with a leading underscore. Names
+file in one pass for all digests, and a ZIP file of over ``LARGE`` bytes in parts, each with its piece of the directory. Unlike Spark's binaryFile it has empty files and names with a leading underscore. Names
 with a leading dot are skipped below the root, links are files, not folders, and whatever cannot be read ends the scan.
 """
 
@@ -31,6 +31,8 @@ from setforge.sources import archives
 FOLDERS, ENTRIES, PER_CORE = 256, 100_000, 4
 #: Tasks that list one large folder.
 SHARES = 16
+#: Bytes of a ZIP file beyond which it may be read by several tasks.
+LARGE = 1 << 20
 #: What a database file may have beside it.
 SIDECARS = ("", "-wal", "-shm", "-journal")
 
@@ -65,15 +67,16 @@ def entries(folder: str, share: int, shares: int) -> Iterator[tuple[str, bool]]:
 
 def walk(folders: Iterator[tuple[str, int, int]], most_folders: int, most_entries: int) -> Iterator[tuple[str, int, int]]:
     """(path, share, shares) below the folders: shares is 0 for files; others are folders, or shares of large ones, that are left for later."""
-    left, opened = collections.deque(folders), 0
+    left, opened, seen = collections.deque(folders), 0, 0
     while left:
         folder, share, shares = left.popleft()
-        if opened >= most_folders:
+        if opened >= most_folders or seen > most_entries:
             yield folder, share, shares
             continue
         opened += 1
         found = entries(folder, share, shares)
         held = list(itertools.islice(found, most_entries + 1)) if shares == 1 else []
+        seen += len(held)
         if len(held) > most_entries:
             yield from ((folder, k, SHARES) for k in range(SHARES))
             continue
@@ -96,8 +99,8 @@ def digests(stream) -> tuple[bytes, bytes, bytes, int]:
     return sha1.digest(), xxh3.digest(), md5.digest(), size
 
 
-def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
-    """Rows (see schemas.SCANNED) of one file. permissive: an archive that cannot be read ends quietly."""
+def scan_file(path: str, permissive: bool = False, part: archives.Part | None = None) -> Iterator[tuple]:
+    """Rows (see schemas.SCANNED) of one file or a part of one. permissive: an archive that cannot be read ends quietly."""
     kind = archives.sniff(path)
     parent, name = os.path.split(path)
     if kind == "bare":
@@ -105,7 +108,7 @@ def scan_file(path: str, permissive: bool = False) -> Iterator[tuple]:
             yield (parent, path, name, *digests(f), False, "bare", 0)
         return
     try:
-        for k, (entry, stream) in enumerate(archives.entries(path, kind)):
+        for k, (entry, stream) in enumerate(archives.entries(path, kind, part), part.first if part else 0):
             yield (parent, path, entry, *digests(stream), True, "zip" if kind == "zip" else "archive", k)
     except (archives.ArchiveError, *archives.READ_ERRORS) as e:
         if not permissive:
@@ -146,18 +149,44 @@ def _on_disk(path: str) -> int:
         return 0
 
 
-def scan(files: DataFrame, permissive: bool = False) -> DataFrame:
-    """Rows (schemas.SCANNED) of the files with the given ``path``, dealt out by it."""
+def parts(path: str, large: int) -> list[archives.Part | None]:
+    """The parts of a large ZIP file. Of others, and of those whose directory cannot be read, the whole."""
+    try:
+        if os.stat(path).st_size > large and archives.sniff(path) == "zip":
+            with archives.Zip(path) as z:
+                return list(z.parts()) or [None]
+    except archives.ZIP_ERRORS:
+        pass
+    return [None]
+
+
+def scan(files: DataFrame, permissive: bool = False, large: int = LARGE) -> DataFrame:
+    """Rows (schemas.SCANNED) of the files with the given ``path``, dealt out by it.
+
+    With ``permissive`` one task reads an archive, as what it gives ends at the first entry that cannot be read.
+    """
     spark = files.sparkSession
     names, types = schemas.SCANNED.names, (pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32())
+    places = pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in archives.Part._fields]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = (None,) * len(archives.Part._fields)
+        rows = ((p, *(x or whole)) for b in batches for p in b.column(0).to_pylist() for x in ([None] if permissive else parts(p, large)))
+        while some := list(itertools.islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), places)], schema=places)
+
+    def read(b: pa.RecordBatch) -> Iterator[tuple]:
+        for p, *x in sorted(zip(*(c.to_pylist() for c in b.columns)), key=lambda r: (_on_disk(r[0]), r[1] or 0)):
+            yield from scan_file(p, permissive, archives.Part(*x) if x[0] is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for p in sorted(b.column(0).to_pylist(), key=_on_disk) for r in scan_file(p, permissive))
+        rows = (r for b in batches for r in read(b))
         while some := list(itertools.islice(rows, 1000)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=names)
 
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_CORE * spark.sparkContext.defaultParallelism)
-    return files.select("path").repartition(n, "path").mapInArrow(run, schemas.SCANNED)
+    dealt = files.select("path").repartition(n, "path").mapInArrow(cut, "path string, at long, size long, n long, first long")
+    return dealt.repartition(n, "path", "at").mapInArrow(run, schemas.SCANNED)
 
 
 def read_tree(spark: SparkSession, path: str, exclude: list[str] = (), permissive: bool = False) -> DataFrame:

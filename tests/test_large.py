@@ -15,7 +15,7 @@ from setforge.operators import catalogue, joined, migrations, profile, reports,
 from setforge.operators.ordinals import followed, ordinals, running
 from setforge.operators.store import Store
 from setforge.plans import planner
-from setforge.sources import archives, catalog, dat
+from setforge.sources import archives, catalog, dat, filetree
 
 GAMES = [f'<game name="g&amp;{k}" cloneof="p{k % 3}"><year>19{k % 90 + 10}</year><rom name="r{k}" size="{k}" md5="0a" sha1="0b" crc="0c"/></game>' if k % 7 else f'<game name="g&amp;{k}"/>' for k in range(400)]
 HEAD = '<?xml version="1.0"?>\n<!DOCTYPE datafile SYSTEM "x.dtd">\n<datafile build="b">\n <header><name>All</name><author>me</author></header>\n'
@@ -330,6 +330,31 @@ def test_copied_entries_do_not_read_the_directory_again(tmp_path, monkeypatch):
         assert {n: z.read(n) for n in z.namelist()} == {f"e{k}": str(k).encode() for k in range(1500)}
 
 
+def test_large_zip_scanned_in_parts(spark, tmp_path, monkeypatch):
+    """A ZIP file is read by several tasks with the rows that one gives; one that is broken ends the scan or is passed over as before."""
+    path = odd_zip(tmp_path / "o.zip", 100)
+    parts = archives.Zip.parts
+    monkeypatch.setattr(archives.Zip, "parts", lambda self: parts(self, 7))
+    assert len(filetree.parts(path, 0)) == 15 and filetree.parts(path, 1 << 20) == [None]
+    files = spark.createDataFrame([(path,)], "path string")
+    exp = [tuple(r) for r in filetree.scan_file(path)]
+    for permissive in (False, True):
+        got = filetree.scan(files, permissive, 0)
+        assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[-1]) == exp
+    (tmp_path / "b.zip").write_bytes(open(path, "rb").read()[:-60])
+    assert filetree.parts(str(tmp_path / "b.zip"), 0) == [None]
+
+
+def test_large_zip_is_dealt_out(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "l.zip", "w") as z:
+        for k in range(3 * archives.PART_ENTRIES):
+            z.writestr(f"e{k}", str(k))
+    rows = filetree.scan(spark.createDataFrame([(str(tmp_path / "l.zip"),)], "path string"), large=0)
+    assert rows.groupBy(F.spark_partition_id()).count().count() > 1  # one task before
+    got = {r.name: (r.entry_seq, r.size) for r in rows.collect()}
+    assert got == {f"e{k}": (k, len(str(k))) for k in range(3 * archives.PART_ENTRIES)}
+
+
 def test_plan_of_bundles_is_evaluated_once(spark, tmp_path):
     (tmp_path / "f").write_text("body")
     seen = spark.sparkContext.accumulator(0)
@@ -342,3 +367,13 @@ def test_plan_of_bundles_is_evaluated_once(spark, tmp_path):
     rows = spark.createDataFrame([("b.zip", f"e{k}", f"{tmp_path}/f", None, "bare") for k in range(50)], "zip string, rom_name string, canonical_path string, entry_name string, kind string")
     zip_sink.write_bundles(rows.mapInArrow(count, rows.schema), str(tmp_path / "o"))
     assert seen.value == 50  # 250 before
+
+
+def test_listing_ends_after_many_entries(tmp_path):
+    """A task that has listed as many entries as it may leaves the other folders to the next round."""
+    for k in range(5):
+        (tmp_path / str(k)).mkdir()
+        for j in range(10):
+            (tmp_path / str(k) / f"f{j}").write_text("")
+    found = list(filetree.walk(iter([(str(tmp_path), 0, 1)]), 256, 20))
+    assert [s for *_, s in found].count(0) == 20 and [s for *_, s in found].count(1) == 3
