@@ -690,3 +690,36 @@ def test_word_store_starts_anew(monkeypatch):
     texts = ["some words here", "other words there", "some words here"]
     a = [w.encode_batch([t])[0] for t in texts]
     assert a[0] == a[2] and len(w.known) <= 6
+
+
+def test_near_copies_meet_through_simhash_variants():
+    """Pairs of a similarity of 0.8, whose fingerprints are some ten bits apart, share a variant; unlike texts leave their groups."""
+    rng = np.random.default_rng(5)
+    found = 0
+    for _ in range(200):
+        h = rng.integers(0, 1 << 64, 330, np.uint64, endpoint=False)
+        p = np.stack([similar.prints(h[:297]), similar.prints(h[33:])])  # 264 of 330
+        keys = similar.variants(p).reshape(2, -1)
+        pairs = np.stack([p, np.roll(p, -1, axis=1)], axis=-1).repeat(9, axis=1)
+        found += any(similar.near_rows(np.zeros(2, np.int64), pairs[:, k]).all() for k in np.flatnonzero(keys[0] == keys[1]))
+    assert found >= 0.98 * 200
+    plain = lambda h: sum((int(np.sum(h_bits)) * 2 > len(h)) << k for k, h_bits in enumerate(h.T))
+    x = (h[:297] ^ similar._odd[0]) * similar._mix
+    x = (x ^ (x >> np.uint64(32))) * similar._odd[0]
+    x ^= x >> np.uint64(29)
+    assert plain(np.array([[int(v) >> k & 1 for k in range(64)] for v in x])) == int(similar.prints(h[:297])[0])
+    for kept in similar._kept.tolist():  # a difference in the blanked third leaves the variant
+        assert bin(kept).count("1") in (14, 15)
+    assert np.bitwise_or.reduce(similar._kept) == np.uint64((1 << 64) - 1)
+
+
+@pytest.mark.parametrize("small", [64, 3])
+def test_near_rows_of_groups(monkeypatch, small):
+    monkeypatch.setattr(similar, "SMALL", small)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 64, (40, 2), np.uint64)
+    rows = base[rng.integers(0, 40, 300)] ^ (np.uint64(1) << rng.integers(0, 64, (300, 2), np.uint64))
+    key = np.sort(rng.integers(0, 30, 300))
+    far = np.bitwise_count(rows[:, None] ^ rows[None]).sum(axis=2, dtype=np.int64)
+    exp = [any(j != i and key[i] == key[j] and far[i, j] <= 36 for j in range(300)) for i in range(300)]
+    assert similar.near_rows(key, rows).tolist() == exp and 0 < sum(exp) < 300
